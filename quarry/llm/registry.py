@@ -2,8 +2,46 @@
 
 from __future__ import annotations
 
-from quarry.llm.common import read
+from pyspark.sql import functions as F
+
+from quarry.llm.common import new_path, read
+from quarry.llm.decontaminate import decontaminate
+from quarry.llm.mixing import mix
 from quarry.llm.quality_rules import BASE_LEAST_WORDS, BASE_REPEAT_PERCENT, RULES, STOP_WORDS, quality_rules
+from quarry.llm.simhash import fingerprint_hex, near_duplicates
+from quarry.llm.tokens import read_tokens, write_tokens
+
+
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op2_mixing(spark, sf_dir):
+    return mix(read(spark, sf_dir, "documents"))
+
+
+def op5_decontamination(spark, sf_dir):
+    rows = decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return rows.select(
+        "doc_id", "n_words", "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+        F.size("near_items").cast("long").alias("n_near_items"),
+    )
+
+
+def op6_simhash(spark, sf_dir):
+    rows = near_duplicates(read(spark, sf_dir, "documents"))
+    return rows.select("doc_id", fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def op10_tokens(spark, sf_dir):
+    folder = new_path(spark, "tokens")
+    write_tokens(read(spark, sf_dir, "documents"), folder, tokenizer_path())
+    return read_tokens(spark, folder)
 
 
 def op7_quality_rules(spark, sf_dir):
@@ -48,7 +86,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 
 def queries() -> dict:
-    return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
+    return {f.__name__: f for f in (op2_mixing, op5_decontamination, op6_simhash, op7_quality_rules, op10_tokens)}
 
 
 def oracle_sql() -> dict[str, str]:
