@@ -62,3 +62,16 @@ def let(value: Column, body) -> Column:
 def words_of(text: Column) -> Column:
     """The maximal runs without white space, as an array; null has none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), rf"[{SPACE}]+"), "")
+
+
+def join_counted(rows: DataFrame, members: DataFrame, key: str) -> DataFrame:
+    """Inner join of ``rows`` with ``members`` (key, n, ...), where ``n`` is the number of rows of a key.
+
+    Keys with over a thousandth of the rows are fewer than a thousand, which
+    bounds what is broadcast; the other keys are shuffled. No key's rows meet in
+    one task.
+    """
+    often = (members.agg(F.sum("n")).first()[0] or 0) // 1000
+    heavy = F.broadcast(members.filter(F.col("n") > often).drop("n"))
+    light = members.filter(F.col("n") <= often).drop("n")
+    return rows.join(heavy, key).unionByName(rows.join(heavy, key, "left_anti").join(light, key))

@@ -27,14 +27,19 @@ WEIGHTS, MOST_TIMES, SEED = (5, 2, 1), 3, 42
 LEVEL_BITS, LEVELS = 13, 5
 
 
+def _hash(doc_id: str):
+    """The top 63 bits of a hash of the id, non-negative."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit(SEED), doc_id), 1)
+
+
 def sizes(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size, h): h is the top 63 bits of a hash of the id, non-negative."""
+    """(doc_id, source, size, h)."""
     size = F.size(F.split(F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " ")), " "))
     blank = ~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
     return docs.select(
         "doc_id", "source",
         F.when(blank, 0).otherwise(size).cast("long").alias("size"),
-        F.shiftrightunsigned(F.xxhash64(F.lit(SEED), "doc_id"), 1).alias("h"),
+        _hash("doc_id").alias("h"),
     )
 
 
@@ -119,29 +124,40 @@ def thresholds(rows: DataFrame, budgets: DataFrame) -> DataFrame:
     raise AssertionError("the levels don't reach a single hash")
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, most_times: int = MOST_TIMES, budget: float = 1.0) -> DataFrame:
-    """(doc_id, size, source_size, target, taken, times) for every row; ``budget`` is the share of all sizes to take."""
-    rows = checkpoint(sizes(docs))
+def plan(rows: DataFrame, weights=WEIGHTS, most_times: int = MOST_TIMES, budget: float = 1.0) -> DataFrame:
+    """(source, source_size, target, whole, below) from the rows of :func:`sizes`.
+
+    A document is taken ``whole`` times, and once more if its hash is less than ``below``.
+    """
     by_source = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most_times)
     by_source = by_source.withColumn("target", F.col("target") * budget)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     by_source = checkpoint(by_source.withColumn("whole", whole))
     budgets = by_source.select("source", (F.col("target") - F.col("whole") * F.col("source_size")).alias("budget"))
-    below = thresholds(rows, budgets)
-    s, b = by_source.alias("s"), _small(below).alias("b")
-    plan = checkpoint(s.join(b, F.col("s.source").eqNullSafe(F.col("b.source")), "left").select("s.*", "below")).alias("p")
-    times = (F.col("whole") + F.when(F.col("h") < F.coalesce("below", F.lit(0)), 1).otherwise(0)).cast("long")
-    # Rounding may put a full share over the cap; a document is never taken more often than allowed.
-    times = F.least(times, F.lit(most_times).cast("long"))
-    out = rows.alias("r").join(_small(plan), F.col("r.source").eqNullSafe(F.col("p.source")))
+    s, b = by_source.alias("s"), _small(thresholds(rows, budgets)).alias("b")
+    joined = s.join(b, F.col("s.source").eqNullSafe(F.col("b.source")), "left")
+    return checkpoint(joined.select("s.*", F.coalesce("below", F.lit(0)).cast("long").alias("below")))
+
+
+def _times(h, most_times: int):
+    """How often a document is taken; rounding never takes it more often than allowed."""
+    times = F.col("p.whole") + F.when(h < F.col("p.below"), 1).otherwise(0)
+    return F.least(times, F.lit(most_times)).cast("long")
+
+
+def mix(docs: DataFrame, weights=WEIGHTS, most_times: int = MOST_TIMES, budget: float = 1.0) -> DataFrame:
+    """(doc_id, size, source_size, target, taken, times) for every row; ``budget`` is the share of all sizes to take."""
+    rows = checkpoint(sizes(docs))
+    found = _small(plan(rows, weights, most_times, budget)).alias("p")
+    out = rows.alias("r").join(found, F.col("r.source").eqNullSafe(F.col("p.source")))
+    times = _times(F.col("r.h"), most_times)
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * times).alias("taken"), times.alias("times"))
 
 
 def take(docs: DataFrame, weights=WEIGHTS, most_times: int = MOST_TIMES) -> DataFrame:
-    """The rows of ``docs`` in the mix, each as often as it is taken."""
-    times = mix(docs, weights, most_times).groupBy("doc_id").agg(F.max("times").alias("_times")).filter("_times > 0")
-    times = checkpoint(times.select(F.col("doc_id").alias("_doc_id"), "_times"))
-    # A null id is hashed like any other and so needs a null-safe match.
-    joined = docs.join(times.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(times["_doc_id"]))
-    copies = joined.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times"))))
+    """The rows of ``docs`` in the mix, each as often as it is taken; their texts aren't shuffled."""
+    found = _small(plan(checkpoint(sizes(docs)), weights, most_times)).alias("p")
+    joined = docs.alias("d").join(found, F.col("d.source").eqNullSafe(F.col("p.source")))
+    times = _times(_hash("d.doc_id"), most_times)
+    copies = joined.select("d.*", F.explode(F.array_repeat(F.lit(0), times.cast("int"))))
     return copies.select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quarry.llm import pii, secrets
 from quarry.llm.common import new_path, read
 from quarry.llm.decontaminate import decontaminate
+from quarry.llm.importance import importance
+from quarry.llm.licenses import license_scan
+from quarry.llm.line_dedup import MIN_SITES, line_dedup
 from quarry.llm.mixing import mix
 from quarry.llm.quality_rules import BASE_LEAST_WORDS, BASE_REPEAT_PERCENT, RULES, STOP_WORDS, quality_rules
 from quarry.llm.simhash import fingerprint_hex, near_duplicates
@@ -18,10 +22,33 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_licenses(spark, sf_dir):
+    """Documents as files in the folders of their source and language."""
+    path = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none")), F.col("doc_id").cast("string"))
+    return license_scan(read(spark, sf_dir, "documents"), path)
+
+
 def op2_mixing(spark, sf_dir):
     return mix(read(spark, sf_dir, "documents"))
 
 
+def op3_importance(spark, sf_dir):
+    return importance(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op4_line_dedup(spark, sf_dir):
+    return line_dedup(read(spark, sf_dir, "documents"))
+
+
+LINE_DEDUP_SQL = f"""
+WITH l AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
+m AS (SELECT *, regexp_matches(line, '[^\\x20\\x09-\\x0D]') AS filled FROM l),
+s AS (SELECT line FROM m WHERE filled GROUP BY line HAVING count(DISTINCT coalesce(source, chr(0))) >= {MIN_SITES})
+SELECT doc_id, count(*) FILTER (WHERE filled) AS n_lines, count(*) FILTER (WHERE s.line IS NOT NULL) AS n_removed,
+       coalesce(string_agg(m.line, chr(10) ORDER BY i) FILTER (WHERE s.line IS NULL), '') AS text
+FROM m LEFT JOIN s USING (line) GROUP BY doc_id"""
+
+
 def op5_decontamination(spark, sf_dir):
     rows = decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     return rows.select(
@@ -38,6 +65,20 @@ def op6_simhash(spark, sf_dir):
     return rows.select("doc_id", fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op8_pii(spark, sf_dir):
+    rows = pii.find_pii(read(spark, sf_dir, "documents"))
+    return rows.select("doc_id", *(f"n_{k}" for k in pii.KINDS), F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
+def op9_secrets(spark, sf_dir):
+    rows = secrets.scan(read(spark, sf_dir, "documents"))
+    kinds = [r.kind for r in secrets.BASE]
+    return rows.select(
+        "doc_id", *(secrets.count_of(F.col("spans"), k).alias(f"n_{k}") for k in kinds),
+        F.sha2(secrets.rendered(F.col("spans"), kinds), 256).alias("base_sha256"), secrets.rendered(F.col("spans")).alias("spans"),
+    )
+
+
 def op10_tokens(spark, sf_dir):
     folder = new_path(spark, "tokens")
     write_tokens(read(spark, sf_dir, "documents"), folder, tokenizer_path())
@@ -86,8 +127,11 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_mixing, op5_decontamination, op6_simhash, op7_quality_rules, op10_tokens)}
+    return {f.__name__: f for f in (
+        op1_licenses, op2_mixing, op3_importance, op4_line_dedup, op5_decontamination,
+        op6_simhash, op7_quality_rules, op8_pii, op9_secrets, op10_tokens,
+    )}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_quality_rules": quality_rules_sql()}
+    return {"op4_line_dedup": LINE_DEDUP_SQL, "op7_quality_rules": quality_rules_sql()}
