@@ -86,9 +86,12 @@ def _best(text: Column, idf: dict, top: float, vectors: list, templates) -> Colu
             lambda v: of(v, F.size(words) - F.size(k)),
         ))
 
+    def dot(v, i):
+        return F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x["n"] * x["w"][i])
+
     def of(v, others):
         square = F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x["n"] * x["w"][0] * x["n"] * x["w"][0]) + others * F.lit(top * top)
-        dots = [F.aggregate(v, F.lit(0.0), lambda acc, x, i=i: acc + x["n"] * x["w"][i + 1]) for i in range(len(vectors))]
+        dots = [dot(v, i + 1) for i in range(len(vectors))]
         return let(F.sqrt(square), lambda s: F.array_max(F.array(*(
             F.struct(F.when(s > 0, F.round(d / s, 6)).otherwise(0.0).alias("score"), F.lit(name).alias("license")) for d, (name, _) in zip(dots, templates)
         ))))
