@@ -25,7 +25,11 @@ from quarry.llm.common import checkpoint, row_key
 from quarry.llm.selection import top_k_cut
 
 #: Buckets of the hashed n-grams; a model is one number for each.
-BUCKETS = 1 << 18
+BUCKETS = 1 << 20
+
+#: Equal slices in which buckets are added up.
+SLICES = 32
+SLICE = BUCKETS // SLICES
 
 #: Labelled good rows that the target model is fitted to, at most, by a hash of the id.
 TARGET_ROWS = 20_000
@@ -60,7 +64,9 @@ def bucket_ids(raw: bytes | None, known: dict):
 def _counts(docs: DataFrame) -> "np.ndarray":  # noqa: F821
     """Counts by bucket over all rows of ``docs`` (text, good), as a (2, BUCKETS) array: all rows, good rows.
 
-    A task sends one row for each bucket it has met; the driver gets BUCKETS rows at most.
+    A task sends what it has met of each slice of the buckets as one row; slices
+    are added up as they stream in, so no task holds more than its slices. The
+    driver gets the sums, whose size BUCKETS bounds.
     """
     import numpy as np
 
@@ -72,19 +78,28 @@ def _counts(docs: DataFrame) -> "np.ndarray":  # noqa: F821
         for batch in batches:
             for raw, good in zip(batch.column("text").cast(pa.large_binary()), batch.column("good").to_pylist()):
                 ids = bucket_ids(raw.as_py(), known)
-                own = np.bincount(ids, minlength=BUCKETS) if len(ids) > BUCKETS // 8 else None
                 for kind in (0, 1) if good else (0,):
-                    if own is None:
-                        np.add.at(total[kind], ids, 1)
-                    else:
-                        total[kind] += own
-        met = np.flatnonzero(total[0])
-        yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(total[0][met]), pa.array(total[1][met])], ["bucket", "raw", "target"])
-
-    rows = docs.select("text", "good").mapInArrow(count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw"), F.sum("target"))
+                    np.add.at(total[kind], ids, 1)
+        for i in range(SLICES):
+            own = total[:, i * SLICE : (i + 1) * SLICE]
+            met = np.flatnonzero(own[0]).astype("<i4")
+            yield pa.RecordBatch.from_pydict({"slice": [i], "at": [met.tobytes()], "n": [np.ascontiguousarray(own[:, met]).astype("<i8").tobytes()]})
+
+    def add(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, at, n in zip(*(batch.column(c).to_pylist() for c in ("slice", "at", "n"))):
+                sums.setdefault(i, np.zeros((2, SLICE), np.int64))[:, np.frombuffer(at, "<i4")] += np.frombuffer(n, "<i8").reshape(2, -1)
+        for i, x in sums.items():
+            yield pa.RecordBatch.from_pydict({"slice": [i], "n": [x.tobytes()]})
+
+    parts = docs.select("text", "good").mapInArrow(count, "slice int, at binary, n binary")
     out = np.zeros((2, BUCKETS), np.int64)
-    for bucket, raw, target in rows.collect():
-        out[:, bucket] = raw, target
+    for i, n in parts.repartition(SLICES, "slice").mapInArrow(add, "slice int, n binary").collect():
+        out[:, i * SLICE : (i + 1) * SLICE] = np.frombuffer(n, np.int64).reshape(2, -1)
     return out
 
 
