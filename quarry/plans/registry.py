@@ -1,11 +1,14 @@
-"""The queries of the engine's own operators and their SQL."""
+"""The queries of the engine's own operators, their SQL, and the flagship query."""
 
 from __future__ import annotations
 
+from quarry.plans import queries as own
+from quarry.plans.oracle import oracle_sql
+from quarry.plans.queries import queries
 
-def queries() -> dict:
-    return {}
+__all__ = ["flagship", "oracle_sql", "queries"]
 
 
-def oracle_sql() -> dict[str, str]:
-    return {}
+def flagship(spark, sf_dir):
+    """Texts rich enough in entities, and their mean density, by source and language."""
+    return own.density_by_source(spark, sf_dir)
