@@ -13,12 +13,15 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarry.functions.fixed import CATEGORIES, MAX_EVIDENCE_WORDS, PREDICATES, STOP_WORDS
 from quarry.functions.junk import is_junk, normalize
 from quarry.functions.text import strip, truncate_words
 
-RECORD = "item_id string, concept string, category string, evidence string, predicate string, target string, synonyms array<string>"
+RECORD = T.StructType(
+    [T.StructField(c, T.StringType()) for c in ("item_id", "concept", "category", "evidence", "predicate", "target")] + [T.StructField("synonyms", T.ArrayType(T.StringType()))]
+)
 
 _FENCE = re.compile(r"\A```(?:json)?\s*|\s*```\Z", re.IGNORECASE)
 
@@ -60,7 +63,7 @@ def record(raw: str | None, item_id: str | None = None) -> dict | None:
 
 @F.pandas_udf(RECORD)
 def parsed(raw: pd.Series, item_id: pd.Series) -> pd.DataFrame:
-    names = [c.split(" ")[0] for c in RECORD.split(", ")]
+    names = RECORD.names
     rows = [record(None if pd.isna(r) else r, None if pd.isna(i) else i) or dict.fromkeys(names) for r, i in zip(raw, item_id)]
     return pd.DataFrame(rows, columns=names)
 
@@ -133,6 +136,6 @@ def string_list(raw: str | None) -> list[str] | None:
     return list(dict.fromkeys(s.strip() for s in value if isinstance(s, str) and s.strip()))
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def parse_string_list(raw: pd.Series) -> pd.Series:
     return raw.map(lambda x: string_list(None if pd.isna(x) else x))

@@ -11,6 +11,7 @@ from pathlib import Path
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarry.functions.fixed import CSV_ENCODINGS, CSV_SAMPLE_CHARS, CSV_SEPARATORS, DECLARED_VARIABLES, STOP_WORDS, TOP_LEVEL_CONCEPTS
 
@@ -19,7 +20,7 @@ def is_pdf(path: Column) -> Column:
     return F.lower(path).endswith(".pdf")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def pdf_text(content: pd.Series) -> pd.Series:
     """The pages' texts, one a line; needs the optional package pypdf on the workers."""
     from io import BytesIO
