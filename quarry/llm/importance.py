@@ -96,9 +96,9 @@ def _counts(docs: DataFrame) -> "np.ndarray":  # noqa: F821
         for i, x in sums.items():
             yield pa.RecordBatch.from_pydict({"slice": [i], "n": [x.tobytes()]})
 
-    parts = docs.select("text", "good").mapInArrow(count, "slice int, at binary, n binary")
+    parts = docs.select("text", "good").mapInArrow(count, "slice long, at binary, n binary")
     out = np.zeros((2, BUCKETS), np.int64)
-    for i, n in parts.repartition(SLICES, "slice").mapInArrow(add, "slice int, n binary").collect():
+    for i, n in parts.repartition(SLICES, "slice").mapInArrow(add, "slice long, n binary").collect():
         out[:, i * SLICE : (i + 1) * SLICE] = np.frombuffer(n, np.int64).reshape(2, -1)
     return out
 
