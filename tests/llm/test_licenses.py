@@ -55,7 +55,7 @@ def compare(df, expected):
 
 PATHS = [
     (1, "a/LICENSE", "Released under the MIT License."), (2, "a/b/x.py", "code"), (3, "a/b/c/y.py", None), (4, "a/b/c/LICENSE", "Licensed under the Apache License, Version 2.0."),
-    (5, "a/b/c/d/z.py", "more code"), (6, "a/b/w.py", "# All rights reserved.\nand code"), (7, "q/z.py", "nothing"), (8, None, "x"), (9, "top", "x"), (10, "", ""),
+    (5, "a/b/c/d/z.py", "more code"), (6, "a/b/w.py", "# All rights reserved.\n" + "and code that does something " * 9), (7, "q/z.py", "nothing"), (8, None, "x"), (9, "top", "x"), (10, "", ""),
     (11, "a/b/c", "a file named as a folder"), (2, "a/b/x.py", "code"),
 ]
 
@@ -63,7 +63,7 @@ PATHS = [
 def test_inheritance(spark):
     df = spark.createDataFrame([(i, t, "en", "s", 0, "x", p, 0) for i, p, t in PATHS], "doc_id long, text string, lang string, source string, n_chars long, _row_key string, h string, rank int")
     got = {r.doc_id: (r.license, r.origin) for r in L.license_scan(df, F.col("h")).collect()}
-    assert got[2] == ("MIT", "inherited") and got[3] == ("MIT", "inherited") and got[5] == ("Apache-2.0", "inherited") and got[6] == ("proprietary", "header")
+    assert got[2] == ("MIT", "inherited") and got[3] == ("Apache-2.0", "inherited") and got[5] == ("Apache-2.0", "inherited") and got[6] == ("proprietary", "header")
     assert got[7] == got[8] == got[9] == (None, None) and got[11] == ("MIT", "inherited")
     compare(L.license_scan(df, F.col("h")), slow(PATHS))
 
