@@ -29,8 +29,8 @@ END = 2
 #: Bytes of text that a partition gets on average.
 PART_BYTES = 24 << 20
 
-#: Pieces of text whose ids a worker keeps.
-CACHED = 200_000
+#: Pieces of text after which a worker starts a new store; it keeps the one before as well.
+CACHED = 300_000
 
 NO_ID = -(1 << 63)
 
@@ -64,51 +64,98 @@ def _read(folder: str, name: str):
         return f.read_buffer()
 
 
+#: Splits a byte-level tokenizer makes before merging, for texts below U+0250 (fixed values).
+_BLANK = r"\t-\r \x85\xa0"
+_SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_BLANK}\p{{L}}\p{{N}}]+|[{_BLANK}]+(?![^{_BLANK}])|[{_BLANK}]+"
+_PLAIN = "\u0250"
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte: itself if it can be seen, else the next one from U+0100."""
+    seen = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = (b for b in range(256) if b not in seen)
+    return {b: chr(b) for b in seen} | {b: chr(0x100 + i) for i, b in enumerate(hidden)}
+
+
 class Encoder:
-    """Ids of whole texts by a tokenizer file of byte-level BPE, with a bounded store of pieces.
+    """Ids of whole texts by a tokenizer file, with a bounded store of pieces for byte-level BPE.
 
     A single space between two words always begins a new piece, so a text is cut
-    there and equal pieces are encoded once. Texts in which white space stands
-    around a space in another way are given to the tokenizer whole.
+    there and equal pieces are merged once, by the tokenizer's own model. Texts in
+    which white space stands around a space in another way, texts with special
+    tokens' strings, and other kinds of tokenizers go through the tokenizer whole.
     """
 
     def __init__(self, path: str, end: int = END):
         import re
 
+        import regex
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size()
         self.dtype = "<u2" if max(self.size, end + 1) <= 1 << 16 else "<u4"
+        self.width = int(self.dtype[-1])
         self.end = end
-        self.known: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.mixed = re.compile(r"\s (?:\s|\Z)")
+        self.split = regex.compile(_SPLIT).findall
+        self.letters = _byte_letters()
+        self.model = self.tokenizer.model
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
+        kind = json.loads(self.tokenizer.to_str())
+        before = kind["pre_tokenizer"] or {}
+        self.by_pieces = (
+            kind["normalizer"] is None and kind["model"]["type"] == "BPE" and before.get("type") == "ByteLevel"
+            and before.get("use_regex", True) and not before.get("add_prefix_space")
+        )
+
+    def _whole(self, text: str) -> bytes:
         import numpy as np
 
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+
+    def _merged(self, part: str) -> bytes:
+        """The ids of a part that is merged by itself."""
+        letters = part.encode().decode("latin-1").translate(self.letters)
+        return b"".join([t.id.to_bytes(self.width, "little") for t in self.model.tokenize(letters)])
+
+    def _piece(self, piece: str) -> bytes:
+        bare = piece[1:] if piece[0] == " " else piece
+        if max(piece) >= _PLAIN:
+            return self._whole(piece)
+        if bare.isalpha():
+            return self._merged(piece)
+        young, old, out = self.young, self.old, []
+        for part in self.split(piece):
+            ids = young.get(part) or old.get(part)
+            if ids is None:
+                ids = young[part] = self._merged(part)
+            out.append(ids)
+        return b"".join(out)
 
     def encode(self, text: str | None) -> bytes:
         """The ids of ``text`` as little-endian integers, without the end id."""
         if not text:
             return b""
-        if self.mixed.search(text) or any(t in text for t in self.special):
-            return self._ids([text])[0]
+        if not self.by_pieces or self.mixed.search(text) or any(t in text for t in self.special):
+            return self._whole(text)
         first, *rest = text.split(" ")
-        pieces = [first, *map(" ".__add__, rest)] if first else list(map(" ".__add__, rest))
-        known = self.known
-        try:
-            return b"".join([known[p] for p in pieces])
-        except KeyError:
-            new = list({p for p in pieces if p not in known})
-            if len(known) + len(new) > CACHED:
-                known = dict(zip(pieces, map(known.get, pieces)))
-                known = self.known = {p: x for p, x in known.items() if x is not None}
-            known.update(zip(new, self._ids(new)))
-            return b"".join([known[p] for p in pieces])
+        pieces = [first] if first else []
+        pieces += [" " + x for x in rest]
+        young = self.young
+        found = list(map(young.get, pieces))
+        if None in found:
+            old = self.old
+            for i, ids in enumerate(found):
+                if ids is None:
+                    p = pieces[i]
+                    found[i] = young[p] = young.get(p) or old.get(p) or self._piece(p)
+            if len(young) > CACHED:
+                self.old, self.young = young, {}
+        return b"".join(found)
 
 
 _encoders: dict[tuple, Encoder] = {}
