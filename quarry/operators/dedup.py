@@ -28,7 +28,7 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda acc, x: acc + x)
 
 
-def greedy_keep(df: DataFrame, group: str, order: str, embedding: str, threshold: float = SIMILARITY) -> DataFrame:
+def greedy_keep(df: DataFrame, group: str, order: str | list[str], embedding: str, threshold: float = SIMILARITY) -> DataFrame:
     """Rows that survive a scan of their group in order: a kept row removes later rows of similarity above ``threshold``.
 
     Removed rows remove nothing. A group's scan is sequential, so a group is
@@ -107,9 +107,9 @@ def embed(df: DataFrame, make_embedder: Callable[[], Embedder], text: str, into:
     return df.mapInArrow(run, schema)
 
 
-def dedup_concepts(concepts: DataFrame, group: str, order: str, threshold: float = SIMILARITY, make_embedder: Callable[[], Embedder] = HashedEmbedder) -> DataFrame:
+def dedup_concepts(concepts: DataFrame, group: str, order: str | list[str], threshold: float = SIMILARITY, make_embedder: Callable[[], Embedder] = HashedEmbedder) -> DataFrame:
     """Exact duplicates by (concept, category) and then near-duplicates by embedding, inside each group."""
-    unique = exact_first(concepts, ["concept", "category"], [order], group)
+    unique = exact_first(concepts, ["concept", "category"], [order] if isinstance(order, str) else order, group)
     return greedy_keep(embed(unique, make_embedder, "concept", "_v"), group, order, "_v", threshold).drop("_v")
 
 

@@ -103,5 +103,6 @@ def semantic_filter(df: DataFrame, make_tagger: Callable[[], Tagger], config: Fi
     """The rows rich enough in entities, with the columns they came with; all of them if not ``enabled``."""
     if not enabled:
         return df
-    tagged = tag_entities(df, make_tagger, config.labels, text=text, into="entities")
-    return scored(tagged, config, text).filter("keep").select(*(F.col(f"`{c}`") for c in df.columns))
+    tagged = tag_entities(df, make_tagger, config.labels, text=text, into="_entities")
+    score, dense = mean_score(F.col("_entities")), density(F.col("_entities"), F.col(f"`{text}`"), config.ignore_stop_words)
+    return tagged.filter((score >= config.threshold_score) & (dense >= config.threshold_density)).select(*(F.col(f"`{c}`") for c in df.columns))

@@ -39,7 +39,7 @@ def text_track(
     config: semfilter.FilterConfig = semfilter.FilterConfig(), filtering: bool = True, max_length: int = 3000, similarity: float = SIMILARITY,
     make_embedder: Callable = dedup.HashedEmbedder,
 ) -> DataFrame:
-    """Concepts (source, seq, ...) of texts (source, doc, text): clean, filter, prompt, generate, parse, deduplicate by source.
+    """Concepts (source, doc, place, ...) of texts (source, doc, text): clean, filter, prompt, generate, parse, deduplicate by source.
 
     ``doc`` orders a source's texts. The only shuffles are those of the
     deduplication, by source.
@@ -50,8 +50,7 @@ def text_track(
     prompts = rows.select("source", "doc", generation.chat_prompt(fitted, system_prompt, user_template).alias("prompt"))
     answers = generation.generate(prompts, make_generator).select("source", "doc", "raw")
     found = concepts.parse_concepts(answers)
-    found = found.withColumn("seq", F.struct("doc", "place")).drop("place", "doc")
-    return dedup.dedup_concepts(found, "source", "seq", similarity, make_embedder)
+    return dedup.dedup_concepts(found, "source", ["doc", "place"], similarity, make_embedder)
 
 
 @dataclass

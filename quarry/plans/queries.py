@@ -317,7 +317,7 @@ def embedded_terms(spark, sf_dir):
 def text_track(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("source", F.col("doc_id").alias("doc"), "text")
     found = pipelines.text_track(docs, lambda: semfilter.GazetteerTagger(GAZETTEER), pipelines.KeywordGenerator)
-    return found.select("source", "seq.doc", "seq.place", "concept", "category", "evidence")
+    return found.select("source", "doc", "place", "concept", "category", "evidence")
 
 
 def questionnaire_track(spark, sf_dir):
