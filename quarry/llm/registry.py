@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm import pii, secrets
 from quarry.llm.common import new_path, read
-from quarry.llm.decontaminate import decontaminate
+from quarry.llm.decontaminate import WINDOW, decontaminate
 from quarry.llm.importance import importance
 from quarry.llm.licenses import license_scan
 from quarry.llm.line_dedup import MIN_SITES, line_dedup
@@ -56,10 +56,27 @@ def op5_decontamination(spark, sf_dir):
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
-        F.size("near_items").cast("long").alias("n_near_items"),
     )
 
 
+def _ascii_words(text: str) -> str:
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return rf"list_filter(regexp_split_to_array(translate(coalesce({text}, ''), '{upper}', '{upper.lower()}'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+
+
+DECONTAMINATION_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_ascii_words('text')} AS w FROM documents),
+b AS (SELECT item_id, {_ascii_words('text')} AS w FROM benchmark),
+win AS (SELECT DISTINCT item_id, w[i:i + {WINDOW - 1}] AS k FROM (SELECT item_id, w, unnest(range(1, greatest(1, len(w) - {WINDOW - 2}) + 1)) AS i FROM b WHERE len(w) > 0)),
+size AS (SELECT DISTINCT len(k) AS n FROM win),
+dw AS (SELECT rid, n, i, w[i:i + n - 1] AS k FROM (SELECT rid, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, size WHERE len(w) >= n)),
+hit AS (SELECT rid, i, n, item_id FROM dw JOIN win USING (k)),
+place AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(i, i + n)) AS p FROM hit) GROUP BY rid),
+item AS (SELECT rid, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS ids FROM (SELECT DISTINCT rid, item_id::VARCHAR AS x FROM hit WHERE item_id IS NOT NULL) GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN place USING (rid) LEFT JOIN item USING (rid)"""
+
+
 def op6_simhash(spark, sf_dir):
     rows = near_duplicates(read(spark, sf_dir, "documents"))
     return rows.select("doc_id", fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
@@ -79,6 +96,27 @@ def op9_secrets(spark, sf_dir):
     )
 
 
+def _secrets_sql() -> str:
+    parts = []
+    for i, r in enumerate(secrets.RULES):
+        p = r.pattern.replace("'", "''")
+        parts.append(
+            f"SELECT rid, {i} AS rank, '{r.kind}' AS kind, unnest(range(1, len(m) + 1)) AS i, m, g, own FROM (SELECT rid, regexp_extract_all(t, '{p}') AS m, "
+            f"regexp_extract_all(t, '{p}', {r.group}) AS own, string_split_regex(t, '{p}') AS g FROM d)"
+        )
+    least = " ".join(f"WHEN {i} THEN {r.least}" for i, r in enumerate(secrets.RULES))
+    total = lambda x: f"coalesce(list_sum(list_transform({x}, lambda y: length(y))), 0)"
+    base = ", ".join(f"'{r.kind}'" for r in secrets.BASE)
+    listed = "string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, rank)"
+    counts = ", ".join(f"(count(*) FILTER (kind = '{r.kind}'))::BIGINT AS n_{r.kind}" for r in secrets.BASE)
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+m AS ({' UNION ALL '.join(parts)}),
+s AS (SELECT rid, rank, kind, ({total('g[1:i]')} + {total('m[1:i - 1]')})::BIGINT AS a, length(m[i]) AS n FROM m WHERE length(own[i]) >= CASE rank {least} END),
+f AS (SELECT rid, rank, kind, a, a + n AS b FROM s)
+SELECT doc_id, {counts}, sha256(coalesce({listed} FILTER (kind IN ({base})), '')) AS base_sha256, coalesce({listed} FILTER (kind IS NOT NULL), '') AS spans FROM d LEFT JOIN f USING (rid) GROUP BY rid, doc_id"""
+
+
 def op10_tokens(spark, sf_dir):
     folder = new_path(spark, "tokens")
     write_tokens(read(spark, sf_dir, "documents"), folder, tokenizer_path())
@@ -134,4 +172,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": LINE_DEDUP_SQL, "op7_quality_rules": quality_rules_sql()}
+    return {"op4_line_dedup": LINE_DEDUP_SQL, "op5_decontamination": DECONTAMINATION_SQL, "op7_quality_rules": quality_rules_sql(), "op9_secrets": _secrets_sql()}
