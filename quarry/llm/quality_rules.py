@@ -128,6 +128,9 @@ def measures(docs: DataFrame) -> DataFrame:
         "n_stop_words": F.size(F.filter(words, lambda w: (F.octet_length(w) <= LONGEST_STOP_WORD) & F.lower(w).isin(STOP_WORDS))),
         "n_exclamations": F.length(text) - F.length(F.replace(text, F.lit("!"), F.lit(""))),
     }
+    # The row number keeps a later filter above this projection; below it, the filter
+    # would work out the words again for each of its expressions, and inside lambdas for each word.
+    values["row"] = F.monotonically_increasing_id()
     return second.withColumns({f"_q_{k}": v.cast("long") for k, v in values.items()}).drop("_q_words", "_q_lines", "_q_hashes")
 
 
@@ -144,7 +147,7 @@ def _passes(rule: Rule, col) -> Column:
 def _verdict(df: DataFrame, rules) -> DataFrame:
     col = lambda k: F.col(f"_q_{k}")
     failed = F.filter(F.array(*(F.when(~_passes(r, col), F.lit(r.name)) for r in rules)), lambda x: x.isNotNull())
-    base = (col("n_words") < BASE_LEAST_WORDS) | (100 * col("n_repeat_words") > BASE_REPEAT_PERCENT * col("n_words"))
+    base = (col("row") < 0) | (col("n_words") < BASE_LEAST_WORDS) | (100 * col("n_repeat_words") > BASE_REPEAT_PERCENT * col("n_words"))
     return df.withColumns({"_q_base_failed": base, "_q_failed": failed})
 
 
