@@ -73,24 +73,23 @@ def targets(by_source: DataFrame, weights=WEIGHTS, most_times: int = MOST_TIMES)
     table = ranked(by_source, order, 8)
     weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.col("rank") % len(weights) + 1).cast("int"))
     table = checkpoint(table.withColumn("w", weight).withColumn("cap", (F.col("source_size") * most_times).cast("double")))
-    total = float(table.agg(F.sum("source_size")).first()[0] or 0)
     level, known = 0.0, None
     while True:
         at_cap = F.col("cap") <= level * F.col("w")
-        n, capped, open_weight = table.agg(F.count_if(at_cap), F.sum(F.when(at_cap, F.col("cap"))), F.sum(F.when(~at_cap, F.col("w")))).first()
+        n, capped, open_weight, total = table.agg(F.count_if(at_cap), F.sum(F.when(at_cap, F.col("cap"))), F.sum(F.when(~at_cap, F.col("w"))), F.sum("source_size")).first()
         if n == known or not open_weight:
             break
-        known, level = n, (total - (capped or 0.0)) / open_weight
+        known, level = n, (float(total) - (capped or 0.0)) / open_weight
     target = F.when(F.col("source_size") > 0, F.least(F.col("cap"), F.lit(level) * F.col("w"))).otherwise(0.0)
     return table.select("source", "source_size", target.alias("target"))
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """``df`` marked for broadcast if it is known to be small; otherwise left to be shuffled."""
-    return F.broadcast(df) if count_bounded(df, BROADCAST_ROWS) else df
+def _sent(df: DataFrame, small: bool) -> DataFrame:
+    """``df``, of a row a source, marked for broadcast if there are few sources; otherwise left to be shuffled."""
+    return F.broadcast(df) if small else df
 
 
-def thresholds(rows: DataFrame, budgets: DataFrame) -> DataFrame:
+def thresholds(rows: DataFrame, budgets: DataFrame, small: bool) -> DataFrame:
     """(source, below): the hash below which a source's documents fill its ``budget``.
 
     One narrow histogram a level: after the first, only rows in a source's open
@@ -102,7 +101,7 @@ def thresholds(rows: DataFrame, budgets: DataFrame) -> DataFrame:
     width = 63
     for _ in range(LEVELS):
         step = max(0, width - LEVEL_BITS)
-        o, r = _small(opened).alias("o"), rows.alias("r")
+        o, r = _sent(opened, small).alias("o"), rows.alias("r")
         inside = r.join(o, same("r", "o")).select(
             F.col("r.source").alias("source"), "size", F.shiftrightunsigned(F.col("h") - F.col("low"), step).alias("bucket"),
             ((F.col("h") >= F.col("low")) & (F.shiftrightunsigned(F.col("h") - F.col("low"), width) == 0) if width < 63 else F.lit(True)).alias("inside"),
@@ -110,7 +109,7 @@ def thresholds(rows: DataFrame, budgets: DataFrame) -> DataFrame:
         histogram = inside.filter("inside").groupBy("source", "bucket").agg(F.sum("size").alias("n"))
         before = F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         running = histogram.withColumn("before", before)
-        b, o = running.alias("b"), _small(opened).alias("o")
+        b, o = running.alias("b"), _sent(opened, small).alias("o")
         boundary = b.join(o, same("b", "o")).filter(F.col("before") <= F.col("left"))
         last = boundary.groupBy(F.col("b.source").alias("source")).agg(F.max(F.struct("bucket", "before", "n", "left", "low")).alias("x"))
         left = F.col("x.left") - F.col("x.before")
@@ -125,7 +124,7 @@ def thresholds(rows: DataFrame, budgets: DataFrame) -> DataFrame:
 
 
 def plan(rows: DataFrame, weights=WEIGHTS, most_times: int = MOST_TIMES, budget: float = 1.0) -> DataFrame:
-    """(source, source_size, target, whole, below) from the rows of :func:`sizes`.
+    """(source, source_size, target, whole, below) from the rows of :func:`sizes`, marked for broadcast if there are few sources.
 
     A document is taken ``whole`` times, and once more if its hash is less than ``below``.
     """
@@ -133,10 +132,11 @@ def plan(rows: DataFrame, weights=WEIGHTS, most_times: int = MOST_TIMES, budget:
     by_source = by_source.withColumn("target", F.col("target") * budget)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     by_source = checkpoint(by_source.withColumn("whole", whole))
+    small = count_bounded(by_source, BROADCAST_ROWS)
     budgets = by_source.select("source", (F.col("target") - F.col("whole") * F.col("source_size")).alias("budget"))
-    s, b = by_source.alias("s"), _small(thresholds(rows, budgets)).alias("b")
+    s, b = by_source.alias("s"), _sent(thresholds(rows, budgets, small), small).alias("b")
     joined = s.join(b, F.col("s.source").eqNullSafe(F.col("b.source")), "left")
-    return checkpoint(joined.select("s.*", F.coalesce("below", F.lit(0)).cast("long").alias("below")))
+    return _sent(checkpoint(joined.select("s.*", F.coalesce("below", F.lit(0)).cast("long").alias("below"))), small)
 
 
 def _times(h, most_times: int):
@@ -148,7 +148,7 @@ def _times(h, most_times: int):
 def mix(docs: DataFrame, weights=WEIGHTS, most_times: int = MOST_TIMES, budget: float = 1.0) -> DataFrame:
     """(doc_id, size, source_size, target, taken, times) for every row; ``budget`` is the share of all sizes to take."""
     rows = checkpoint(sizes(docs))
-    found = _small(plan(rows, weights, most_times, budget)).alias("p")
+    found = plan(rows, weights, most_times, budget).alias("p")
     out = rows.alias("r").join(found, F.col("r.source").eqNullSafe(F.col("p.source")))
     times = _times(F.col("r.h"), most_times)
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * times).alias("taken"), times.alias("times"))
@@ -156,7 +156,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, most_times: int = MOST_TIMES, budget:
 
 def take(docs: DataFrame, weights=WEIGHTS, most_times: int = MOST_TIMES) -> DataFrame:
     """The rows of ``docs`` in the mix, each as often as it is taken; their texts aren't shuffled."""
-    found = _small(plan(checkpoint(sizes(docs)), weights, most_times)).alias("p")
+    found = plan(checkpoint(sizes(docs)), weights, most_times).alias("p")
     joined = docs.alias("d").join(found, F.col("d.source").eqNullSafe(F.col("p.source")))
     times = _times(_hash("d.doc_id"), most_times)
     copies = joined.select("d.*", F.explode(F.array_repeat(F.lit(0), times.cast("int"))))
