@@ -53,3 +53,9 @@ def test_keep(spark):
 def test_no_user_functions(spark):
     plan = quality_rules(documents(spark))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Exchange" not in plan
+
+
+def test_filters_stay_above_the_measures(spark):
+    for df in (keep(documents(spark)), quality_rules(documents(spark)).filter("kept")):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert all("split(" not in line for line in plan.splitlines() if line.strip(" +-:").startswith("Filter"))
