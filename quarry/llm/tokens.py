@@ -30,7 +30,7 @@ END = 2
 PART_BYTES = 24 << 20
 
 #: Pieces of text after which a worker starts a new store; it keeps the one before as well.
-CACHED = 300_000
+CACHED = 500_000
 
 NO_ID = -(1 << 63)
 
