@@ -41,6 +41,25 @@ LICENCE_WORD = r"(?i)licen[sc]|copyright|rights\x20+reserved|redistribution"
 
 HEADER_SCORE, FILE_SCORE = 0.6, 0.5
 
+#: (licence, score, pattern over the words of a line, each between spaces); a claim of all rights is below a named licence.
+PHRASES = (
+    ("Apache-2.0", 1.0, r" apache licen[sc]e (?:version |v )?2 0 | apache licen[sc]e v2 | apache 2 0 licen[sc]e | licen[sc]e (?:identifier )?apache 2 0 "),
+    ("BSD-3-Clause", 1.0, r" bsd 3 clause | 3 clause bsd | (?:new|modified|the) bsd licen[sc]e "),
+    ("CC-BY-NC-4.0", 1.0, r" cc by nc 4 0 | attribution noncommercial 4 0 international "),
+    ("GPL-3.0", 1.0, r" gnu general public licen[sc]e (?:as published by the free software foundation )?(?:either )?(?:version 3|v3|3 0) | version 3 of the gnu general public licen[sc]e | gpl (?:version )?v?3 | gplv3 "),
+    ("MIT", 1.0, r" mit licen[sc]e | licen[sc]e (?:identifier )?(?:is )?mit (?!0 )| licen[sc]ed under mit (?!0 )"),
+    ("proprietary", HEADER_SCORE, r" all rights reserved "),
+)
+
+#: (licence, score, passages of its full text, as words between spaces).
+PASSAGES = (
+    ("Apache-2.0", 1.0, " apache license version 2 0 january 2004 ", " terms and conditions for use reproduction and distribution ", " end of terms and conditions "),
+    ("BSD-3-Clause", 1.0, " redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met ", " may be used to endorse or promote products derived from this software without specific prior written permission "),
+    ("CC-BY-NC-4.0", 1.0, " creative commons attribution noncommercial 4 0 international public license ", " by exercising the licensed rights "),
+    ("GPL-3.0", 1.0, " gnu general public license version 3 29 june 2007 ", " everyone is permitted to copy and distribute verbatim copies of this license document ", " end of terms and conditions "),
+    ("MIT", 1.0, " permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files ", " the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software "),
+)
+
 
 def template_words(text: str) -> list[str]:
     return re.findall(r"[a-z0-9]+", text.lower())
@@ -99,6 +118,25 @@ def _best(text: Column, idf: dict, top: float, vectors: list, templates) -> Colu
     return let(_words(text), score)
 
 
+def _named(text: Column, phrases, holds) -> Column:
+    """struct(score, license) of the best of ``phrases`` in ``text``; null if it has none."""
+    flat = F.concat(F.lit(" "), F.array_join(_words(text), " "), F.lit(" "))
+    return let(flat, lambda x: F.array_max(F.array(*(
+        F.when(holds(x, own), F.struct(F.lit(score).alias("score"), F.lit(name).alias("license"))) for name, score, *own in phrases
+    ))))
+
+
+def _holds_phrase(flat: Column, own: list[str]) -> Column:
+    return flat.rlike(own[0])
+
+
+def _holds_passages(flat: Column, own: list[str]) -> Column:
+    out = F.lit(True)
+    for passage in own:
+        out = out & F.contains(flat, F.lit(passage))
+    return out
+
+
 def license_scan(docs: DataFrame, path: Column, templates=TEMPLATES) -> DataFrame:
     """(doc_id, path, license, origin, score) for every row; origin is header, inherited or null."""
     docs = docs.select("doc_id", path.alias("path"), "text", F.xxhash64(row_key(), path).alias("row_key"))
@@ -110,8 +148,13 @@ def license_scan(docs: DataFrame, path: Column, templates=TEMPLATES) -> DataFram
         "row_key", "path",
         F.explode(F.array_append(F.transform("headers", lambda x: F.struct(F.lit(False).alias("file"), x.alias("text"))), F.struct(F.lit(True).alias("file"), F.col("text").alias("text")))).alias("unit"),
     )
-    scored = units.select("row_key", "path", F.col("unit.file").alias("file"), _best(F.col("unit.text"), idf, top, vectors, templates).alias("best"))
-    best = checkpoint(scored.groupBy("row_key", "path").agg(F.max(F.when(~F.col("file"), F.col("best"))).alias("header"), F.max(F.when(F.col("file"), F.col("best"))).alias("whole")))
+    named = F.when(F.col("unit.file"), _named(F.col("unit.text"), PASSAGES, _holds_passages)).otherwise(_named(F.col("unit.text"), PHRASES, _holds_phrase))
+    scored = units.select("row_key", "path", F.col("unit.file").alias("file"), _best(F.col("unit.text"), idf, top, vectors, templates).alias("nearest"), named.alias("named"))
+    scored = scored.withColumn("best", F.array_max(F.array("nearest", "named")))
+    own_text = F.max(F.when(F.col("file"), F.col("named")))
+    best = checkpoint(scored.groupBy("row_key", "path").agg(
+        F.coalesce(own_text, F.max(F.when(~F.col("file"), F.col("best")))).alias("header"), F.max(F.when(F.col("file"), F.coalesce("named", "best"))).alias("whole"),
+    ))
 
     parts = F.split("path", "/", -1)
     parent = F.array_join(F.slice(parts, 1, F.size(parts) - 1), "/")

@@ -1,5 +1,7 @@
 import math
+import os
 import re
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -79,3 +81,57 @@ def test_whole_table(spark, sf_dir):
 def test_empty_and_native(spark):
     assert L.license_scan(empty(spark), F.col("source")).count() == 0
     assert "Python" not in L.license_scan(documents(spark), F.col("source"))._jdf.queryExecution().executedPlan().toString()
+
+
+MIT_TEXT = """Copyright (c) 2024 Acme Corp.
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE."""
+
+BSD_TEXT = """Copyright (c) 2024 Acme Corp.
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+3. Neither the name of the copyright holder nor the names of its contributors
+   may be used to endorse or promote products derived from this software
+   without specific prior written permission."""
+
+
+@pytest.mark.parametrize("n", [10**4, 12 * 10**6])
+def test_licence_is_found_at_every_table_size(spark, monkeypatch, n):
+    monkeypatch.setattr(L, "document_frequencies", lambda docs, terms: (n, {}))
+    lines = {
+        1: ("Code released under the MIT License.", "MIT"), 2: ("Licensed under the Apache License, Version 2.0 by the Acme Authors.", "Apache-2.0"),
+        3: ("Copyright (c) 2024 Acme Corp. Licensed under the MIT License.", "MIT"), 4: ("x = 1\n# SPDX-License-Identifier: MIT\ny = 2", "MIT"),
+        5: ("SPDX-License-Identifier: GPL-3.0-only", "GPL-3.0"), 6: ("Copyright (c) 2024 Acme Corp. All rights reserved.\nThis code has the MIT license", "MIT"),
+        7: ("SPDX-License-Identifier: LGPL-3.0", None), 8: ("SPDX-License-Identifier: MIT-0", None), 9: ("Copyright of the limit licenses", None),
+    }
+    rows = [(i, f"l{i}/x.py", t) for i, (t, _) in lines.items()]
+    files = {"mit": ("MIT", MIT_TEXT), "bsd": ("BSD-3-Clause", BSD_TEXT)}
+    common = "/usr/share/common-licenses"
+    for name, licence in (("Apache-2.0", "Apache-2.0"), ("GPL-3", "GPL-3.0")):
+        if os.path.exists(f"{common}/{name}"):
+            files[name] = (licence, Path(common, name).read_text())
+    for i, (name, (licence, text)) in enumerate(files.items()):
+        rows += [(100 + 2 * i, f"{name}/LICENSE", text), (101 + 2 * i, f"{name}/src/a.py", "code")]
+        lines[101 + 2 * i] = ("", licence)
+        if licence:
+            lines[100 + 2 * i] = ("", licence)
+    got = {r.doc_id: r.license for r in L.license_scan(spark.createDataFrame(rows, "doc_id long, path string, text string"), F.col("path")).collect()}
+    assert {i: got[i] for i in lines} == {i: x for i, (_, x) in lines.items()}
