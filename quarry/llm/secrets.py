@@ -61,7 +61,7 @@ SPANS = "array<struct<start:int,rank:int,end:int,kind:string>>"
 
 
 def spans_of(text: Column, rule: Rule, rank: int) -> Column:
-    """The rule's findings in ``text``, in order, as SPANS."""
+    """The rule's findings in ``text``, in order, as SPANS whose kind is the rule's name."""
     none = F.array().cast(SPANS)
     lengths = lambda x: F.transform(x, lambda y: F.length(y))
     facts = F.arrays_zip(
@@ -73,7 +73,7 @@ def spans_of(text: Column, rule: Rule, rank: int) -> Column:
         (acc["at"] + x["gap"] + F.coalesce(x["n"], F.lit(0))).alias("at"),
         F.when(
             x["own"] >= rule.least,
-            F.array_append(acc["spans"], F.struct((acc["at"] + x["gap"]).alias("start"), F.lit(rank).alias("rank"), (acc["at"] + x["gap"] + x["n"]).alias("end"), F.lit(rule.kind).alias("kind"))),
+            F.array_append(acc["spans"], F.struct((acc["at"] + x["gap"]).alias("start"), F.lit(rank).alias("rank"), (acc["at"] + x["gap"] + x["n"]).alias("end"), F.lit(rule.name).alias("kind"))),
         ).otherwise(acc["spans"]).cast(SPANS).alias("spans"),
     )
     found = F.aggregate(facts, F.struct(F.lit(0).alias("at"), none.alias("spans")), step, lambda acc: acc["spans"])
@@ -104,9 +104,10 @@ def scan(docs: DataFrame, ledger: str | None = None, rules=RULES) -> DataFrame:
     findings = F.flatten(F.array(*(F.when(F.array_contains("_missing", r.name), spans_of(F.col("_text"), r, i)).otherwise(F.array().cast(SPANS)) for i, r in enumerate(rules))))
     texts.select("blob", F.col("_missing").alias("scanned"), findings.alias("spans")).write.mode("append").parquet(ledger)
 
-    kinds = [r.kind for r in rules]
-    own = spark.read.parquet(ledger).join(blobs.select("blob"), "blob", "left_semi").select("blob", F.explode("spans").alias("x"))
-    own = own.filter(F.col("x.kind").isin(kinds)).groupBy("blob").agg(F.sort_array(F.collect_set("x")).alias("spans"))
+    own = spark.read.parquet(ledger).join(blobs.select("blob"), "blob", "left_semi").select("blob", "scanned", F.explode("spans").alias("x"))
+    # Ledgers of before hold the bare kind; the row's own rule versions tell which one found it.
+    named = F.when(F.contains("x.kind", F.lit("@")), F.col("x.kind")).otherwise(F.get(F.filter("scanned", lambda v: F.substring_index(v, "@", 1) == F.col("x.kind")), 0))
+    own = own.filter(named.isin([r.name for r in rules])).withColumn("x", F.col("x").withField("kind", F.substring_index("x.kind", "@", 1))).groupBy("blob").agg(F.sort_array(F.collect_set("x")).alias("spans"))
     members = checkpoint(blobs.select("blob", "n").join(own, "blob", "left").withColumn("spans", F.coalesce("spans", F.array().cast(SPANS))))
     return join_counted(paths, members, "blob").select("doc_id", "blob", "spans")
 

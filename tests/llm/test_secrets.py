@@ -1,4 +1,5 @@
 import re
+from dataclasses import replace
 
 import pytest
 
@@ -56,6 +57,17 @@ def test_ledger_scans_only_what_is_new(spark):
     assert rows.count() == 6 and rows.filter("size(scanned) = 1").count() == 3
 
 
+def test_a_new_version_drops_what_only_the_old_one_found(spark):
+    ledger, docs = new_path(spark, "ledger"), documents(spark, ODD)
+    old = secrets.BASE[1]
+    new = replace(old, pattern="ASIA[A-Z0-9]+", hint="ASIA", version=2)
+    spans = lambda rule: {r.doc_id: [(x.kind, x.start, x.end) for x in r.spans] for r in secrets.scan(docs, ledger, (rule,)).collect()}
+    first = spans(old)
+    assert [k for k, _, _ in first[100]] == ["access"]
+    assert not any(spans(new).values())
+    assert spans(old) == first
+
+
 def test_no_user_functions(spark):
     plan = secrets.scan(documents(spark))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan
