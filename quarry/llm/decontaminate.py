@@ -61,7 +61,8 @@ class Block:
         terms = np.full((len(ids), lengths.max(initial=1)), -1, np.int64)
         for row, x in zip(terms, ids):
             row[: len(x)] = x
-        return {"vocabulary": vocabulary, "terms": terms, "lengths": lengths, "items": [sorted(x for x in v if x is not None) for v in self.windows.values()]}
+        distinct = min((len(set(x)) for x in ids), default=self.size)
+        return {"vocabulary": vocabulary, "terms": terms, "lengths": lengths, "distinct": distinct, "items": [sorted(x for x in v if x is not None) for v in self.windows.values()]}
 
 
 def blocks(items: DataFrame, size: int = WINDOW, most: int = BLOCK_WINDOWS):
@@ -97,14 +98,16 @@ def build_index(docs: DataFrame, block, slop: int) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
-        vocabulary, need = block.value["vocabulary"], int(block.value["lengths"].min(initial=WINDOW))
+        # Each distinct word of a matched window has a place of its own, and all lie within slop of the window.
+        vocabulary, need = block.value["vocabulary"], block.value["distinct"]
+        span = int(block.value["lengths"].max(initial=1)) + 2 * slop
         for batch in batches:
             counts, terms, places = [], [], []
             for raw in batch.column("text").cast(pa.large_binary()):
                 own = words(raw.as_py())
                 counts.append(len(own))
                 ids = np.fromiter((vocabulary.get(w, -1) for w in own), np.int32, len(own))
-                at = np.flatnonzero((ids >= 0) & dense(ids >= 0, need, need + slop)).astype(np.int32) if len(own) else np.zeros(0, np.int32)
+                at = np.flatnonzero((ids >= 0) & dense(ids >= 0, need, span)).astype(np.int32) if len(own) else np.zeros(0, np.int32)
                 terms.append(ids[at].tobytes())
                 places.append(at.tobytes())
             yield pa.RecordBatch.from_arrays(
@@ -135,10 +138,12 @@ def intersect(block: dict, doc, term, place, slop: int):
     first = ends[terms[rows, anchor]] - many
     pick = np.repeat(np.arange(len(rows)), many)
     posting = order[np.repeat(first - (np.cumsum(many) - many), many) + np.arange(many.sum())]
-    start = where[posting] - anchor[pick]
-    keep = place[posting] >= (0 if not slop else anchor[pick] - slop)
-    pick, start, doc = pick[keep], start[keep], doc[posting[keep]]
-    exact = np.ones(len(pick), bool)
+    # The anchor may be moved like any other term, so a match doesn't depend on which term is rarest in the shard.
+    moved = np.tile(np.arange(-slop, slop + 1), len(posting))
+    pick, posting = np.repeat(pick, 2 * slop + 1), np.repeat(posting, 2 * slop + 1)
+    start = where[posting] - anchor[pick] + moved
+    keep = place[posting] - anchor[pick] + moved >= -slop
+    pick, start, doc, exact = pick[keep], start[keep], doc[posting[keep]], moved[keep] == 0
     for step in range(1, terms.shape[1]):
         more = lengths[rows[pick]] > step
         offset = rarest[pick, step]

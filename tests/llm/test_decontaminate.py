@@ -67,6 +67,15 @@ def test_proximity(spark):
     assert (row[0]["items"], row[0].near_items, row[1].near_items) == ([], ["7"], [])
 
 
+def test_proximity_over_the_whole_slop(spark):
+    spread = "w0 x x w1 w2 w3 w4 w5 w6 w7 w8 x x w9"
+    docs = documents(spark, [(1, spread, "a"), (2, "y k y y k y y k y y m", "a"), (3, spread.replace("w4", "x"), "a")])
+    rows = [(7, " ".join(f"w{i}" for i in range(10))), (8, "k " * 9 + "m")]
+    for more in ([], [(9, "zzz")]):
+        got = {r.doc_id: (r.near_items, r.n_hit) for r in D.decontaminate(docs, items(spark, rows + more)).collect()}
+        assert got == {1: (["7"], 0), 2: (["8"], 0), 3: ([], 0)}
+
+
 def test_drop(spark):
     docs = documents(spark)
     kept = D.drop_contaminated(docs, items(spark, [(1, "one")]))
