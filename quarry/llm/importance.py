@@ -21,7 +21,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import checkpoint, row_key
+from quarry.llm.common import ROW_KEY, checkpoint, row_key
 from quarry.llm.selection import top_k_cut
 
 #: Buckets of the hashed n-grams; a model is one number for each.
@@ -138,7 +138,7 @@ def importance(docs: DataFrame, labels: DataFrame, k: int | None = None, target_
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row_key"), pa.array(sizes, pa.int64()), pa.array(weights, pa.float64())], ["doc_id", "row_key", "n_grams", "log_weight"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    scored = docs.select("doc_id", row_key().alias("row_key"), "text").mapInArrow(score, f"doc_id {kind}, row_key long, n_grams long, log_weight double")
+    scored = docs.select("doc_id", row_key().alias("row_key"), "text").mapInArrow(score, f"doc_id {kind}, row_key {ROW_KEY}, n_grams long, log_weight double")
     uniform = (F.shiftrightunsigned(F.xxhash64("doc_id", "row_key", F.lit(seed)), 11).cast("double") + 0.5) / float(1 << 53)
     rows = checkpoint(scored.withColumn("gumbel", -F.log(-F.log(uniform))).withColumn("_key", F.col("log_weight") + F.col("gumbel")))
     n, low, high = rows.agg(F.count("*"), F.min("_key"), F.max("_key")).first()
