@@ -1,12 +1,12 @@
 """Benchmark decontamination with a positional inverted index.
 
-The index is partitioned by documents: for each document it stores the postings
-(term, position) of the terms that occur in the test items, where so many of
-them stand together that a match is possible. A shard turns its postings into
-lists by term; a window of test words is matched by taking the list of its
-rarest term, moving it by that term's offset, and intersecting it with the moved
+The index is built once from the training documents alone and written to the
+shared folder: each shard, of some documents, holds the postings of all their
+tokens as one list of places for each term. Any benchmark can be looked up in it.
+A window of test words is matched by taking the list of the term that is rarest in
+the shard, moving it by that term's offset, and intersecting it with the moved
 lists of the next rarest terms. What is left are exact phrases; lists that meet
-within ``slop`` places are proximity matches.
+within ``slop`` places of where each term should be are proximity matches.
 
 Test items are taken in blocks of a bounded number of windows, so what a worker
 holds doesn't grow with the benchmark; the results of blocks are merged.
@@ -14,7 +14,8 @@ holds doesn't grow with the benchmark; the results of blocks are merged.
 Defined results: a null or word-less text has no words and no hits; a null or
 word-less item matches nothing; an item with a null id marks words but isn't
 listed; repeated items count once; repeated rows get equal results; other
-columns are ignored; empty tables give an empty result or no hits.
+columns are ignored, and carried unchanged by :func:`drop_contaminated` whatever
+their names; empty tables give an empty result or no hits.
 """
 
 from __future__ import annotations
@@ -22,14 +23,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import checkpoint, row_key
+from quarry.llm.common import ROW_KEY, checkpoint, look_up, new_path, row_key, rows_in
 
 WINDOW, SLOP = 10, 2
 
 #: Windows in a block of test items; a single item with more of them is a block of its own.
 BLOCK_WINDOWS = 100_000
 
-#: Postings that a shard intersects at once.
+#: Postings of a shard; a longer document is a shard of its own.
 POSTINGS = 400_000
 
 _WORD = [b for b in range(256) if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80]
@@ -61,8 +62,7 @@ class Block:
         terms = np.full((len(ids), lengths.max(initial=1)), -1, np.int64)
         for row, x in zip(terms, ids):
             row[: len(x)] = x
-        distinct = min((len(set(x)) for x in ids), default=self.size)
-        return {"vocabulary": vocabulary, "terms": terms, "lengths": lengths, "distinct": distinct, "items": [sorted(x for x in v if x is not None) for v in self.windows.values()]}
+        return {"vocabulary": vocabulary, "terms": terms, "lengths": lengths, "items": [sorted(x for x in v if x is not None) for v in self.windows.values()]}
 
 
 def blocks(items: DataFrame, size: int = WINDOW, most: int = BLOCK_WINDOWS):
@@ -77,87 +77,97 @@ def blocks(items: DataFrame, size: int = WINDOW, most: int = BLOCK_WINDOWS):
         yield block.packed()
 
 
-def dense(known, need: int, span: int):
-    """Places inside some run of ``span`` words that has ``need`` known terms."""
-    import numpy as np
-
-    n = len(known)
-    span = min(span, n)
-    total = np.concatenate([[0], np.cumsum(known)])
-    starts = np.flatnonzero(total[span:] - total[: n - span + 1] >= need)
-    edges = np.zeros(n + 1, np.int64)
-    edges[starts] += 1
-    edges[starts + span] -= 1
-    return np.cumsum(edges)[:n] > 0
-
+def build_index(docs: DataFrame) -> DataFrame:
+    """(docs, terms, ends, places) of each shard.
 
-def build_index(docs: DataFrame, block, slop: int) -> DataFrame:
-    """(doc_id, row_key, n_words, terms, positions): the stored postings, as little-endian int32."""
+    ``docs`` are its documents with their number of words, ``terms`` its words
+    joined by spaces, ``ends`` where each term's list ends in ``places``, which
+    counts words from the shard's first (both little-endian int32).
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def index(batches):
+        import itertools
+        from collections import defaultdict
+
         import numpy as np
         import pyarrow as pa
 
-        # Each distinct word of a matched window has a place of its own, and all lie within slop of the window.
-        vocabulary, need = block.value["vocabulary"], block.value["distinct"]
-        span = int(block.value["lengths"].max(initial=1)) + 2 * slop
+        def shard(batch, at, counts, parts, vocabulary):
+            ids = np.concatenate(parts)
+            places = np.argsort(ids, kind="stable").astype("<i4")
+            own = pa.StructArray.from_arrays([batch.column("doc_id").slice(at, len(counts)), batch.column("row_key").slice(at, len(counts)), pa.array(counts, pa.int64())], ["doc_id", "row_key", "n_words"])
+            ends = np.cumsum(np.bincount(ids, minlength=len(vocabulary))).astype("<i4")
+            return pa.RecordBatch.from_arrays(
+                [pa.ListArray.from_arrays(pa.array([0, len(counts)], pa.int32()), own), pa.array([b" ".join(vocabulary)], pa.binary()), pa.array([ends.tobytes()], pa.binary()), pa.array([places.tobytes()], pa.binary())],
+                ["docs", "terms", "ends", "places"],
+            )
+
         for batch in batches:
-            counts, terms, places = [], [], []
-            for raw in batch.column("text").cast(pa.large_binary()):
+            at, held, counts, parts, vocabulary = 0, 0, [], [], defaultdict(itertools.count().__next__)
+            for i, raw in enumerate(batch.column("text").cast(pa.large_binary())):
                 own = words(raw.as_py())
+                if counts and held + len(own) > POSTINGS:
+                    yield shard(batch, at, counts, parts, vocabulary)
+                    at, held, counts, parts, vocabulary = i, 0, [], [], defaultdict(itertools.count().__next__)
+                parts.append(np.fromiter(map(vocabulary.__getitem__, own), np.int64, len(own)))
                 counts.append(len(own))
-                ids = np.fromiter((vocabulary.get(w, -1) for w in own), np.int32, len(own))
-                at = np.flatnonzero((ids >= 0) & dense(ids >= 0, need, span)).astype(np.int32) if len(own) else np.zeros(0, np.int32)
-                terms.append(ids[at].tobytes())
-                places.append(at.tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("row_key"), pa.array(counts, pa.int64()), pa.array(terms, pa.binary()), pa.array(places, pa.binary())],
-                ["doc_id", "row_key", "n_words", "terms", "positions"],
-            )
+                held += len(own)
+            if counts:
+                yield shard(batch, at, counts, parts, vocabulary)
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", row_key().alias("row_key"), "text").mapInArrow(index, f"doc_id {kind}, row_key long, n_words long, terms binary, positions binary")
+    own = docs.select("doc_id", row_key().alias("row_key"), "text")
+    return own.mapInArrow(index, f"docs array<struct<doc_id:{kind},row_key:{ROW_KEY},n_words:bigint>>, terms binary, ends binary, places binary")
 
 
-def intersect(block: dict, doc, term, place, slop: int):
-    """(doc, window, start, exact) of matches among postings sorted by doc and place."""
+def intersect(block: dict, terms: bytes, ends, places, begins, slop: int):
+    """(doc, window, start, exact) of the matches in a shard whose documents begin at ``begins`` (one more than documents)."""
+    import itertools
+
     import numpy as np
 
+    vocabulary, wanted, lengths = block["vocabulary"], block["terms"], block["lengths"]
+    found = terms.split(b" ") if terms else []
+    known = np.fromiter(map(vocabulary.get, found, itertools.repeat(-1)), np.int64, len(found))
+    hit = np.flatnonzero(known >= 0)
+    hit = hit[np.argsort(known[hit], kind="stable")]
+    ends = ends.astype(np.int64)
+    size = np.diff(ends, prepend=0)[hit]
+    lists = places[np.repeat(ends[hit] - np.cumsum(size), size) + np.arange(size.sum())].astype(np.int64)
+    sizes = np.zeros(len(vocabulary), np.int64)
+    sizes[known[hit]] = size
+    tops = np.cumsum(sizes)
     gap = 1 << 32
-    where = doc * gap + place  # ascending
-    order = np.argsort(term, kind="stable")
-    n_terms = len(block["vocabulary"])
-    sizes = np.bincount(term, minlength=n_terms)
-    ends = np.cumsum(sizes)
-    terms, lengths = block["terms"], block["lengths"]
-    list_size = np.where(terms >= 0, sizes[terms], np.iinfo(np.int64).max)
-    rows = np.flatnonzero(list_size.min(axis=1, initial=np.iinfo(np.int64).max) > 0)
+    keyed = np.repeat(known[hit], size) * gap + lists  # ascending: lists by term, places in each
+
+    none = np.iinfo(np.int64).max
+    list_size = np.where(wanted >= 0, sizes[wanted], none)
+    rows = np.flatnonzero(list_size.min(axis=1, initial=none) > 0)
     rarest = np.argsort(list_size[rows], axis=1, kind="stable")
     anchor = rarest[:, 0]
     many = list_size[rows, anchor]
-    first = ends[terms[rows, anchor]] - many
     pick = np.repeat(np.arange(len(rows)), many)
-    posting = order[np.repeat(first - (np.cumsum(many) - many), many) + np.arange(many.sum())]
+    place = lists[np.repeat(tops[wanted[rows, anchor]] - np.cumsum(many), many) + np.arange(many.sum())]
     # The anchor may be moved like any other term, so a match doesn't depend on which term is rarest in the shard.
-    moved = np.tile(np.arange(-slop, slop + 1), len(posting))
-    pick, posting = np.repeat(pick, 2 * slop + 1), np.repeat(posting, 2 * slop + 1)
-    start = where[posting] - anchor[pick] + moved
-    keep = place[posting] - anchor[pick] + moved >= -slop
-    pick, start, doc, exact = pick[keep], start[keep], doc[posting[keep]], moved[keep] == 0
-    for step in range(1, terms.shape[1]):
+    moved = np.tile(np.arange(-slop, slop + 1), len(place))
+    pick, place = np.repeat(pick, 2 * slop + 1), np.repeat(place, 2 * slop + 1)
+    doc = np.searchsorted(begins, place, "right") - 1
+    start, exact = place - anchor[pick] + moved, moved == 0
+    for step in range(1, wanted.shape[1]):
         more = lengths[rows[pick]] > step
         offset = rarest[pick, step]
-        wanted = terms[rows[pick], offset]
-        found = np.zeros(len(pick), bool)
+        term = np.maximum(wanted[rows[pick], offset], 0)
+        near = np.zeros(len(pick), bool)
         for shift in sorted(range(-slop, slop + 1), key=abs):
-            at = np.searchsorted(where, start + offset + shift)
-            hit = (at < len(where)) & (where[np.minimum(at, len(where) - 1)] == start + offset + shift) & (term[np.minimum(at, len(where) - 1)] == wanted)
+            to = start + offset + shift
+            at = np.minimum(np.searchsorted(keyed, term * gap + to), len(keyed) - 1)
+            met = (to >= begins[doc]) & (to < begins[doc + 1]) & (keyed[at] == term * gap + to)
             if not shift:
-                exact &= hit | ~more
-            found |= hit
-        left = found | ~more
+                exact &= met | ~more
+            near |= met
+        left = near | ~more
         pick, start, exact, doc = pick[left], start[left], exact[left], doc[left]
-    return doc, rows[pick], start - doc * gap, exact
+    return doc, rows[pick], start - begins[doc], exact
 
 
 def _merged(starts, ends):
@@ -177,60 +187,52 @@ def matches(index: DataFrame, block, slop: int) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
-        def of(part):
-            keys = np.array([k for k, _, _ in part], np.int64)
-            sizes = [len(t) // 4 for _, t, _ in part]
-            doc = np.repeat(np.arange(len(part)), sizes)
-            term = np.frombuffer(b"".join(t for _, t, _ in part), "<i4").astype(np.int64)
-            place = np.frombuffer(b"".join(p for _, _, p in part), "<i4").astype(np.int64)
-            d, w, start, exact = intersect(block.value, doc, term, place, slop)
-            order = np.argsort(d, kind="stable")
-            d, w, start, exact = d[order], w[order], start[order], exact[order]
-            cuts = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]])) if len(d) else []
-            out = {"row_key": [], "spans": [], "items": [], "near_items": []}
-            for a, b in zip(cuts, [*cuts[1:], len(d)]):
-                own = exact[a:b]
-                s = start[a:b][own]
-                spans = _merged(s, s + block.value["lengths"][w[a:b][own]]) if len(s) else ([], [])
-                name = lambda ws: sorted({x for i in ws for x in block.value["items"][i]})
-                out["row_key"].append(int(keys[d[a]]))
-                out["spans"].append([{"s": int(x), "e": int(y)} for x, y in zip(*spans)])
-                out["items"].append(name(np.unique(w[a:b][own])))
-                out["near_items"].append(name(np.unique(w[a:b])))
-            return pa.RecordBatch.from_pydict(out, schema)
-
-        schema = pa.schema([("row_key", pa.int64()), ("spans", pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))), ("items", pa.list_(pa.string())), ("near_items", pa.list_(pa.string()))])
         for batch in batches:
-            part, held = [], 0
-            for key, t, p in zip(batch.column("row_key").to_pylist(), batch.column("terms").to_pylist(), batch.column("positions").to_pylist()):
-                if t:
-                    part.append((key, t, p))
-                    held += len(t) // 4
-                if held > POSTINGS:
-                    yield of(part)
-                    part, held = [], 0
-            if part:
-                yield of(part)
-
-    rows = index.filter(F.octet_length("terms") > 0).select("row_key", "terms", "positions")
-    return rows.mapInArrow(match, "row_key long, spans array<struct<s:long,e:long>>, items array<string>, near_items array<string>")
+            for i in range(batch.num_rows):
+                docs = batch.column("docs")[i].values
+                counts = docs.field("n_words").to_numpy()
+                begins = np.concatenate([[0], np.cumsum(counts)])
+                ends, places = (np.frombuffer(batch.column(c)[i].as_py(), "<i4") for c in ("ends", "places"))
+                d, w, start, exact = intersect(block.value, batch.column("terms")[i].as_py(), ends, places, begins, slop)
+                if not len(d):
+                    continue
+                order = np.argsort(d, kind="stable")
+                d, w, start, exact = d[order], w[order], start[order], exact[order]
+                cuts = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]]))
+                out: dict[str, list] = {"spans": [], "items": [], "near_items": []}
+                for a, b in zip(cuts, [*cuts[1:], len(d)]):
+                    own = exact[a:b]
+                    s = start[a:b][own]
+                    spans = _merged(s, s + block.value["lengths"][w[a:b][own]]) if len(s) else ([], [])
+                    name = lambda ws: sorted({x for i in ws for x in block.value["items"][i]})
+                    out["spans"].append([{"s": int(x), "e": int(y)} for x, y in zip(*spans)])
+                    out["items"].append(name(np.unique(w[a:b][own])))
+                    out["near_items"].append(name(np.unique(w[a:b])))
+                keys = docs.field("row_key").take(pa.array(d[cuts]))
+                yield pa.RecordBatch.from_arrays([keys, pa.array(out["spans"], span), pa.array(out["items"], names), pa.array(out["near_items"], names)], ["row_key", "spans", "items", "near_items"])
+
+    import pyarrow as pa
+
+    names = pa.list_(pa.string())
+    span = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))
+    return index.mapInArrow(match, f"row_key {ROW_KEY}, spans array<struct<s:long,e:long>>, items array<string>, near_items array<string>")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, size: int = WINDOW, slop: int = SLOP) -> DataFrame:
     """(doc_id, row_key, n_words, n_hit, items, near_items) for every row of ``docs``."""
     spark = docs.sparkSession
-    found, rows = None, None
+    path = new_path(spark, "postings")
+    build_index(docs).write.parquet(path)
+    index = spark.read.parquet(path)
+    rows = index.select(F.explode("docs").alias("d")).select("d.doc_id", "d.row_key", "d.n_words")
+    zero, empty = F.lit(0).cast("long"), F.array().cast("array<string>")
+    found = None
     for packed in blocks(items, size):
-        block = spark.sparkContext.broadcast(packed)
-        index = checkpoint(build_index(docs, block, slop))
-        part = matches(index, block, slop)
+        # Copies of a row give the same matches, of which one is kept.
+        part = matches(index, spark.sparkContext.broadcast(packed), slop).dropDuplicates(["row_key"])
         found = part if found is None else found.union(part)
-        rows = rows or index.select("doc_id", "row_key", "n_words")
-    if rows is None:
-        nothing = spark.sparkContext.broadcast(Block(size).packed())
-        return build_index(docs, nothing, slop).select(
-            "doc_id", "row_key", "n_words", F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"), F.array().cast("array<string>").alias("near_items")
-        )
+    if found is None:
+        return rows.select("*", zero.alias("n_hit"), empty.alias("items"), empty.alias("near_items"))
     union = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
     by_row = found.groupBy("row_key").agg(F.sort_array(F.flatten(F.collect_list("spans"))).alias("spans"), union("items").alias("items"), union("near_items").alias("near_items"))
     covered = F.aggregate(
@@ -239,15 +241,13 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = WINDOW, slop: i
         lambda acc, x: F.struct((acc["n"] + F.greatest(F.lit(0).cast("long"), x["e"] - F.greatest(x["s"], acc["to"]))).alias("n"), F.greatest(acc["to"], x["e"]).alias("to")),
         lambda acc: acc["n"],
     )
-    by_row = by_row.select("row_key", covered.alias("n_hit"), "items", "near_items")
-    empty = F.array().cast("array<string>")
-    return rows.join(by_row, "row_key", "left").select(
-        "doc_id", "row_key", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", empty).alias("items"), F.coalesce("near_items", empty).alias("near_items")
+    by_row = checkpoint(by_row.select("row_key", covered.alias("n_hit"), "items", "near_items"))
+    return look_up(rows, by_row, "row_key").select(
+        "doc_id", "row_key", "n_words", F.coalesce("n_hit", zero).alias("n_hit"), F.coalesce("items", empty).alias("items"), F.coalesce("near_items", empty).alias("near_items")
     )
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``docs`` in which no window of a test item occurs."""
-    hit = checkpoint(decontaminate(docs, items).filter("n_hit > 0").select(F.col("row_key").alias("_row_key")).distinct())
-    kept = docs.withColumn("_row_key", row_key()).join(hit.hint("shuffle_hash"), "_row_key", "left_anti")
-    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
+    hit = decontaminate(docs, items).filter("n_hit > 0").groupBy(F.col("row_key").alias("key")).agg(F.count("*").alias("n"))
+    return rows_in(docs, checkpoint(hit), "left_anti")

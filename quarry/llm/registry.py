@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm import pii, secrets
 from quarry.llm.common import new_path, read
-from quarry.llm.decontaminate import WINDOW, decontaminate
+from quarry.llm.decontaminate import SLOP, WINDOW, decontaminate
 from quarry.llm.importance import importance
 from quarry.llm.licenses import license_scan
 from quarry.llm.line_dedup import MIN_SITES, line_dedup
@@ -56,6 +56,7 @@ def op5_decontamination(spark, sf_dir):
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
+        F.size("near_items").cast("long").alias("n_near_items"),
     )
 
 
@@ -72,9 +73,17 @@ size AS (SELECT DISTINCT len(k) AS n FROM win),
 dw AS (SELECT rid, n, i, w[i:i + n - 1] AS k FROM (SELECT rid, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, size WHERE len(w) >= n)),
 hit AS (SELECT rid, i, n, item_id FROM dw JOIN win USING (k)),
 place AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(i, i + n)) AS p FROM hit) GROUP BY rid),
-item AS (SELECT rid, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS ids FROM (SELECT DISTINCT rid, item_id::VARCHAR AS x FROM hit WHERE item_id IS NOT NULL) GROUP BY rid)
-SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN place USING (rid) LEFT JOIN item USING (rid)"""
+item AS (SELECT rid, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS ids FROM (SELECT DISTINCT rid, item_id::VARCHAR AS x FROM hit WHERE item_id IS NOT NULL) GROUP BY rid),
+phrase AS (SELECT k, k[1] AS first FROM (SELECT DISTINCT k FROM win)),
+token AS (SELECT rid, p, w[p] AS first, w[greatest(1, p - 2 * {SLOP}):p + {WINDOW} - 1 + 2 * {SLOP}] AS c, least(p, 2 * {SLOP} + 1) AS o
+          FROM (SELECT rid, w, unnest(range(1, len(w) + 1)) AS p FROM d) WHERE w[p] IN (SELECT first FROM phrase)),
+begun AS (SELECT rid, c, k, unnest(range(o - {SLOP}, o + {SLOP} + 1)) AS s FROM token JOIN phrase USING (first) WHERE list_has_all(c, k)),
+near AS (SELECT DISTINCT rid, k FROM begun
+         WHERE len(list_filter(range(0, len(k)), lambda j: NOT list_contains(c[greatest(1, s + j - {SLOP}):greatest(0, s + j + {SLOP})], k[j + 1]))) = 0),
+near_item AS (SELECT rid, count(DISTINCT item_id) AS n FROM near JOIN win USING (k) GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
+       coalesce(near_item.n, 0)::BIGINT AS n_near_items
+FROM d LEFT JOIN place USING (rid) LEFT JOIN item USING (rid) LEFT JOIN near_item USING (rid)"""
 
 
 def op6_simhash(spark, sf_dir):

@@ -86,3 +86,69 @@ def test_drop(spark):
 
 def test_digest_of_no_items():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
+
+
+def slow_near(docs, items, size=10, slop=2):
+    """Items of which some window has each word within slop of its place after some start."""
+    windows = {}
+    for item, text in items:
+        w = split(text)
+        for i in range(max(1, len(w) - size + 1)) if w else ():
+            windows.setdefault(tuple(w[i : i + size]), set()).add(item)
+    by_first = {}
+    for window in windows:
+        by_first.setdefault(window[0], []).append(window)
+    out = []
+    for d, text in docs:
+        w, names = split(text), set()
+        for p, first in enumerate(w):
+            for window in by_first.get(first, ()):
+                for s in range(p - slop, p + slop + 1):
+                    if all(x in w[max(0, s + j - slop) : max(0, s + j + slop + 1)] for j, x in enumerate(window)):
+                        names |= {str(y) for y in windows[window] if y is not None}
+                        break
+        out.append((str(d), ",".join(sorted(names))))
+    return sorted(out)
+
+
+def test_proximity_equals_brute_force(spark):
+    """Over the whole table of sf0.01, with items of which words were left out, put in and exchanged."""
+    import random
+
+    rng = random.Random(5)
+    sf = "/root/testdata/sf0.01"
+    bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    for i, (_, text) in enumerate(bench[:40]):
+        w = (text or "").split()
+        for _ in range(3):
+            k = rng.randrange(max(1, len(w) - 2))
+            w[k : k + 2] = w[k : k + 2][::-1]
+        w.insert(rng.randrange(len(w) + 1), "zz")
+        bench.append((1000 + i, " ".join(w)))
+    docs = [(d, t) for d, t, _ in whole(spark, sf)]
+    expected = slow_near(docs, bench)
+    got = D.decontaminate(spark.read.parquet(f"{sf}/documents.parquet"), items(spark, bench)).collect()
+    assert sorted((str(r.doc_id), ",".join(r.near_items)) for r in got) == expected
+    assert sum(n.count(",") + 1 for _, n in expected if n) > 20 and any(r.near_items != r["items"] for r in got)
+
+
+def test_index_holds_every_token_and_serves_any_benchmark(spark, tmp_path):
+    docs = documents(spark)
+    D.build_index(docs).write.parquet(f"{tmp_path}/i")
+    index = spark.read.parquet(f"{tmp_path}/i")
+    counted = sum(len(split(r.text)) for r in docs.collect())
+    assert index.selectExpr("sum(length(places)) / 4 AS n").first().n == counted
+    assert "benchmark" not in str(index.schema) and index.selectExpr("explode(docs)").count() == docs.count()
+
+
+def test_repeated_rows_give_one_match_each(spark):
+    docs = documents(spark, [(1, PROSE, "a")] * 400 + [(None, PROSE, "b")] * 3)
+    got = D.decontaminate(docs, items(spark, [(1, "brown fox")])).collect()
+    assert len(got) == 403 and {(r.n_hit, tuple(r["items"])) for r in got} == {(2, ("1",))}
+
+
+def test_drop_carries_clashing_columns_unchanged(spark):
+    docs = documents(spark)
+    kept = D.drop_contaminated(docs, items(spark, [(1, "one")]))
+    assert kept.dtypes == docs.dtypes
+    assert {tuple(r) for r in kept.collect()} <= {tuple(r) for r in docs.collect()}
