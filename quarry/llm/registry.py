@@ -77,8 +77,8 @@ item AS (SELECT rid, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS ids F
 phrase AS (SELECT k, k[1] AS first FROM (SELECT DISTINCT k FROM win)),
 token AS (SELECT rid, p, w[p] AS first, w[greatest(1, p - 2 * {SLOP}):p + {WINDOW} - 1 + 2 * {SLOP}] AS c, least(p, 2 * {SLOP} + 1) AS o
           FROM (SELECT rid, w, unnest(range(1, len(w) + 1)) AS p FROM d) WHERE w[p] IN (SELECT first FROM phrase)),
-begun AS (SELECT rid, c, k, unnest(range(o - {SLOP}, o + {SLOP} + 1)) AS s FROM token JOIN phrase USING (first) WHERE list_has_all(c, k)),
-near AS (SELECT DISTINCT rid, k FROM begun
+begun AS MATERIALIZED (SELECT rid, c, k, o FROM token JOIN phrase USING (first) WHERE list_contains(c, k[-1]) AND list_contains(c, k[(len(k) + 1) // 2])),
+near AS (SELECT DISTINCT rid, k FROM (SELECT rid, c, k, unnest(range(o - {SLOP}, o + {SLOP} + 1)) AS s FROM begun)
          WHERE len(list_filter(range(0, len(k)), lambda j: NOT list_contains(c[greatest(1, s + j - {SLOP}):greatest(0, s + j + {SLOP})], k[j + 1]))) = 0),
 near_item AS (SELECT rid, count(DISTINCT item_id) AS n FROM near JOIN win USING (k) GROUP BY rid)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
