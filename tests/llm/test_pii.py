@@ -4,6 +4,7 @@ import re
 import pytest
 
 from quarry.llm import pii
+from tests.llm import pii_texts
 from tests.llm.fixtures import documents, empty, whole
 
 
@@ -97,3 +98,55 @@ def test_windows_cover_and_reconcile(model):
         assert sum(s <= m.start() < s + pii.WINDOW for s in starts) == 2 or m.start() >= starts[-1]
     found = pii.spans(model, [text])[0][1]
     assert [k for k, _, _ in found].count("email") == 3 and ("phone", 1005, 1019) in found
+
+
+def by_kind(gold, found):
+    """{kind: (recall, precision)} of exact spans."""
+    out = {}
+    for kind in pii.KINDS:
+        g, f = ([{x for x in s if x[0] == kind} for s in y] for y in (gold, found))
+        hit = sum(len(x & y) for x, y in zip(g, f))
+        out[kind] = hit / max(1, sum(map(len, g))), hit / max(1, sum(map(len, f)))
+    return out
+
+
+@pytest.mark.parametrize("unusual", [False, True])
+def test_accuracy_by_kind_on_texts_of_another_generator(model, unusual):
+    data = list(pii_texts.texts(600, 5, unusual))
+    found = pii.spans(model, [t for t, _ in data])
+    for kind, (recall, precision) in by_kind([s for _, s in data], [s for _, s in found]).items():
+        assert recall >= 0.9 and precision >= 0.9, (kind, recall, precision)
+    if unusual:
+        base = by_kind([s for _, s in data], [b for b, _ in found])
+        assert all(recall < 0.2 for recall, _ in base.values())  # what is found here is the model's
+
+
+def test_windows_without_digit_or_at_sign_decode_as_empty(spark, model):
+    texts = [t or "" for _, t, _ in whole(spark, "/root/testdata/sf0.01")]
+    assert pii.spans(model, texts) == pii.spans(model, texts, every=True)
+    assert sum(len(pii.windows_of(t)) for t in texts) < 0.05 * sum(len(pii.windows_of(t, True)) for t in texts)
+
+
+@pytest.mark.parametrize("size", [26, 53, 88, 140])
+def test_spans_of_any_length_and_place_are_whole(model, size):
+    rng = random.Random(size)
+    texts, gold = [], []
+    for i in range(100):
+        before = " ".join("".join(rng.choice("etaoin") for _ in range(rng.randint(2, 8))) for _ in range(rng.randint(5, 60))) + " "
+        name = "".join(rng.choice("etaoinshrdlu") for _ in range(size - 17))
+        texts.append(before + name[: len(name) // 2] + "." + name[len(name) // 2 + 1 :] + "@mail3.example.com and more")
+        gold.append([("email", len(before), len(texts[-1]) - 9)])
+    found = [[x for x in s if x[0] == "email"] for s in pii.model_spans(model, texts)]
+    assert sum(set(g) <= set(f) for g, f in zip(gold, found)) >= 90
+
+
+def test_time_is_linear(model):
+    import time
+
+    took = []
+    for n in (3000, 12000):
+        text = " and ".join(f"mail{i}@x{i % 7}.example.com" for i in range(n))
+        began = time.process_time()
+        assert len(pii.spans(model, [text])[0][1]) == n
+        took.append(time.process_time() - began)
+    assert took[1] < 8 * took[0]
