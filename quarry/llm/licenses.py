@@ -1,76 +1,73 @@
 """License scans by sparse TF-IDF cosine to templates and inheritance along paths (native).
 
-A header is a line with a licence word; a document that has one is also compared
-whole, as a licence file. A unit's vector has the terms of the templates, weighted
-by term count times the inverse document frequency over all documents; a word
-outside the templates counts in the length alone, at the largest weight. The
-licence of a document is that of its best header; failing that, that of the
-nearest ancestor directory that holds a licence file, found by joining the
-document's ancestor paths with the directories of licence files.
+Templates are notices of a line and whole licence texts. A unit is a line, compared
+by each of its windows of as many words as a notice has, or a whole text, compared
+with all templates. Its vector weighs a word by 1 + ln(count), times an inverse
+document frequency over all documents that is bounded above; words outside the
+templates have that bound. So scores don't fall as the table grows: from a thousand
+documents on they depend on the share of documents that hold a word, not on their number.
+
+What may be left out before scoring follows from the weights, not from a list: a
+window without any of a notice's heaviest words can't reach the score, nor can a
+text with too many words outside the templates. Equal lines and texts are scored once.
+
+The licence of a document is that of its whole text if that is near a template,
+else of its best line; failing that, of the nearest ancestor directory that holds a
+licence file, found by joining its ancestor paths with the files' directories.
 
 Defined results: a null text has no header and may inherit; a null path inherits
-nothing; of equal scores the licence last in order wins; repeated rows get equal
-results; other columns are ignored; an empty table gives an empty result.
+nothing; a named licence goes before a claim of all rights, then the greater score
+wins, then the licence last in order; repeated rows get equal results; other columns
+are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 import re
+from collections import Counter
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import BROADCAST_ROWS, checkpoint, count_bounded, let, row_key
-
-TEMPLATES = (
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0; you may not use this file except in compliance with the License."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted under the BSD license."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "This program is free software: you can redistribute it and modify it under the terms of the GNU General Public License."),
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software, under the MIT License."),
+from quarry.llm.common import BROADCAST_ROWS, checkpoint, count_bounded, join_counted, let, look_up, row_key
+
+#: Notices of a line by licence.
+NOTICES = (
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."), ("Apache-2.0", "Apache License, Version 2.0"), ("Apache-2.0", "Apache License 2.0"), ("Apache-2.0", "Apache-2.0 license"), ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without"), ("BSD-3-Clause", "BSD 3-Clause License"), ("BSD-3-Clause", "3-Clause BSD License"), ("BSD-3-Clause", "under the BSD license"), ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
+    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."), ("CC-BY-NC-4.0", "Creative Commons Attribution-NonCommercial 4.0 International License"), ("CC-BY-NC-4.0", "SPDX-License-Identifier: CC-BY-NC-4.0"),
+    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."), ("GPL-3.0", "GNU General Public License version 3"), ("GPL-3.0", "version 3 of the GNU General Public License"), ("GPL-3.0", "GPL version 3"), ("GPL-3.0", "GPLv3"),
+    ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0"), ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0-only"), ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0-or-later"),
+    ("MIT", "Released under the MIT License."), ("MIT", "MIT License"), ("MIT", "licensed under MIT"), ("MIT", "SPDX-License-Identifier: MIT"), ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy"),
     ("proprietary", "All rights reserved."),
 )
 
-#: A line without one of these isn't a header.
-LICENCE_WORD = r"(?i)licen[sc]|copyright|rights\x20+reserved|redistribution"
+#: Licences that a claim of theirs goes behind any other.
+UNNAMED = ("proprietary",)
 
-HEADER_SCORE, FILE_SCORE = 0.6, 0.5
+HEADER_SCORE, FILE_SCORE = 0.9, 0.6
 
-#: (licence, score, pattern over the words of a line, each between spaces); a claim of all rights is below a named licence.
-PHRASES = (
-    ("Apache-2.0", 1.0, r" apache licen[sc]e (?:version |v )?2 0 | apache licen[sc]e v2 | apache 2 0 licen[sc]e | licen[sc]e (?:identifier )?apache 2 0 "),
-    ("BSD-3-Clause", 1.0, r" bsd 3 clause | 3 clause bsd | (?:new|modified|the) bsd licen[sc]e "),
-    ("CC-BY-NC-4.0", 1.0, r" cc by nc 4 0 | attribution noncommercial 4 0 international "),
-    ("GPL-3.0", 1.0, r" gnu general public licen[sc]e (?:as published by the free software foundation )?(?:either )?(?:version 3|v3|3 0) | version 3 of the gnu general public licen[sc]e | gpl (?:version )?v?3 | gplv3 "),
-    ("MIT", 1.0, r" mit licen[sc]e | licen[sc]e (?:identifier )?(?:is )?mit (?!0 )| licen[sc]ed under mit (?!0 )"),
-    ("proprietary", HEADER_SCORE, r" all rights reserved "),
-)
+#: The greatest inverse document frequency: that of a word in none of a thousand documents.
+MOST = math.log(1001) + 1
 
-#: (licence, score, passages of its full text, as words between spaces).
-PASSAGES = (
-    ("Apache-2.0", 1.0, " apache license version 2 0 january 2004 ", " terms and conditions for use reproduction and distribution ", " end of terms and conditions "),
-    ("BSD-3-Clause", 1.0, " redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met ", " may be used to endorse or promote products derived from this software without specific prior written permission "),
-    ("CC-BY-NC-4.0", 1.0, " creative commons attribution noncommercial 4 0 international public license ", " by exercising the licensed rights "),
-    ("GPL-3.0", 1.0, " gnu general public license version 3 29 june 2007 ", " everyone is permitted to copy and distribute verbatim copies of this license document ", " end of terms and conditions "),
-    ("MIT", 1.0, " permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files ", " the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software "),
-)
+WORD = r"[\p{L}\p{N}]+(?:[-.][\p{L}\p{N}]+)*"
 
 
-def template_words(text: str) -> list[str]:
-    return re.findall(r"[a-z0-9]+", text.lower())
+@functools.lru_cache(maxsize=1)
+def texts() -> tuple[tuple[str, str], ...]:
+    """The whole licence texts that stand beside this module."""
+    return tuple((p.stem, p.read_text()) for p in sorted((Path(__file__).parent / "templates").glob("*.txt")))
 
 
-def vocabulary(templates=TEMPLATES) -> list[str]:
-    return sorted({w for _, t in templates for w in template_words(t)})
+def template_words(text: str) -> list[str]:
+    return re.findall(r"[^\W_]+(?:[-.][^\W_]+)*", text.lower())
 
 
 def _words(text: Column) -> Column:
-    return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
+    return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
 
 
 def document_frequencies(docs: DataFrame, terms: list[str]) -> tuple[int, dict[str, int]]:
@@ -81,94 +78,120 @@ def document_frequencies(docs: DataFrame, terms: list[str]) -> tuple[int, dict[s
     return counts.pop("", 0), counts
 
 
-def weights(n: int, df: dict[str, int], templates=TEMPLATES):
-    """(idf by term, the largest idf, template vectors of unit length by term)."""
-    idf = {t: math.log((n + 1) / (df.get(t, 0) + 1)) + 1 for t in vocabulary(templates)}
-    vectors = []
-    for _, text in templates:
-        own = template_words(text)
-        v = {t: own.count(t) * idf[t] for t in own}
+class Weights:
+    """Bounded inverse document frequencies and the templates' unit vectors; 0 words long stands for whole texts."""
+
+    def __init__(self, n: int, df: dict[str, int], notices=NOTICES, whole=None):
+        whole = texts() if whole is None else whole
+        self.terms = vocabulary(notices, whole)
+        self.idf = {t: min(MOST, math.log((n + 1) / (df.get(t, 0) + 1)) + 1) for t in self.terms}
+        own = [(len(template_words(t)), name, t) for name, t in notices] + [(0, name, t) for name, t in (*notices, *whole)]
+        self.templates = [(size, name, self._vector(t)) for size, name, t in own]
+        self.sizes = sorted({size for size, _, _ in self.templates} - {0})
+
+    def _vector(self, text: str) -> dict[str, float]:
+        v = {t: (1 + math.log(k)) * self.idf[t] for t, k in Counter(template_words(text)).items()}
         length = math.sqrt(sum(x * x for x in v.values()))
-        vectors.append({t: x / length for t, x in v.items()})
-    return idf, math.log(n + 1) + 1, vectors
+        return {t: x / length for t, x in v.items()}
+
+    def needed(self) -> list[str]:
+        """Words of which a window of HEADER_SCORE must hold one: without a notice's heaviest the rest can't reach it."""
+        out = set()
+        for size, _, v in self.templates:
+            left = 1.0
+            for t in sorted(v, key=lambda t: (-v[t], t)) if size else ():
+                if left < HEADER_SCORE**2 - 1e-6:
+                    break
+                out.add(t)
+                left -= v[t] ** 2
+        return sorted(out)
+
+
+def vocabulary(notices=NOTICES, whole=None) -> list[str]:
+    return sorted({w for _, t in (*notices, *(texts() if whole is None else whole)) for w in template_words(t)})
 
 
-def _best(text: Column, idf: dict, top: float, vectors: list, templates) -> Column:
-    """struct(score, license) of the template nearest to ``text``."""
-    terms = sorted(idf)
-    lookup = F.create_map(*(F.lit(x) if isinstance(x, str) else x for t in terms for x in (t, F.array(*(F.lit(float(v)) for v in (idf[t], *(idf[t] * vec.get(t, 0.0) for vec in vectors)))))))
+def _may_be_file(words: Column, terms: list[str]) -> Column:
+    """False only where the words outside the templates alone keep a text below FILE_SCORE.
 
-    def score(words):
-        known = F.filter(words, lambda w: w.isin(terms))
-        return let(known, lambda k: let(
-            F.transform(F.array_distinct(k), lambda x: F.struct(F.size(F.filter(k, lambda y: y == x)).cast("double").alias("n"), F.element_at(lookup, x).alias("w"))),
-            lambda v: of(v, F.size(words) - F.size(k)),
-        ))
+    With d known words told apart of k in all, their squared weights are at most
+    d (1 + ln(k / d))^2 MOST^2 (the function is concave), and those of others MOST^2 each.
+    """
+    known = F.filter(words, lambda w: w.isin(terms))
+    share = FILE_SCORE**2 / (1 - FILE_SCORE**2)
+    return let(known, lambda k: let(F.size(F.array_distinct(k)), lambda d: (d > 0) & (
+        d * F.pow(1 + F.log(F.size(k) / d), F.lit(2.0)) * (1 + 1e-9) >= share * (F.size(F.array_distinct(words)) - d)
+    )))
 
-    def dot(v, i):
-        return F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x["n"] * x["w"][i])
 
-    def of(v, others):
-        square = F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x["n"] * x["w"][0] * x["n"] * x["w"][0]) + others * F.lit(top * top)
-        dots = [dot(v, i + 1) for i in range(len(vectors))]
-        return let(F.sqrt(square), lambda s: F.array_max(F.array(*(
-            F.struct(F.when(s > 0, F.round(d / s, 6)).otherwise(0.0).alias("score"), F.lit(name).alias("license")) for d, (name, _) in zip(dots, templates)
-        ))))
+def _scored(units: DataFrame, weights: Weights, least: float) -> DataFrame:
+    """(k, best) of the units of which a window (k, size, at, words) scores at ``least``; ``best`` is struct(named, score, license)."""
+    spark = units.sparkSession
+    terms = spark.createDataFrame(list(weights.idf.items()), "word string, idf double")
+    vectors = spark.createDataFrame([(size, i, t, x) for i, (size, _, v) in enumerate(weights.templates) for t, x in v.items()], "size int, template int, word string, weight double")
+    names = spark.createDataFrame([(i, name, name not in UNNAMED) for i, (_, name, _) in enumerate(weights.templates)], "template int, license string, named boolean")
+    counts = units.select("k", "size", "at", F.explode("words").alias("word")).groupBy("k", "size", "at", "word").agg(F.count("*").alias("n"))
+    weighed = counts.join(F.broadcast(terms), "word", "left").select("k", "size", "at", "word", ((1 + F.log("n")) * F.coalesce("idf", F.lit(MOST))).alias("x"))
+    weighed = checkpoint(weighed)
+    length = weighed.groupBy("k", "size", "at").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("length"))
+    dots = weighed.join(F.broadcast(vectors), ["size", "word"]).groupBy("k", "size", "at", "template").agg(F.sum(F.col("x") * F.col("weight")).alias("dot"))
+    found = dots.join(length, ["k", "size", "at"]).join(F.broadcast(names), "template")
+    near = found.withColumn("score", F.round(F.col("dot") / F.col("length"), 6)).filter(F.col("score") >= least)
+    return near.groupBy("k").agg(F.max(F.struct("named", "score", "license")).alias("best"))
 
-    return let(_words(text), score)
 
+def _units(rows: DataFrame, words) -> DataFrame:
+    """Each distinct text of ``rows`` (k, text) once, as its windows."""
+    own = rows.groupBy("k").agg(F.min("text").alias("text"))
+    return own.select("k", F.explode(words(_words(F.col("text")))).alias("u")).select("k", "u.size", "u.at", "u.words")
 
-def _named(text: Column, phrases, holds) -> Column:
-    """struct(score, license) of the best of ``phrases`` in ``text``; null if it has none."""
-    flat = F.concat(F.lit(" "), F.array_join(_words(text), " "), F.lit(" "))
-    return let(flat, lambda x: F.array_max(F.array(*(
-        F.when(holds(x, own), F.struct(F.lit(score).alias("score"), F.lit(name).alias("license"))) for name, score, *own in phrases
-    ))))
 
+def _windows(sizes: list[int]):
+    def of(size: int, w: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(w) - size))
+        return F.transform(starts, lambda i: F.struct(F.lit(size).alias("size"), i.alias("at"), F.slice(w, i + 1, size).alias("words")))
 
-def _holds_phrase(flat: Column, own: list[str]) -> Column:
-    return flat.rlike(own[0])
+    return lambda words: let(words, lambda w: F.flatten(F.array(*(of(size, w) for size in sizes))))
 
 
-def _holds_passages(flat: Column, own: list[str]) -> Column:
-    out = F.lit(True)
-    for passage in own:
-        out = out & F.contains(flat, F.lit(passage))
-    return out
+def _back(rows: DataFrame, best: DataFrame) -> DataFrame:
+    """(row_key, path, best) of ``rows`` (row_key, path, k, ...) whose k has a score; no frequent line's rows meet in a task."""
+    members = checkpoint(rows.groupBy("k").agg(F.count("*").alias("n")).join(best, "k"))
+    return join_counted(rows.select("row_key", "path", "k"), members, "k")
 
 
-def license_scan(docs: DataFrame, path: Column, templates=TEMPLATES) -> DataFrame:
+def license_scan(docs: DataFrame, path: Column, notices=NOTICES, whole=None) -> DataFrame:
     """(doc_id, path, license, origin, score) for every row; origin is header, inherited or null."""
-    docs = docs.select("doc_id", path.alias("path"), "text", F.xxhash64(row_key(), path).alias("row_key"))
-    idf, top, vectors = weights(*document_frequencies(docs, vocabulary(templates)), templates)
-
-    headers = F.filter(F.split("text", r"\n", -1), lambda x: x.rlike(LICENCE_WORD))
-    found = docs.select("row_key", "path", "text", headers.alias("headers")).filter(F.size("headers") > 0)
-    units = found.select(
-        "row_key", "path",
-        F.explode(F.array_append(F.transform("headers", lambda x: F.struct(F.lit(False).alias("file"), x.alias("text"))), F.struct(F.lit(True).alias("file"), F.col("text").alias("text")))).alias("unit"),
-    )
-    named = F.when(F.col("unit.file"), _named(F.col("unit.text"), PASSAGES, _holds_passages)).otherwise(_named(F.col("unit.text"), PHRASES, _holds_phrase))
-    scored = units.select("row_key", "path", F.col("unit.file").alias("file"), _best(F.col("unit.text"), idf, top, vectors, templates).alias("nearest"), named.alias("named"))
-    scored = scored.withColumn("best", F.array_max(F.array("nearest", "named")))
-    own_text = F.max(F.when(F.col("file"), F.col("named")))
-    best = checkpoint(scored.groupBy("row_key", "path").agg(
-        F.coalesce(own_text, F.max(F.when(~F.col("file"), F.col("best")))).alias("header"), F.max(F.when(F.col("file"), F.coalesce("named", "best"))).alias("whole"),
-    ))
+    docs = docs.select("doc_id", path.alias("path"), "text", row_key("doc_id", "text", path).alias("row_key"))
+    weights = Weights(*document_frequencies(docs, vocabulary(notices, whole)), notices, whole)
+
+    gate = r"(?<![\p{L}\p{N}])(?:" + "|".join(re.escape(w) for w in weights.needed()) + r")(?![\p{L}\p{N}])"
+    held = docs.filter(F.lower("text").rlike(gate))
+    lines = held.select("row_key", "path", F.explode(F.filter(F.split("text", r"\n", -1), lambda x: F.lower(x).rlike(gate))).alias("text"))
+    lines = checkpoint(lines.distinct().withColumn("k", row_key("text")))
+    files = docs.filter(F.col("text").isNotNull()).select("row_key", "path", "text", _words(F.col("text")).alias("words")).filter(_may_be_file(F.col("words"), weights.terms))
+    files = checkpoint(files.select("row_key", "path", "text", row_key("text").alias("k")).distinct())
+
+    line_best = _scored(_units(lines, _windows(weights.sizes)), weights, HEADER_SCORE)
+    text_best = _scored(_units(files, lambda w: F.array(F.struct(F.lit(0).alias("size"), F.lit(0).alias("at"), w.alias("words")))), weights, FILE_SCORE)
+    by_line = _back(lines, line_best).groupBy("row_key").agg(F.max("best").alias("line"))
+    whole_files = checkpoint(_back(files, text_best).select("row_key", "path", F.col("best").alias("file")))
 
     parts = F.split("path", "/", -1)
     parent = F.array_join(F.slice(parts, 1, F.size(parts) - 1), "/")
-    directories = best.filter((F.col("whole.score") >= FILE_SCORE) & (F.size(parts) > 1)).groupBy(parent.alias("dir")).agg(F.max("whole").alias("found"))
-    directories = checkpoint(directories)
+    directories = checkpoint(whole_files.filter(F.size(parts) > 1).groupBy(parent.alias("dir")).agg(F.max("file").alias("found")))
 
-    header = best.filter(F.col("header.score") >= HEADER_SCORE).select("row_key", "header")
-    rows = checkpoint(docs.select("doc_id", "path", "row_key").join(header, "row_key", "left"))
+    header = checkpoint(by_line.join(whole_files.select("row_key", "file"), "row_key", "full").select("row_key", F.coalesce("file", "line").alias("header")))
+    rows = checkpoint(look_up(docs.select("doc_id", "path", "row_key"), header, "row_key"))
     open_rows = rows.filter(F.col("header").isNull() & (F.size(parts) > 1)).select("row_key", "path").distinct()
-    ancestors = open_rows.select("row_key", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.struct(n.alias("depth"), F.array_join(F.slice(parts, 1, n), "/").alias("dir")))).alias("a"))
-    near = F.broadcast(directories) if count_bounded(directories, BROADCAST_ROWS) else directories
-    inherited = ancestors.select("row_key", "a.depth", "a.dir").join(near, "dir").groupBy("row_key").agg(F.max_by("found", "depth").alias("above"))
+    ancestors = open_rows.select("row_key", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.struct(n.alias("depth"), F.array_join(F.slice(parts, 1, n), "/").alias("dir")))).alias("a")).select("row_key", "a.depth", "a.dir")
+    if count_bounded(directories, BROADCAST_ROWS):
+        met = ancestors.join(F.broadcast(directories), "dir")
+    else:
+        met = join_counted(ancestors, checkpoint(ancestors.groupBy("dir").agg(F.count("*").alias("n")).join(directories, "dir")), "dir")
+    inherited = checkpoint(met.groupBy("row_key").agg(F.max_by("found", "depth").alias("above")))
     own = F.coalesce("header", "above")
-    return rows.join(inherited, "row_key", "left").select(
+    return look_up(rows, inherited, "row_key").select(
         "doc_id", "path", own["license"].alias("license"),
         F.when(F.col("header").isNotNull(), "header").when(F.col("above").isNotNull(), "inherited").alias("origin"), own["score"].alias("score"),
     )

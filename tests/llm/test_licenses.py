@@ -10,33 +10,60 @@ from quarry.llm import licenses as L
 from tests.llm.fixtures import documents, empty, whole
 
 
-def slow_score(text, n, df):
-    """(score, licence) of the nearest template."""
-    idf, top, vectors = L.weights(n, df)
-    words = re.findall(r"[^\W_]+", text.lower())
-    v = {w: words.count(w) * idf[w] for w in words if w in idf}
-    length = math.sqrt(sum(x * x for x in v.values()) + top * top * sum(w not in idf for w in words))
-    return max(((round(sum(v.get(t, 0) * x for t, x in vec.items()) / length, 6) if length else 0.0), name) for vec, (name, _) in zip(vectors, L.TEMPLATES))
+def words_of(text):
+    return re.findall(r"[^\W_]+(?:[-.][^\W_]+)*", (text or "").lower())
+
+
+class Slow:
+    """Cosines worked out anew from the templates' texts, over every window and every text."""
+
+    def __init__(self, docs):
+        whole = [(p.stem, p.read_text()) for p in sorted(Path(L.__file__).parent.glob("templates/*.txt"))]
+        own = [set(words_of(t)) for _, _, t in docs]
+        self.most, n = math.log(1001) + 1, len(docs)
+        self.idf = {}
+        for _, t in [*L.NOTICES, *whole]:
+            for w in words_of(t):
+                if w not in self.idf:
+                    self.idf[w] = min(self.most, math.log((n + 1) / (sum(w in x for x in own) + 1)) + 1)
+        self.notices = [(name, len(words_of(t)), self.vector(words_of(t))) for name, t in L.NOTICES]
+        self.whole = [(name, self.vector(words_of(t))) for name, t in [*L.NOTICES, *whole]]
+
+    def vector(self, words):
+        v = {w: (1 + math.log(words.count(w))) * self.idf.get(w, self.most) for w in set(words)}
+        length = math.sqrt(sum(x * x for x in v.values()))
+        return {w: x / length for w, x in v.items()}
+
+    def best(self, words, templates, least):
+        v = self.vector(words) if words else {}
+        found = ((name != "proprietary", round(sum(x * t.get(w, 0) for w, x in v.items()), 6), name) for name, t in templates)
+        return max((x for x in found if x[1] >= least), default=None)
+
+    def line(self, text):
+        w = words_of(text)
+        found = []
+        for size in {n for _, n, _ in self.notices}:
+            own = [(name, t) for name, n, t in self.notices if n == size]
+            found += [self.best(w[i : i + size], own, 0.9) for i in range(max(0, len(w) - size) + 1)]
+        return max(filter(None, found), default=None)
+
+    def file(self, text):
+        return self.best(words_of(text), self.whole, 0.6)
 
 
 def slow(docs):
     """Rows (doc_id, path, text) to (doc_id, licence, origin, score)."""
-    terms = L.vocabulary()
-    df = {t: 0 for t in terms}
-    for _, _, text in docs:
-        for w in set(re.findall(r"[^\W_]+", (text or "").lower())) & set(terms):
-            df[w] += 1
-    own, dirs = {}, {}
+    scores, own, dirs = Slow(docs), {}, {}
     for i, (_, path, text) in enumerate(docs):
-        headers = [x for x in (text or "").split("\n") if re.search(L.LICENCE_WORD.replace(r"\x20", " "), x)]
-        if headers:
-            best = max(slow_score(x, len(docs), df) for x in headers)
-            file = slow_score(text, len(docs), df)
-            if best[0] >= L.HEADER_SCORE:
-                own[i] = best
-            if file[0] >= L.FILE_SCORE and path and "/" in path:
-                d = path.rsplit("/", 1)[0]
-                dirs[d] = max(dirs.get(d, file), file)
+        if text is None:
+            continue
+        file = scores.file(text)
+        lines = [x for x in map(scores.line, text.split("\n")) if x]
+        if file or lines:
+            own[i] = file or max(lines)
+        if file and path and "/" in path:
+            d = path.rsplit("/", 1)[0]
+            dirs[d] = max(dirs.get(d, file), file)
     out = []
     for i, (doc_id, path, _) in enumerate(docs):
         best, origin = own.get(i), "header"
@@ -44,7 +71,7 @@ def slow(docs):
         if not best:
             best = next((dirs["/".join(parts[:k])] for k in range(len(parts) - 1, 0, -1) if "/".join(parts[:k]) in dirs), None)
             origin = "inherited"
-        out.append((str(doc_id), best and best[1], best and origin, best and best[0]))
+        out.append((str(doc_id), best and best[2], best and origin, best and best[1]))
     return out
 
 
@@ -113,7 +140,7 @@ modification, are permitted provided that the following conditions are met:
    without specific prior written permission."""
 
 
-@pytest.mark.parametrize("n", [10**4, 12 * 10**6])
+@pytest.mark.parametrize("n", [10**3, 10**4, 12 * 10**6, 10**9])
 def test_licence_is_found_at_every_table_size(spark, monkeypatch, n):
     monkeypatch.setattr(L, "document_frequencies", lambda docs, terms: (n, {}))
     lines = {
@@ -135,3 +162,25 @@ def test_licence_is_found_at_every_table_size(spark, monkeypatch, n):
             lines[100 + 2 * i] = ("", licence)
     got = {r.doc_id: r.license for r in L.license_scan(spark.createDataFrame(rows, "doc_id long, path string, text string"), F.col("path")).collect()}
     assert {i: got[i] for i in lines} == {i: x for i, (_, x) in lines.items()}
+
+
+@pytest.mark.parametrize("n", [10**3, 10**6, 10**9])
+def test_scores_hold_where_shares_of_words_hold(n):
+    """A word's weight depends on the share of documents that hold it, and on nothing else from a thousand documents on."""
+    w = L.Weights(n, {"the": n // 2, "software": n // 100})
+    assert w.idf["the"] == pytest.approx(1 + math.log(2), abs=2e-3) and w.idf["software"] == pytest.approx(1 + math.log(100), abs=0.1)
+    assert w.idf["merchantability"] == pytest.approx(L.MOST)
+
+
+def test_what_is_left_out_before_scoring_cannot_reach_the_score():
+    w = L.Weights(1000, {"the": 500, "license": 3})
+    needed = set(w.needed())
+    for size, _, v in w.templates:
+        if size:
+            assert math.sqrt(sum(x * x for t, x in v.items() if t not in needed)) < L.HEADER_SCORE
+
+
+def test_a_line_that_many_rows_hold(spark):
+    rows = [(i, f"d/{i}", f"own {i}\nReleased under the MIT License.\nmore") for i in range(3000)] + [(5000 + i, f"e/{i}", "plain") for i in range(3000)]
+    got = L.license_scan(spark.createDataFrame(rows, "doc_id long, path string, text string"), F.col("path")).groupBy("license", "origin").count().collect()
+    assert sorted(map(str, map(tuple, got))) == ["('MIT', 'header', 3000)", "(None, None, 3000)"]
