@@ -1,6 +1,6 @@
 """Cross-site boilerplate lines by distinct-site spread (native).
 
-Every non-blank line is named by a 128-bit hash. A HyperLogLog sketch of its
+Every non-blank line is named by a 128-bit hash: two of independent seeds. A HyperLogLog sketch of its
 sites is built and merged by aggregation, so a line that a third of all rows hold
 costs one sketch a task. Lines whose estimate is clearly above or below the
 threshold are settled; those near it get an exact count of distinct sites. Lines
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import BROADCAST_ROWS, SPACE, checkpoint, count_bounded, row_key
+from quarry.llm.common import BROADCAST_ROWS, SPACE, checkpoint, count_bounded, join_counted, let, look_up, row_key
 
 MIN_SITES = 10
 
@@ -29,36 +29,43 @@ NEAR = 5
 
 
 def _lines(docs: DataFrame, site: str) -> DataFrame:
-    """(row_key, place, a, b, site) of every non-blank line."""
-    rows = docs.select(row_key().alias("row_key"), F.coalesce(F.col(site), F.lit("\0")).alias("site"), F.posexplode(F.split("text", "\n", -1)).alias("place", "line"))
-    return rows.filter(F.col("line").rlike(f"[^{SPACE}]")).select("row_key", "place", F.xxhash64("line").alias("a"), F.xxhash64("line", F.lit("line")).alias("b"), "site")
+    """(row_key, place, line, site) of every non-blank line, each named by its hash."""
+    rows = docs.select(row_key().alias("row_key"), F.coalesce(F.col(site), F.lit("\0")).alias("site"), F.posexplode(F.split("text", "\n", -1)).alias("place", "own"))
+    return rows.filter(F.col("own").rlike(f"[^{SPACE}]")).select("row_key", "place", row_key("own").alias("line"), "site")
+
+
+def _among(lines: DataFrame, members: DataFrame) -> DataFrame:
+    """The rows of ``lines`` whose line is one of ``members`` (line, n rows); no frequent line's rows meet in a task."""
+    if count_bounded(members, BROADCAST_ROWS):
+        return lines.join(F.broadcast(members.select("line")), "line", "left_semi")
+    return join_counted(lines, members, "line")
 
 
 def spread_lines(docs: DataFrame, min_sites: int = MIN_SITES, site: str = "source") -> DataFrame:
-    """(a, b): the hashes of lines on at least ``min_sites`` distinct sites; exact."""
-    lines = _lines(docs, site).select("a", "b", "site")
-    sketches = lines.groupBy("a", "b").agg(F.hll_sketch_agg("site", LG_K).alias("sketch"))
-    estimate = sketches.select("a", "b", F.hll_sketch_estimate("sketch").alias("sites"))
+    """(line, n): the hashes of lines on at least ``min_sites`` distinct sites, and their numbers of rows; exact."""
+    lines = _lines(docs, site).select("line", "site")
+    sketches = lines.groupBy("line").agg(F.hll_sketch_agg("site", LG_K).alias("sketch"), F.count("*").alias("n"))
+    estimate = sketches.select("line", "n", F.hll_sketch_estimate("sketch").alias("sites"))
     band = max(1.0, NEAR * 1.04 / 2 ** (LG_K / 2) * min_sites)
     wanted = checkpoint(estimate.filter(F.col("sites") >= min_sites - band))
-    sure = wanted.filter(F.col("sites") > min_sites + band).select("a", "b")
-    near = wanted.filter(F.col("sites") <= min_sites + band).select("a", "b")
+    sure = wanted.filter(F.col("sites") > min_sites + band).select("line", "n")
+    near = wanted.filter(F.col("sites") <= min_sites + band).select("line", "n")
     # Pairs are made distinct before they are counted, so a frequent line is combined where it is read.
-    own = lines.join(F.broadcast(near) if count_bounded(near, BROADCAST_ROWS) else near, ["a", "b"], "left_semi").distinct()
-    exact = own.groupBy("a", "b").count().filter(F.col("count") >= min_sites).select("a", "b")
-    return checkpoint(sure.union(exact))
+    own = _among(lines, near).select("line", "site").distinct()
+    exact = own.groupBy("line").agg(F.count("*").alias("sites")).filter(F.col("sites") >= min_sites).select("line")
+    return checkpoint(sure.union(near.join(exact, "line")))
 
 
 def line_dedup(docs: DataFrame, min_sites: int = MIN_SITES, site: str = "source") -> DataFrame:
     """(doc_id, n_lines, n_removed, text) for every row; ``text`` is without the boilerplate lines."""
     spread = spread_lines(docs, min_sites, site)
-    spread = F.broadcast(spread) if count_bounded(spread, BROADCAST_ROWS) else spread
-    places = _lines(docs, site).join(spread, ["a", "b"], "left_semi").groupBy("row_key").agg(F.collect_set("place").alias("_drop"))
-    own = docs.select("doc_id", "text", row_key().alias("row_key")).join(places.hint("shuffle_hash"), "row_key", "left")
+    places = checkpoint(_among(_lines(docs, site), spread).groupBy("row_key").agg(F.collect_set("place").alias("_drop")))
+    own = look_up(docs.select("doc_id", "text", row_key().alias("row_key")), places, "row_key")
     split = F.split("text", "\n", -1)
     drop = F.coalesce("_drop", F.array().cast("array<int>"))
-    kept = F.when(F.size(drop) == 0, F.col("text")).otherwise(
-        F.array_join(F.filter(F.transform(split, lambda x, i: F.when(~F.array_contains(drop, i), x)), lambda x: x.isNotNull()), "\n")
-    )
+    # The places that stay are told by one set, and their lines taken by place: linear in the lines.
+    kept = F.when(F.size(drop) == 0, F.col("text")).otherwise(let(split, lambda x: F.array_join(
+        F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), drop), lambda i: F.get(x, i)), "\n"
+    )))
     n_lines = F.coalesce(F.size(F.filter(split, lambda x: x.rlike(f"[^{SPACE}]"))), F.lit(0))
     return own.select("doc_id", F.when(F.col("text").isNull(), 0).otherwise(n_lines).cast("long").alias("n_lines"), F.size(drop).cast("long").alias("n_removed"), kept.alias("text"))
