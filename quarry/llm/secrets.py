@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import checkpoint, join_counted, let, new_path, row_key
+from quarry.llm.common import checkpoint, heavy_keys, join_counted, new_path, row_key
 
 
 @dataclass(frozen=True)
@@ -98,16 +98,25 @@ def scan(docs: DataFrame, ledger: str | None = None, rules=RULES) -> DataFrame:
         blobs, seen = blobs.join(known, "blob", "left"), F.coalesce("seen", seen)
     blobs = checkpoint(blobs.withColumn("_missing", F.array_except(versions, seen)).select("blob", "_row_key", "n", "_missing"))
 
-    unseen = blobs.filter(F.size("_missing") > 0).select("_row_key", "blob", "_missing")
-    # One row for each unseen blob; the texts of all other rows stay where they are.
-    texts = docs.select(row_key().alias("_row_key"), text.alias("_text")).join(unseen.hint("shuffle_hash"), "_row_key").select("blob", "_missing", "_text")
+    # One row for each unseen blob; the texts of all other rows stay where they are. A blob that
+    # one row holds is found by that row's key; of others a row is taken in each task, then one of all.
+    unseen = blobs.filter(F.size("_missing") > 0).select("_row_key", "blob", "_missing", "n")
+    often = heavy_keys(blobs)
+    own = docs.select(row_key().alias("_row_key"), text.alias("_text"))
+    alone, more = unseen.filter(F.col("n") == 1).drop("n").hint("shuffle_hash"), unseen.filter((F.col("n") > 1) & ~often).drop("n").hint("shuffle_hash")
+    again = own.join(F.broadcast(unseen.filter((F.col("n") > 1) & often).drop("n")), "_row_key").unionByName(own.join(more, "_row_key"))
+    texts = own.join(alone, "_row_key").unionByName(again.dropDuplicates(["_row_key"])).select("blob", "_missing", "_text")
     findings = F.flatten(F.array(*(F.when(F.array_contains("_missing", r.name), spans_of(F.col("_text"), r, i)).otherwise(F.array().cast(SPANS)) for i, r in enumerate(rules))))
     texts.select("blob", F.col("_missing").alias("scanned"), findings.alias("spans")).write.mode("append").parquet(ledger)
 
     own = spark.read.parquet(ledger).join(blobs.select("blob"), "blob", "left_semi").select("blob", "scanned", F.explode("spans").alias("x"))
     # Ledgers of before hold the bare kind; the row's own rule versions tell which one found it.
     named = F.when(F.contains("x.kind", F.lit("@")), F.col("x.kind")).otherwise(F.get(F.filter("scanned", lambda v: F.substring_index(v, "@", 1) == F.col("x.kind")), 0))
-    own = own.filter(named.isin([r.name for r in rules])).withColumn("x", F.col("x").withField("kind", F.substring_index("x.kind", "@", 1))).groupBy("blob").agg(F.sort_array(F.collect_set("x")).alias("spans"))
+    # Ranks are those of the rules asked for, so another order of rules gives the same rows once.
+    rank = F.array_position(versions, F.col("_name")).cast("int") - 1
+    own = own.withColumn("_name", named).filter(F.array_contains(versions, F.col("_name"))).withColumn("x", F.struct(
+        F.col("x.start").alias("start"), rank.alias("rank"), F.col("x.end").alias("end"), F.substring_index("_name", "@", 1).alias("kind")
+    )).groupBy("blob").agg(F.sort_array(F.collect_set("x")).alias("spans"))
     members = checkpoint(blobs.select("blob", "n").join(own, "blob", "left").withColumn("spans", F.coalesce("spans", F.array().cast(SPANS))))
     return join_counted(paths, members, "blob").select("doc_id", "blob", "spans")
 

@@ -68,6 +68,22 @@ def test_a_new_version_drops_what_only_the_old_one_found(spark):
     assert spans(old) == first
 
 
+def test_another_order_of_rules_gives_the_same_findings_once(spark):
+    ledger, docs = new_path(spark, "ledger"), documents(spark, ODD)
+    rows = lambda rules: sorted((str(r.doc_id), sorted((x.kind, x.start, x.end) for x in r.spans)) for r in secrets.scan(docs, ledger, rules).collect())
+    first = rows(secrets.RULES)
+    n = spark.read.parquet(ledger).count()
+    assert rows(secrets.RULES[::-1]) == first and spark.read.parquet(ledger).count() == n
+    assert rows(secrets.RULES[:2]) == [(d, [x for x in s if x[0] in ("assign", "access")]) for d, s in first]
+
+
+def test_a_row_that_a_third_of_all_rows_repeat_is_scanned_once(spark):
+    ledger = new_path(spark, "ledger")
+    docs = documents(spark, [ODD[0]] * 400 + [(i, f"plain {i}", "a") for i in range(800)])
+    assert secrets.scan(docs, ledger).count() == 1200
+    assert spark.read.parquet(ledger).count() == 801
+
+
 def test_no_user_functions(spark):
     plan = secrets.scan(documents(spark))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan
