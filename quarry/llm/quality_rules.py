@@ -164,6 +164,7 @@ def quality_rules(docs: DataFrame, rules=RULES) -> DataFrame:
 
 
 def keep(docs: DataFrame, rules=RULES) -> DataFrame:
-    """The rows of ``docs`` that pass, with all their columns."""
-    df = _verdict(measures(docs), rules)
-    return df.filter(~F.col("_q_base_failed") & (F.size("_q_failed") == 0)).select(*(F.col(f"`{c}`") for c in docs.columns))
+    """The rows of ``docs`` that pass, with all their columns, whatever their names."""
+    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_q_carried"), F.col("text"))
+    df = _verdict(measures(own), rules)
+    return df.filter(~F.col("_q_base_failed") & (F.size("_q_failed") == 0)).select(*(F.col("_q_carried").getField(c).alias(c) for c in docs.columns))

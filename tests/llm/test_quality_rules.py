@@ -50,6 +50,13 @@ def test_keep(spark):
     assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in quality_rules(documents(spark)).filter("kept").collect()}
 
 
+def test_keep_carries_clashing_columns_unchanged(spark):
+    docs = documents(spark).withColumnsRenamed({"_row_key": "_q_words", "h": "_q_n_words", "rank": "_q_row"}).selectExpr("*", "1.5D AS `a.b`")
+    kept = keep(docs)
+    assert kept.dtypes == docs.dtypes
+    assert {tuple(r) for r in kept.collect()} <= {tuple(r) for r in docs.collect()}
+
+
 def test_no_user_functions(spark):
     plan = quality_rules(documents(spark))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Exchange" not in plan
