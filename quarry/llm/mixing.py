@@ -1,6 +1,6 @@
 """Mixing sources to target weights by hash thresholds.
 
-Each document has a fixed 64-bit hash of its id. A source takes every document
+Each document has a fixed hash of its id and text. A source takes every document
 as often as its target holds its size in full, and once more those whose hash is
 below a threshold at which the taken sizes reach the rest. The threshold is found
 without sorting: sizes are summed by source and hash bucket, the bucket in which
@@ -9,7 +9,7 @@ to single hashes. A smaller budget has a lower threshold for the same hashes, so
 its documents are a subset of those of a larger one.
 
 Defined results: a null text has size zero; a null source is a source of its own,
-last in order; repeated rows have the same hash and are taken together; a source
+last in order; rows of equal id and text have the same hash and are taken together; a source
 of size zero has target zero; an empty table gives an empty result; further
 columns are carried by :func:`take` and ignored by :func:`mix`.
 """
@@ -27,9 +27,9 @@ WEIGHTS, MOST_TIMES, SEED = (5, 2, 1), 3, 42
 LEVEL_BITS, LEVELS = 13, 5
 
 
-def _hash(doc_id: str):
-    """The top 63 bits of a hash of the id, non-negative."""
-    return F.shiftrightunsigned(F.xxhash64(F.lit(SEED), doc_id), 1)
+def _hash(doc_id: str = "doc_id", text: str = "text"):
+    """The top 63 bits of a hash of the id and text, non-negative: rows of one id, or without, are told apart."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit(SEED), doc_id, text), 1)
 
 
 def sizes(docs: DataFrame) -> DataFrame:
@@ -39,7 +39,7 @@ def sizes(docs: DataFrame) -> DataFrame:
     return docs.select(
         "doc_id", "source",
         F.when(blank, 0).otherwise(size).cast("long").alias("size"),
-        _hash("doc_id").alias("h"),
+        _hash().alias("h"),
     )
 
 
@@ -158,6 +158,6 @@ def take(docs: DataFrame, weights=WEIGHTS, most_times: int = MOST_TIMES) -> Data
     """The rows of ``docs`` in the mix, each as often as it is taken; their texts aren't shuffled."""
     found = plan(checkpoint(sizes(docs)), weights, most_times).alias("p")
     joined = docs.alias("d").join(found, F.col("d.source").eqNullSafe(F.col("p.source")))
-    times = _times(_hash("d.doc_id"), most_times)
+    times = _times(_hash("d.doc_id", "d.text"), most_times)
     copies = joined.select("d.*", F.explode(F.array_repeat(F.lit(0), times.cast("int"))))
     return copies.select(*(F.col(f"`{c}`") for c in docs.columns))

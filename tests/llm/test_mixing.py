@@ -75,3 +75,15 @@ def test_take_repeats_rows(spark):
     for r in mix(docs).collect():
         times[r.doc_id] += r.times
     assert got.count() == sum(times.values())
+
+
+def test_rows_without_id_are_told_apart(spark):
+    docs = [(None, f"text number {i} of many", "a") for i in range(300)] + [(7, f"more {i} words", "b") for i in range(300)] + [(i, "x " * 5, None) for i in range(100, 300)]
+    rows = mix(documents(spark, docs)).collect()
+    sizes, taken, target = defaultdict(int), defaultdict(int), {}
+    by_id = {"None": "a", "7": "b"}
+    for r in rows:
+        s = by_id.get(str(r.doc_id))
+        taken[s] += r.taken
+        target[s] = r.target
+    assert all(abs(taken[s] - target[s]) <= 6 for s in target)
