@@ -27,8 +27,8 @@ from quarry.llm.selection import top_k_cut
 #: Buckets of the hashed n-grams; a model is one number for each.
 BUCKETS = 1 << 20
 
-#: Equal slices in which buckets are added up.
-SLICES = 32
+#: Equal slices in which buckets are added up; as many tasks at most share them.
+SLICES = 1024
 SLICE = BUCKETS // SLICES
 
 #: Labelled good rows that the target model is fitted to, at most, by a hash of the id.
@@ -80,10 +80,15 @@ def _counts(docs: DataFrame) -> "np.ndarray":  # noqa: F821
                 ids = bucket_ids(raw.as_py(), known)
                 for kind in (0, 1) if good else (0,):
                     np.add.at(total[kind], ids, 1)
-        for i in range(SLICES):
-            own = total[:, i * SLICE : (i + 1) * SLICE]
-            met = np.flatnonzero(own[0]).astype("<i4")
-            yield pa.RecordBatch.from_pydict({"slice": [i], "at": [met.tobytes()], "n": [np.ascontiguousarray(own[:, met]).astype("<i8").tobytes()]})
+        for at in range(0, SLICES, 32):
+            out: dict[str, list] = {"slice": [], "at": [], "n": []}
+            for i in range(at, at + 32):
+                own = total[:, i * SLICE : (i + 1) * SLICE]
+                met = np.flatnonzero(own[0]).astype("<i4")
+                out["slice"].append(i)
+                out["at"].append(met.tobytes())
+                out["n"].append(np.ascontiguousarray(own[:, met]).astype("<i8").tobytes())
+            yield pa.RecordBatch.from_pydict(out)
 
     def add(batches):
         import numpy as np
@@ -98,7 +103,8 @@ def _counts(docs: DataFrame) -> "np.ndarray":  # noqa: F821
 
     parts = docs.select("text", "good").mapInArrow(count, "slice long, at binary, n binary")
     out = np.zeros((2, BUCKETS), np.int64)
-    for i, n in parts.repartition(SLICES, "slice").mapInArrow(add, "slice long, n binary").collect():
+    tasks = min(SLICES, max(32, docs.rdd.getNumPartitions() // 2))
+    for i, n in parts.repartition(tasks, "slice").mapInArrow(add, "slice long, n binary").collect():
         out[:, i * SLICE : (i + 1) * SLICE] = np.frombuffer(n, np.int64).reshape(2, -1)
     return out
 
