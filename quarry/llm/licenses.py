@@ -53,7 +53,11 @@ HEADER_SCORE, FILE_SCORE = 0.9, 0.6
 #: The greatest inverse document frequency: that of a word in none of a thousand documents.
 MOST = math.log(1001) + 1
 
-WORD = r"[\p{L}\p{N}]+(?:[-.][\p{L}\p{N}]+)*"
+#: What lies between words; points and hyphens at a word's ends aren't part of it.
+BETWEEN = r"[.-]*[^\p{L}\p{N}.-]+[.-]*"
+
+#: Words of a text's beginning of which the different ones are counted to bound how many it has.
+FIRST = 256
 
 
 @functools.lru_cache(maxsize=1)
@@ -63,17 +67,27 @@ def texts() -> tuple[tuple[str, str], ...]:
 
 
 def template_words(text: str) -> list[str]:
-    return re.findall(r"[^\W_]+(?:[-.][^\W_]+)*", text.lower())
+    return [x for w in re.split(r"(?:[^\w.-]|_)+", text.lower()) if (x := w.strip(".-"))]
 
 
 def _words(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
+    return F.array_remove(F.split(F.concat(F.lit(" "), F.lower(text), F.lit(" ")), BETWEEN, -1), "")
+
 
+def known_words(docs: DataFrame, terms: list[str]) -> DataFrame:
+    """(row_key, known, others): the template words of each text, and a number that its different other words at least have.
+
+    The one pass that takes texts apart; what is kept of them is small.
+    """
+    words = docs.select("row_key", _words(F.coalesce("text", F.lit(""))).alias("words"), F.monotonically_increasing_id().alias("n"))
+    known = F.filter("words", lambda w: w.isin(terms))
+    rows = words.select("row_key", known.alias("known"), (F.size(F.array_distinct(F.slice("words", 1, FIRST))) + F.when(F.col("n") < 0, 1).otherwise(0)).alias("several"))
+    return checkpoint(rows.select("row_key", "known", (F.col("several") - F.size(F.array_distinct("known"))).alias("others")))
 
-def document_frequencies(docs: DataFrame, terms: list[str]) -> tuple[int, dict[str, int]]:
+
+def document_frequencies(known: DataFrame) -> tuple[int, dict[str, int]]:
     """The number of documents, and how many hold each term; the driver gets one row a term."""
-    own = docs.select(F.array_distinct(F.filter(_words(F.coalesce("text", F.lit(""))), lambda w: w.isin(terms))).alias("own"))
-    rows = own.select(F.explode(F.array_append(F.col("own"), F.lit(""))).alias("term")).groupBy("term").count()
+    rows = known.select(F.explode(F.array_append(F.array_distinct("known"), F.lit(""))).alias("term")).groupBy("term").count()
     counts = dict(rows.collect())
     return counts.pop("", 0), counts
 
@@ -111,17 +125,23 @@ def vocabulary(notices=NOTICES, whole=None) -> list[str]:
     return sorted({w for _, t in (*notices, *(texts() if whole is None else whole)) for w in template_words(t)})
 
 
-def _may_be_file(words: Column, terms: list[str]) -> Column:
-    """False only where the words outside the templates alone keep a text below FILE_SCORE.
+def _gates(known: DataFrame, weights: Weights) -> DataFrame:
+    """(key, n, may_be_file, may_have_header) of the rows that may have either.
 
-    With d known words told apart of k in all, their squared weights are at most
+    False only where a text or its lines can't reach the score. With d known words
+    told apart of k in all, their squared weights are at most
     d (1 + ln(k / d))^2 MOST^2 (the function is concave), and those of others MOST^2 each.
     """
-    known = F.filter(words, lambda w: w.isin(terms))
     share = FILE_SCORE**2 / (1 - FILE_SCORE**2)
-    return let(known, lambda k: let(F.size(F.array_distinct(k)), lambda d: (d > 0) & (
-        d * F.pow(1 + F.log(F.size(k) / d), F.lit(2.0)) * (1 + 1e-9) >= share * (F.size(F.array_distinct(words)) - d)
-    )))
+    own = known.select("row_key", "known", "others", F.size(F.array_distinct("known")).alias("d"), F.size("known").alias("k"))
+    needed = weights.needed()
+    flags = own.select(
+        F.col("row_key").alias("key"),
+        F.coalesce((F.col("d") > 0) & (F.col("d") * F.pow(1 + F.log(F.col("k") / F.col("d")), F.lit(2.0)) * (1 + 1e-9) >= share * F.col("others")), F.lit(False)).alias("may_be_file"),
+        F.exists("known", lambda w: w.isin(needed)).alias("may_have_header"),
+    )
+    either = flags.filter(F.col("may_be_file") | F.col("may_have_header"))
+    return either.groupBy("key").agg(F.count("*").alias("n"), F.bool_or("may_be_file").alias("may_be_file"), F.bool_or("may_have_header").alias("may_have_header"))
 
 
 def _scored(units: DataFrame, weights: Weights, least: float) -> DataFrame:
@@ -163,14 +183,18 @@ def _back(rows: DataFrame, best: DataFrame) -> DataFrame:
 def license_scan(docs: DataFrame, path: Column, notices=NOTICES, whole=None) -> DataFrame:
     """(doc_id, path, license, origin, score) for every row; origin is header, inherited or null."""
     docs = docs.select("doc_id", path.alias("path"), "text", row_key("doc_id", "text", path).alias("row_key"))
-    weights = Weights(*document_frequencies(docs, vocabulary(notices, whole)), notices, whole)
-
-    gate = r"(?<![\p{L}\p{N}])(?:" + "|".join(re.escape(w) for w in weights.needed()) + r")(?![\p{L}\p{N}])"
-    held = docs.filter(F.lower("text").rlike(gate))
-    lines = held.select("row_key", "path", F.explode(F.filter(F.split("text", r"\n", -1), lambda x: F.lower(x).rlike(gate))).alias("text"))
+    known = known_words(docs, vocabulary(notices, whole))
+    weights = Weights(*document_frequencies(known), notices, whole)
+
+    wanted = checkpoint(_gates(known, weights))
+    own = docs.select("row_key", "path", "text").withColumnRenamed("row_key", "key")
+    held = join_counted(own, wanted, "key").withColumnRenamed("key", "row_key")
+    held = checkpoint(held.filter(F.col("text").isNotNull()).dropDuplicates(["row_key"]))
+    needed = weights.needed()
+    every = held.filter("may_have_header").select("row_key", "path", F.explode(F.split("text", r"\n", -1)).alias("text"))
+    lines = every.filter(F.exists(_words(F.col("text")), lambda w: w.isin(needed)))
     lines = checkpoint(lines.distinct().withColumn("k", row_key("text")))
-    files = docs.filter(F.col("text").isNotNull()).select("row_key", "path", "text", _words(F.col("text")).alias("words")).filter(_may_be_file(F.col("words"), weights.terms))
-    files = checkpoint(files.select("row_key", "path", "text", row_key("text").alias("k")).distinct())
+    files = held.filter("may_be_file").select("row_key", "path", "text", row_key("text").alias("k"))
 
     line_best = _scored(_units(lines, _windows(weights.sizes)), weights, HEADER_SCORE)
     text_best = _scored(_units(files, lambda w: F.array(F.struct(F.lit(0).alias("size"), F.lit(0).alias("at"), w.alias("words")))), weights, FILE_SCORE)
