@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import BROADCAST_ROWS, SPACE, checkpoint, count_bounded, join_counted, let, look_up, row_key
+from quarry.llm.common import BROADCAST_ROWS, SPACE, checkpoint, count_bounded, join_counted, let, row_key
 
 MIN_SITES = 10
 
@@ -59,8 +59,8 @@ def spread_lines(docs: DataFrame, min_sites: int = MIN_SITES, site: str = "sourc
 def line_dedup(docs: DataFrame, min_sites: int = MIN_SITES, site: str = "source") -> DataFrame:
     """(doc_id, n_lines, n_removed, text) for every row; ``text`` is without the boilerplate lines."""
     spread = spread_lines(docs, min_sites, site)
-    places = checkpoint(_among(_lines(docs, site), spread).groupBy("row_key").agg(F.collect_set("place").alias("_drop")))
-    own = look_up(docs.select("doc_id", "text", row_key().alias("row_key")), places, "row_key")
+    places = _among(_lines(docs, site), spread).groupBy("row_key").agg(F.collect_set("place").alias("_drop"))
+    own = docs.select("doc_id", "text", row_key().alias("row_key")).join(places.hint("shuffle_hash"), "row_key", "left")
     split = F.split("text", "\n", -1)
     drop = F.coalesce("_drop", F.array().cast("array<int>"))
     # The places that stay are told by one set, and their lines taken by place: linear in the lines.
