@@ -24,8 +24,13 @@ CSV_SAMPLE_CHARS = 64 * 1024
 
 # Text repair.
 MOJIBAKE_MARKERS = ("Ã", "Â", "â€")
+ONE_BYTE_ENCODINGS = ("cp1252", "latin-1")
+WHITE_SPACE = ((r"\r\n?", "\n"), (r"[ \t]+", " "), (r" ?\n ?", "\n"), (r"\n{3,}", "\n\n"))
 LINE_BREAK_HYPHEN = "-\n[ ]*(?=[a-záéíóúüñ])"
 
+# The code fence that a model may put around JSON.
+CODE_FENCE = r"\A```(?:json)?\s*|\s*```\Z"
+
 # Shapes of laboratory values.
 LAB_VALUE = (r"[a-z]{2,10}-\p{Nd}+\.?\p{Nd}*", r"[a-z]{1,6}-[a-z]{1,6}-\p{Nd}+\.?\p{Nd}*")
 

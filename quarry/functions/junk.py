@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.fixed import LAB_VALUE, STOP_WORDS
@@ -53,3 +53,16 @@ def is_junk(term: Column, stop_words=STOP_WORDS, blacklist=()) -> Column:
         is_punctuation(term) | is_anonymised(term) | is_stop_word(term, stop_words) | is_digits(term)
         | is_blacklisted(term, blacklist) | is_lab_value(term)
     )
+
+
+def junk_columns(df: DataFrame, term: str = "term", stop_words=STOP_WORDS, blacklist=()) -> DataFrame:
+    """``df`` with the normal form of ``term`` and each junk test as a column; the bare term is worked out once a row."""
+    bare, plain = F.col("_bare"), F.lower("_bare")
+    shape = lambda p: plain.rlike(rf"\A{p}\z")
+    tests = {
+        "punctuation": bare.rlike(r"\A[^\p{L}\p{N}]*\z"), "anonymised": bare.contains("___") | bare.rlike(r"\A_+\z"),
+        "stop_word": plain.rlike(r"\A[a-z]+\z") & plain.isin(list(stop_words)) if stop_words else F.lit(False), "digits": bare.rlike(r"\A\p{Nd}+\z"),
+        "lab_value": reduce(or_, map(shape, LAB_VALUE)), "blacklisted": plain.isin(list(blacklist)) if blacklist else F.lit(False),
+    }
+    flagged = df.withColumn("_bare", _bare(F.col(f"`{term}`"))).withColumns({"normal": F.regexp_replace(plain, rf"(?U){BLANK}+", " "), **tests}).drop("_bare")
+    return flagged.withColumn("junk", reduce(or_, (F.col(c) for c in tests)))

@@ -1,23 +1,27 @@
 """Terminology alignment: lexical lookup, nearest concept, greedy descent of a hierarchy, and summaries.
 
 A terminology is a table (code, display, parent_code, pos, embedding); roots have
-no parent. Ties go to the smaller ``pos``.
+no parent. Ties go to the smaller ``pos``. A null or empty vector has no nearest
+concept.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.fixed import CHILD_LIMIT, DESCENT_THRESHOLD
 from quarry.functions.junk import normalize
 from quarry.operators.dedup import dot
+from quarry.scale import BROADCAST_ROWS, checkpoint, count_bounded, look_up
 
-#: A candidate list that is put into the plan has at most so many rows.
-MAX_CANDIDATES = 1000
+#: Candidates that are sent to the workers at once; more of them are taken in blocks.
+CANDIDATES = 20_000
 
-#: Rows up to which a term list is broadcast.
-BROADCAST_ROWS = 100_000
+#: Concepts up to which a hierarchy is sent to the workers whole.
+HIERARCHY_ROWS = 50_000
 
 
 def query_text(concept: Column) -> Column:
@@ -27,7 +31,7 @@ def query_text(concept: Column) -> Column:
 def lexical_match(concepts: DataFrame, terms: DataFrame, concept: str = "concept", term: str = "term") -> DataFrame:
     """``concepts`` with ``found``: 1 if the concept's normal form is that of a term, else 0."""
     own = terms.select(normalize(F.col(term)).alias("_term")).filter("_term <> ''").distinct()
-    if own.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    if count_bounded(own, BROADCAST_ROWS):
         own = F.broadcast(own)
     keyed = concepts.withColumn("_term", normalize(query_text(F.col(concept))))
     joined = keyed.join(own.withColumn("_hit", F.lit(1)), "_term", "left")
@@ -41,18 +45,24 @@ def children(terminology: DataFrame, limit: int = CHILD_LIMIT) -> DataFrame:
     return own.filter(F.col("_place") <= limit).select("parent_code", "code", "display", "pos", "embedding")
 
 
-def descendants(terminology: DataFrame, limit: int | None = CHILD_LIMIT, max_depth: int = 32) -> DataFrame:
-    """(ancestor, code, depth, ...) for all that lie below each concept, nearest first, at most ``limit`` each.
+def descendants(terminology: DataFrame, limit: int | None = CHILD_LIMIT) -> DataFrame:
+    """(ancestor, code, pos, depth) for all that lie below each concept, nearest first, at most ``limit`` each.
 
-    One join a level on (parent, child) pairs; stops when a level is empty.
+    One join a level on (parent, child) pairs, whose lineage is cut; stops when a
+    level is empty, at whatever depth. A concept below itself is an error.
     """
-    edges = terminology.filter(F.col("parent_code").isNotNull()).select("parent_code", "code", "pos")
-    level = edges.select(F.col("parent_code").alias("ancestor"), "code", "pos", F.lit(1).alias("depth"))
-    every = level
-    for depth in range(2, max_depth + 1):
-        level = level.select("ancestor", F.col("code").alias("parent_code")).join(edges, "parent_code").select("ancestor", "code", "pos", F.lit(depth).alias("depth"))
-        if level.isEmpty():
+    edges = checkpoint(terminology.filter(F.col("parent_code").isNotNull()).select("parent_code", "code", "pos"))
+    down = F.broadcast(edges) if count_bounded(edges, BROADCAST_ROWS) else edges
+    level = every = edges.select(F.col("parent_code").alias("ancestor"), "code", "pos", F.lit(1).alias("depth"))
+    depth = 1
+    while True:
+        n, cycles = level.agg(F.count("*"), F.count_if(F.col("ancestor") == F.col("code"))).first()
+        if cycles:
+            raise ValueError("a concept is below itself")
+        if not n:
             break
+        depth += 1
+        level = checkpoint(level.select("ancestor", F.col("code").alias("parent_code")).join(down, "parent_code").select("ancestor", "code", "pos", F.lit(depth).alias("depth")))
         every = every.union(level)
     if limit is None:
         return every
@@ -60,49 +70,170 @@ def descendants(terminology: DataFrame, limit: int | None = CHILD_LIMIT, max_dep
     return every.withColumn("_place", place).filter(F.col("_place") <= limit).drop("_place")
 
 
+def _exact(a, b) -> float:
+    """The dot product as a plain sum in order, which is equal for equal vectors."""
+    total = 0.0
+    for x, y in zip(a.tolist(), b.tolist()):
+        total += x * y
+    return total
+
+
+def best_of(queries, codes, places, vectors, block: int = 2048):
+    """(code, score) of the greatest dot product for each row of ``queries``; ties to the smaller place, then the greater code.
+
+    Products come from one matrix product a block; what is within rounding of the
+    greatest is worked out anew in order, so equal vectors tie.
+    """
+    import numpy as np
+
+    out = []
+    for a in range(0, len(queries), block):
+        part = queries[a : a + block]
+        scores = part @ vectors.T
+        top = scores.max(axis=1)
+        for q, row, t in zip(part, scores, top):
+            found = max((_exact(q, vectors[j]), -places[j], codes[j]) for j in np.flatnonzero(row >= t - 1e-9))
+            out.append((found[2], found[0], found[1]))
+    return out
+
+
+def _plain(df: DataFrame, embedding: str) -> DataFrame:
+    return df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.col(f"`{embedding}`").cast("array<double>").alias("v"))
+
+
+def _scan(df: DataFrame, embedding: str, columns: str, answer) -> DataFrame:
+    """``df`` with ``columns`` from ``answer`` (matrix of vectors to rows of values, in order), in one narrow pass."""
+    import pyarrow as pa
+
+    schema = f"row struct<{', '.join(f'`{f.name}`:{f.dataType.simpleString()}' for f in df.schema.fields)}>, found struct<{columns}>"
+
+    def run(batches: Iterator):
+        import numpy as np
+
+        for batch in batches:
+            vectors = batch.column("v").to_pylist()
+            own = [i for i, v in enumerate(vectors) if v and None not in v]
+            found: list = [None] * len(vectors)
+            if own:
+                for i, x in zip(own, answer(np.array([vectors[i] for i in own], np.float64))):
+                    found[i] = x
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(found, kind)], ["row", "found"])
+
+    from pyspark.sql.pandas.types import to_arrow_type
+    from pyspark.sql.types import _parse_datatype_string
+
+    kind = to_arrow_type(_parse_datatype_string(f"struct<{columns}>"))
+    out = _plain(df, embedding).mapInArrow(run, schema)
+    names = [x.split(":")[0] for x in columns.split(",")]
+    return out.select(*(F.col("row").getField(c).alias(c) for c in df.columns if c not in names), *(F.col("found").getField(c).alias(c) for c in names))
+
+
 def nearest(df: DataFrame, candidates: DataFrame, embedding: str = "embedding") -> DataFrame:
     """``df`` with ``code`` and ``score`` of the candidate (code, pos, embedding) of the greatest dot product.
 
-    The candidates, of which there may be MAX_CANDIDATES at most, stand in the
-    plan as an array, so there is no join.
+    A block of candidates is a matrix that is sent to the workers, and batches of
+    rows are multiplied with it; the best of all blocks wins. There is no join.
     """
-    rows = candidates.select("code", "pos", F.col("embedding").cast("array<double>")).limit(MAX_CANDIDATES + 1).collect()
-    if len(rows) > MAX_CANDIDATES:
-        raise ValueError(f"more than {MAX_CANDIDATES} candidates")
-    if not rows:
-        return df.withColumns({"code": F.lit(None).cast(candidates.schema["code"].dataType), "score": F.lit(None).cast("double")})
-    own = F.array(*(F.struct(F.lit(c).alias("code"), F.lit(-p).alias("place"), F.array(*map(F.lit, v)).alias("v")) for c, p, v in rows))
-    best = F.array_max(F.transform(own, lambda x: F.struct(dot(F.col(embedding), x["v"]).alias("score"), x["place"].alias("place"), x["code"].alias("code"))))
-    return df.withColumn("_best", best).withColumns({"code": F.col("_best.code"), "score": F.col("_best.score")}).drop("_best")
+    import numpy as np
+
+    spark = df.sparkSession
+    kind = candidates.schema["code"].dataType.simpleString()
+    own = candidates.filter(F.col("embedding").isNotNull() & (F.size("embedding") > 0)).select("code", "pos", F.col("embedding").cast("array<double>").alias("v"))
+    state, block = None, []
+
+    def add(state, block):
+        sent = spark.sparkContext.broadcast(([r.code for r in block], [r.pos for r in block], np.array([r.v for r in block], np.float64)))
+
+        def answer(vectors):
+            codes, places, matrix = sent.value
+            return [{"code": c, "score": s, "_place": p} for c, s, p in best_of(vectors, codes, places, matrix)]
 
+        if state is None:
+            return _scan(df, embedding, f"code:{kind},score:double,_place:bigint", answer)
+        both = checkpoint(_scan(state.withColumnsRenamed({"code": "_c", "score": "_s", "_place": "_p"}), embedding, f"code:{kind},score:double,_place:bigint", answer))
+        best = F.greatest(F.struct(F.col("_s").alias("score"), F.col("_p").alias("_place"), F.col("_c").alias("code")), F.struct("score", "_place", "code"))
+        return both.withColumn("_best", best).select(*(F.col(f"`{c}`") for c in df.columns if c not in ("code", "score")), "_best.code", "_best.score", "_best._place")
 
-def descend(df: DataFrame, terminology: DataFrame, key: str, embedding: str = "embedding", limit: int = CHILD_LIMIT, max_depth: int = 32, threshold: float = DESCENT_THRESHOLD) -> DataFrame:
+    for row in own.toLocalIterator():
+        block.append(row)
+        if len(block) >= CANDIDATES:
+            state, block = add(state, block), []
+    if block:
+        state = add(state, block)
+    if state is None:
+        return df.withColumns({"code": F.lit(None).cast(kind), "score": F.lit(None).cast("double")})
+    return state.drop("_place")
+
+
+def descend(df: DataFrame, terminology: DataFrame, key: str, embedding: str = "embedding", limit: int = CHILD_LIMIT, threshold: float = DESCENT_THRESHOLD) -> DataFrame:
     """(key, code, score, steps, accepted): from the nearest root down to the best child for as long as that is strictly better.
 
-    Rows that have stopped leave the loop; a level is one join on the parent.
+    A hierarchy of at most HIERARCHY_ROWS concepts is sent to the workers, which walk
+    it to the end for their rows: one narrow pass at any depth. A larger one is
+    joined level by level, a row to all children of its concept, until every row has
+    stopped; each level's lineage is cut. Rows of equal keys stay apart.
     """
-    below = children(terminology, limit).select(F.col("parent_code").alias("code"), F.col("code").alias("_code"), "pos", F.col("embedding").alias("_v"))
+    below = children(terminology, limit).filter(F.col("embedding").isNotNull())
     roots = terminology.filter(F.col("parent_code").isNull())
     state = nearest(df.select(F.col(key), F.col(embedding).alias("_e")), roots, "_e").withColumn("steps", F.lit(0))
-    done = []
-    for _ in range(max_depth):
-        best = F.max(F.struct(dot(F.col("_e"), F.col("_v")).alias("score"), (-F.col("pos")).alias("place"), F.col("_code").alias("code"))).alias("_best")
-        step = state.join(below, "code").groupBy(F.col(key).alias("_key")).agg(best)
-        both = state.join(step, state[key].eqNullSafe(step["_key"]), "left")
-        better = F.coalesce(F.col("_best.score") > F.col("score"), F.lit(False))
-        both = both.withColumn("_go", better).persist()
-        done.append(both.filter("not _go").select(key, "code", "score", "steps"))
-        state = both.filter("_go").select(key, "_e", F.col("_best.code").alias("code"), F.col("_best.score").alias("score"), (F.col("steps") + 1).alias("steps"))
-        if state.isEmpty():
-            break
+    if count_bounded(below, HIERARCHY_ROWS):
+        out = _walk(state, below, key)
     else:
-        done.append(state.select(key, "code", "score", "steps"))
-    out = done[0]
-    for part in done[1:]:
-        out = out.union(part)
+        out = _levels(state, below, key)
     return out.withColumn("accepted", F.coalesce(F.col("score") >= threshold, F.lit(False)))
 
 
+def _walk(state: DataFrame, below: DataFrame, key: str) -> DataFrame:
+    import numpy as np
+
+    kind = state.schema["code"].dataType.simpleString()
+    kids: dict = {}
+    for r in below.select("parent_code", "code", "pos", F.col("embedding").cast("array<double>").alias("v")).collect():  # at most HIERARCHY_ROWS
+        kids.setdefault(r.parent_code, []).append(r)
+    packed = {p: ([r.code for r in x], [r.pos for r in x], np.array([r.v for r in x], np.float64)) for p, x in kids.items()}
+    sent = state.sparkSession.sparkContext.broadcast(packed)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in state.schema.fields if f.name in (key, "code", "score", "steps"))
+
+    def run(batches: Iterator):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            codes, scores, steps = (batch.column(c).to_pylist() for c in ("code", "score", "steps"))
+            vectors, open_rows = batch.column("_e").to_pylist(), {}
+            for i, c in enumerate(codes):
+                if c in sent.value and vectors[i]:
+                    open_rows.setdefault(c, []).append(i)
+            while open_rows:
+                then: dict = {}
+                for c, rows in open_rows.items():
+                    for i, (code, score, _) in zip(rows, best_of(np.array([vectors[i] for i in rows], np.float64), *sent.value[c])):
+                        if scores[i] is not None and score > scores[i]:
+                            codes[i], scores[i], steps[i] = code, score, steps[i] + 1
+                            if code in sent.value:
+                                then.setdefault(code, []).append(i)
+                open_rows = then
+            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(codes, batch.schema.field("code").type), pa.array(scores, pa.float64()), pa.array(steps, pa.int32())], [key, "code", "score", "steps"])
+
+    ordered = state.select(key, F.col("code").cast(kind).alias("code"), "score", "steps", F.col("_e").cast("array<double>").alias("_e"))
+    names = {f.split(" ")[0].strip("`"): f for f in fields.split(", ")}
+    return ordered.mapInArrow(run, ", ".join(names[c] for c in (key, "code", "score", "steps")))
+
+
+def _levels(state: DataFrame, below: DataFrame, key: str) -> DataFrame:
+    kids = checkpoint(below.groupBy(F.col("parent_code").alias("code")).agg(F.collect_list(F.struct((-F.col("pos")).alias("place"), F.col("code").alias("child"), F.col("embedding").alias("v"))).alias("kids")))
+    done = None
+    state = checkpoint(state)
+    while not state.isEmpty():
+        met = look_up(state, kids, "code", HIERARCHY_ROWS // CHILD_LIMIT)
+        best = F.array_max(F.transform(F.coalesce("kids", F.array().cast(kids.schema["kids"].dataType)), lambda x: F.struct(dot(F.col("_e"), x["v"]).alias("score"), x["place"].alias("place"), x["child"].alias("code"))))
+        moved = checkpoint(met.select(key, "_e", "code", "score", "steps", best.alias("_best")).withColumn("_go", F.coalesce(F.col("_best.score") > F.col("score"), F.lit(False))))
+        part = moved.filter("not _go").select(key, "code", "score", "steps")
+        done = part if done is None else done.union(part)
+        state = moved.filter("_go").select(key, "_e", F.col("_best.code").alias("code"), F.col("_best.score").alias("score"), (F.col("steps") + 1).alias("steps"))
+    return done if done is not None else state.select(key, "code", "score", "steps")
+
+
 def semantic_matches(verified: DataFrame, terminology: DataFrame, key: str, embedding: str = "embedding", threshold: float = DESCENT_THRESHOLD) -> DataFrame:
     """The misses of the lexical lookup (found = 0) that the descent accepts."""
     misses = verified.filter("found = 0")

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.functions.fixed import CATEGORIES, MAX_EVIDENCE_WORDS, PREDICATES, STOP_WORDS
+from quarry.functions.fixed import CATEGORIES, CODE_FENCE, MAX_EVIDENCE_WORDS, PREDICATES, STOP_WORDS
 from quarry.functions.junk import is_junk, normalize
 from quarry.functions.text import strip, truncate_words
 
@@ -23,7 +23,7 @@ RECORD = T.StructType(
     [T.StructField(c, T.StringType()) for c in ("item_id", "concept", "category", "evidence", "predicate", "target")] + [T.StructField("synonyms", T.ArrayType(T.StringType()))]
 )
 
-_FENCE = re.compile(r"\A```(?:json)?\s*|\s*```\Z", re.IGNORECASE)
+_FENCE = re.compile(CODE_FENCE, re.IGNORECASE)
 
 
 def loads_object(raw: str | None) -> dict | None:

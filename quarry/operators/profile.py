@@ -1,8 +1,10 @@
 """Column profiles: type, example, distinct count, values and range of each column.
 
-All columns are turned into (column, value) pairs, which are combined to distinct
-values before they are shuffled; everything else follows from the distinct values
-and their counts. A value that many rows share is one pair a task.
+Two passes at most. The first is one aggregation without keys for what needs no
+shuffle (rows, least, greatest, example, whether there are decimals) beside exact
+distinct counts, for which only 128-bit hashes of (column, value) are shuffled, each
+task's once. The second reads just the columns of few values and lists those. A
+value that many rows share is one hash a task.
 """
 
 from __future__ import annotations
@@ -34,6 +36,18 @@ def _present(field: T.StructField) -> Column:
     return F.when(~F.isnan(col), col) if isinstance(field.dataType, (T.FloatType, T.DoubleType)) else col
 
 
+def _hashed(field: T.StructField) -> Column:
+    """What tells the column's values apart; 0.0 and -0.0 are one value, and nested ones go by their text."""
+    return _present(field) if not isinstance(field.dataType, T.MapType) else _present(field).cast("string")
+
+
+def _sortable(field: T.StructField) -> Column:
+    """struct(d, s) of a value, in the order values are listed; null where there is none."""
+    own = _present(field)
+    d = own.cast("double") if is_numeric(field.dataType) else F.lit(None).cast("double")
+    return F.when(own.isNotNull(), F.struct(d.alias("d"), own.cast("string").alias("s")))
+
+
 def profile(df: DataFrame, order_by: list[str] | None = None) -> DataFrame:
     """(pos, name, type, example, n_distinct, values, range): one row a column.
 
@@ -42,31 +56,29 @@ def profile(df: DataFrame, order_by: list[str] | None = None) -> DataFrame:
     as text. Empty input gives the type "empty".
     """
     fields = df.schema.fields
-    order = F.struct(*(F.col(f"`{c}`") for c in order_by)) if order_by else F.lit(None).cast("int")
-    cells = [
-        F.struct(
-            F.lit(i).alias("pos"), _present(f).cast("string").alias("s"),
-            (_present(f).cast("double") if is_numeric(f.dataType) else F.lit(None).cast("double")).alias("d"),
-        )
-        for i, f in enumerate(fields)
-    ]
-    pairs = df.select(order.alias("at"), F.explode(F.array(*cells)).alias("c")).select("at", "c.*").filter(F.col("s").isNotNull())
-    distinct = pairs.groupBy("pos", "s", "d").agg(F.count("*").alias("n"), F.min("at").alias("at"))
-    first = F.min_by("s", F.struct("at", "d", "s"))
-    decimal = F.max(((F.col("d") % 1 != 0) | (F.abs("d") == float("inf"))).cast("int"))
-    facts = distinct.groupBy("pos").agg(
-        F.count("*").alias("n_distinct"), first.alias("example"), F.coalesce(decimal, F.lit(0)).alias("decimal"),
-        F.min_by("s", F.struct("d", "s")).alias("low"), F.max_by("s", F.struct("d", "s")).alias("high"),
-    )
-    # Values are gathered only for columns that have few of them.
-    few = distinct.join(F.broadcast(facts.filter(F.col("n_distinct") <= MAX_CATEGORIES).select("pos")), "pos", "left_semi")
-    listed = few.groupBy("pos").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "s"))), lambda x: x["s"]).alias("listed"))
+    order = F.struct(*(F.col(f"`{c}`") for c in order_by)) if order_by else None
+    facts = []
+    for i, f in enumerate(fields):
+        own = _present(f)
+        plain = own.cast("string") if isinstance(f.dataType, (T.ArrayType, T.StructType, T.MapType)) else own
+        first = F.min(plain) if order is None else F.min_by(plain, F.when(own.isNotNull(), F.struct(order.alias("at"), plain.alias("v"))))
+        whole = not isinstance(f.dataType, (T.FloatType, T.DoubleType, T.DecimalType))
+        decimal = F.lit(0) if whole else F.coalesce(F.max(((own % 1 != 0) | (F.abs(own.cast("double")) == float("inf"))).cast("int")), F.lit(0))
+        facts.append(F.struct(F.lit(i).alias("pos"), first.cast("string").alias("example"), decimal.alias("decimal"), F.min(plain).cast("string").alias("low"), F.max(plain).cast("string").alias("high")))
+    one = df.agg(F.count("*").alias("total"), F.array(*facts).alias("facts")).first()  # one row
+    hashes = [F.when(_present(f).isNotNull(), F.struct(F.lit(i).alias("pos"), F.xxhash64(F.lit("a"), _hashed(f)).alias("a"), F.xxhash64(F.lit("another"), _hashed(f)).alias("b"))) for i, f in enumerate(fields)]
+    cells = df.select(F.explode(F.array(*hashes)).alias("c")).filter(F.col("c").isNotNull()).select("c.*") if fields else None
+    counted = dict(cells.distinct().groupBy("pos").count().collect()) if fields else {}  # a row a column
+    few = [i for i, n in counted.items() if n <= MAX_CATEGORIES]
+    listed = {}
+    if few:
+        values = df.agg(*(F.transform(F.array_sort(F.collect_set(_sortable(fields[i]))), lambda x: x["s"]).alias(f"c{i}") for i in few)).first()
+        listed = {i: values[f"c{i}"] for i in few}
 
     spark = df.sparkSession
-    names = spark.createDataFrame([(i, f.name, is_numeric(f.dataType)) for i, f in enumerate(fields)], "pos int, name string, numeric boolean")
-    total = df.agg(F.count("*").alias("total"))
-    rows = F.broadcast(names).join(facts, "pos", "left").join(listed, "pos", "left").join(F.broadcast(total))  # one row
-    n = F.coalesce("n_distinct", F.lit(0)).cast("long")
+    table = [(i, f.name, is_numeric(f.dataType), one.total, counted.get(i, 0), x.example, x.decimal, x.low, x.high, listed.get(i)) for i, (f, x) in enumerate(zip(fields, one.facts))]
+    rows = spark.createDataFrame(table, "pos int, name string, numeric boolean, total long, n_distinct long, example string, decimal int, low string, high string, listed array<string>")
+    n = F.col("n_distinct")
     numeric, decimals = F.col("numeric"), F.coalesce("decimal", F.lit(0)) == 1
     kind = (
         F.when(n == 0, "empty").when((n == F.col("total")) & ~decimals, "identifier").when((n == 2) & numeric, "binary numeric").when(n == 2, "binary text")

@@ -71,10 +71,11 @@ def mean_score(entities: Column) -> Column:
 
 def density(entities: Column, text: Column, ignore_stop_words: bool = False, stop_words=STOP_WORDS) -> Column:
     """Words in entities by words in the text. Words in two entities count twice; zero without words."""
-    inside = F.aggregate(
+    # The text is taken apart into characters once; a span is cut from them by place, so the cost is that of the text and its spans.
+    inside = F.element_at(F.transform(F.array(F.split(text, "", -1)), lambda chars: F.aggregate(
         entities, F.lit(0),
-        lambda acc, e: acc + count_words(F.substring(text, e["start"] + 1, e["end"] - e["start"]), ignore_stop_words, stop_words),
-    )
+        lambda acc, e: acc + count_words(F.array_join(F.slice(chars, e["start"] + 1, e["end"] - e["start"]), ""), ignore_stop_words, stop_words),
+    )), 1)
     words = count_words(text, ignore_stop_words, stop_words)
     return F.when((words > 0) & (F.size(entities) > 0), inside / words).otherwise(0.0)
 

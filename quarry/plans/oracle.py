@@ -6,7 +6,6 @@ import hashlib
 import json
 
 from quarry.functions.fixed import DECLARED_VARIABLES, MANUAL_FIELDS, MAX_CATEGORIES, STOP_WORDS, TOP_LEVEL_CONCEPTS, VARIABLES_PROMPT
-from quarry.operators.profile import dataset_id
 from quarry.plans.queries import GAZETTEER, MODEL, MOJIBAKE, NEAR, OPTIONS, PROFILES, SHAPES, SYSTEM
 
 
@@ -102,8 +101,10 @@ k AS (SELECT DISTINCT label, 0::BIGINT AS rn, []::DOUBLE[][] AS kept, NULL::BIGI
   FROM k JOIN r ON r.label = k.label AND r.rn = k.rn + 1)
 SELECT last AS vec_id, label FROM k WHERE last IS NOT NULL"""
 
-VERIFIED = """v AS (SELECT p_partkey, p_size, CASE WHEN lower(p_name) IN (SELECT lower(p_name) FROM part WHERE p_size <= 10) THEN 1 ELSE 0 END AS found FROM part),
-t AS (SELECT *, CASE WHEN found = 1 THEN 'n/a' WHEN p_size > 40 THEN '1' ELSE '0' END AS semantic FROM v)"""
+VERIFIED = f"""WITH RECURSIVE {DESCENT.removeprefix('WITH RECURSIVE ').replace('SELECT key AS vec_id', ', descent AS (SELECT key AS vec_id', 1)}),
+n AS (SELECT max(vec_id) + 1 AS n FROM embeddings),
+v AS (SELECT p_partkey, p_size, CASE WHEN lower(p_name) IN (SELECT lower(p_name) FROM part WHERE p_size <= 10) THEN 1 ELSE 0 END AS found FROM part),
+t AS (SELECT v.*, CASE WHEN found = 1 THEN 'n/a' WHEN accepted THEN '1' ELSE '0' END AS semantic FROM v CROSS JOIN n LEFT JOIN descent ON vec_id = p_partkey % n.n)"""
 
 ITEMS = """i AS (SELECT 'q' || conv_id AS questionnaire, conv_id || '-' || turn AS item_id, text AS question, 'open' AS response_type, '0-3' AS scale,
   'Questionnaire: q' || conv_id || chr(10) || 'Item ID: ' || conv_id || '-' || turn || chr(10) || 'Item text: "' || text || '"' || chr(10) || 'Response type: open' || chr(10) || 'Response scale: 0-3' AS prompt
@@ -189,10 +190,10 @@ def oracle_sql() -> dict[str, str]:
         "hierarchical_descent": DESCENT,
         "hierarchy_children": f"WITH {TREE} SELECT parent AS parent_code, min(code) AS code FROM tree WHERE parent IS NOT NULL GROUP BY parent",
         "hierarchy_descendants": f"WITH RECURSIVE {TREE}, d AS (SELECT parent AS ancestor, code, 1 AS depth FROM tree WHERE parent IS NOT NULL UNION ALL SELECT d.ancestor, t.code, d.depth + 1 FROM d JOIN tree t ON t.parent = d.code) SELECT * FROM d",
-        "lexical_match": f"WITH {VERIFIED} SELECT p_partkey, found::INTEGER AS found FROM t",
-        "verify_tristate": f"WITH {VERIFIED} SELECT p_partkey, found::INTEGER AS found, semantic FROM t",
-        "verify_summary": f"WITH {VERIFIED} SELECT count(*) AS total, count(*) FILTER (found = 1) AS found, count(*) FILTER (found = 1 OR semantic = '1') AS found_or_accepted FROM t",
-        "dataset_ids": "SELECT * FROM (" + rows([(n, dataset_id([c for c, _ in COLUMNS[n]])) for n in PROFILES]) + ") AS t(name, dataset_id)",
+        "lexical_match": f"{VERIFIED} SELECT p_partkey, found::INTEGER AS found FROM t",
+        "verify_tristate": f"{VERIFIED} SELECT p_partkey, found::INTEGER AS found, semantic FROM t",
+        "verify_summary": f"{VERIFIED} SELECT count(*) AS total, count(*) FILTER (found = 1) AS found, count(*) FILTER (found = 1 OR semantic = '1') AS found_or_accepted FROM t",
+        "dataset_ids": " UNION ALL ".join(f"SELECT '{n}' AS name, sha1((SELECT string_agg(column_name, ',') FROM (DESCRIBE {n})))[1:8] AS dataset_id" for n in PROFILES),
         "questionnaire_flatten": f"WITH {ITEMS} SELECT questionnaire, item_id, question, response_type, scale FROM i",
         "item_prompts": f"WITH {ITEMS} SELECT item_id, prompt, '{SIGNATURE}' AS signature FROM i",
         "chat_prompts": """SELECT item_id, '[{"role":"system","content":"sys"},{"role":"user","content":' || to_json('Read: ' || text || '.')::VARCHAR || '}]' AS prompt FROM benchmark""",

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import junk, text
 from quarry.operators import align, concepts, dedup, generation, ontology, profile, semfilter
 from quarry.plans import pipelines
+from quarry.scale import shared_dir
 from quarry.sources import readers, sinks
 
 NEWLINES = " \r\n\r\n \r\n"
@@ -25,11 +24,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the session, or a temporary one where none is set."""
-    return (spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="quarry-")).rstrip("/")
-
-
 def clean_text(spark, sf_dir):
     noisy = F.replace(F.replace("text", F.lit(" "), F.lit("  ")), F.lit("\n"), F.lit(NEWLINES))
     noisy = F.replace(noisy, F.lit("ation"), F.lit("a-\ntion"))
@@ -79,11 +73,7 @@ def _terms(spark, sf_dir):
 
 
 def junk_flags(spark, sf_dir):
-    t = F.col("term")
-    return _terms(spark, sf_dir).select(
-        "term", junk.normalize(t).alias("normal"), junk.is_punctuation(t).alias("punctuation"), junk.is_anonymised(t).alias("anonymised"), junk.is_stop_word(t).alias("stop_word"),
-        junk.is_digits(t).alias("digits"), junk.is_lab_value(t).alias("lab_value"), junk.is_blacklisted(t, ["of", "und"]).alias("blacklisted"), junk.is_junk(t, blacklist=["of", "und"]).alias("junk"),
-    )
+    return junk.junk_columns(_terms(spark, sf_dir), "term", blacklist=["of", "und"])
 
 
 def truncate_words(spark, sf_dir):
@@ -179,8 +169,12 @@ def lexical_match(spark, sf_dir):
 
 
 def _labelled(spark, sf_dir):
+    """Lexical lookup of parts; what it misses descends the hierarchy by the vector of its number."""
     found = _verified(spark, sf_dir)
-    return align.tri_state(found, found.filter("found = 0 AND p_size > 40"), "p_partkey")
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    size = vectors.agg(F.max("vec_id")).first()[0] + 1
+    misses = found.filter("found = 0").withColumn("vec_id", F.col("p_partkey") % size).join(vectors, "vec_id")
+    return align.tri_state(found, align.semantic_matches(misses, _terminology(spark, sf_dir), "p_partkey", threshold=0.3), "p_partkey")
 
 
 def verify_tristate(spark, sf_dir):
