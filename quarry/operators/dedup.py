@@ -75,18 +75,16 @@ class HashedEmbedder:
         self.size, self.pooling = size, pooling
 
     def __call__(self, texts: list[str]) -> list[list[float]]:
-        import zlib
-
         import numpy as np
 
         out = np.zeros((len(texts), self.size))
         for row, text in zip(out, texts):
             text = text.replace("_", " ")
             for part in [text, *text.split()[:1]] if self.pooling == "first" else [text]:
-                padded = f" {part} "
-                for i in range(max(1, len(padded) - 2)):
-                    h = zlib.crc32(padded[i : i + 3].encode())
-                    row[h % self.size] += 1 if h >> 31 else -1
+                codes = [ord(c) for c in f" {part} "] + [0]
+                for a, b, c in zip(codes, codes[1:], codes[2:]):
+                    h = a * 961 + b * 31 + c
+                    row[h % self.size] += 1 if h // self.size % 2 else -1
             row /= np.linalg.norm(row) or 1.0
         return out.tolist()
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 
-from quarry.functions.fixed import DECLARED_VARIABLES, MANUAL_FIELDS, MAX_CATEGORIES, STOP_WORDS, TOP_LEVEL_CONCEPTS, VARIABLES_PROMPT
+from quarry.functions.fixed import DECLARED_VARIABLES, MANUAL_FIELDS, MAX_CATEGORIES, PROMPT_MARGIN, SIMILARITY, STOP_WORDS, TOP_LEVEL_CONCEPTS, VARIABLES_PROMPT
 from quarry.plans.queries import GAZETTEER, MODEL, MOJIBAKE, NEAR, OPTIONS, PROFILES, SHAPES, SYSTEM
 
 
@@ -167,6 +167,31 @@ def _prompt() -> str:
     return f"SELECT {quoted(prompt)} AS prompt, {quoted(hashlib.sha1(prompt.encode()).hexdigest()[:8])} AS prompt_id"
 
 
+def _vector(text: str) -> str:
+    """The unit vector of a text's trigrams: each adds or takes one at a place that its code points give."""
+    padded = f"(' ' || replace({text}, '_', ' ') || ' ')"
+    codes = f"list_append(list_transform(string_split({padded}, ''), lambda c: unicode(c)), 0)"
+    hashes = f"list_transform(range(1, length({padded})), lambda i: ({codes})[i] * 961 + ({codes})[i + 1] * 31 + ({codes})[i + 2])"
+    sums = f"list_transform(range(0, 64), lambda b: coalesce(list_sum(list_transform(list_filter({hashes}, lambda h: h % 64 = b), lambda h: CASE WHEN (h // 64) % 2 = 1 THEN 1 ELSE -1 END)), 0)::DOUBLE)"
+    return f"list_transform([{sums}], lambda s: list_transform(s, lambda x: x / CASE WHEN list_dot_product(s, s) > 0 THEN sqrt(list_dot_product(s, s)) ELSE 1 END))[1]"
+
+
+# Texts that pass the filter, the two longest words of each as concepts, once a source, and none that is near an earlier one.
+TEXT_TRACK = rf"""WITH RECURSIVE {TAGGED},
+k AS (SELECT f.source, f.doc_id AS doc, CASE WHEN len(w) <= {3000 - PROMPT_MARGIN} THEN text ELSE array_to_string(w[1:{3000 - PROMPT_MARGIN}], ' ') END AS text
+  FROM f JOIN documents USING (doc_id) WHERE score >= 0.15 AND density >= 0.05),
+l AS (SELECT *, list_transform(list_sort(list_transform(list_distinct(regexp_extract_all(text, '\p{{L}}{{4,}}')), lambda x: struct_pack(n := -length(x), w := x)))[1:2], lambda x: x.w) AS longest FROM k),
+c AS (SELECT source, doc, place::INTEGER AS place, lower(longest[place + 1]) AS concept, 'finding' AS category, {_truncated(WORDS.format('substr(text, 1, 200)'), 25)} AS evidence
+  FROM (SELECT *, unnest(range(0, len(longest))) AS place FROM l)),
+o AS (SELECT *, row_number() OVER (PARTITION BY source, concept ORDER BY doc, place) AS again FROM c WHERE NOT {_is_junk('concept')}),
+r AS (SELECT *, {{vector}} AS v, row_number() OVER (PARTITION BY source ORDER BY doc, place) AS rn FROM o WHERE again = 1),
+g AS (SELECT DISTINCT source, 0::BIGINT AS rn, []::DOUBLE[][] AS kept, NULL::BIGINT AS doc, NULL::INTEGER AS place FROM r
+  UNION ALL SELECT r.source, r.rn, CASE WHEN len(list_filter(g.kept, lambda x: list_dot_product(x, r.v) > {SIMILARITY})) = 0 THEN list_append(g.kept, r.v) ELSE g.kept END,
+    CASE WHEN len(list_filter(g.kept, lambda x: list_dot_product(x, r.v) > {SIMILARITY})) = 0 THEN r.doc END, r.place
+  FROM g JOIN r ON r.source IS NOT DISTINCT FROM g.source AND r.rn = g.rn + 1)
+SELECT r.source, r.doc, r.place, r.concept, r.category, r.evidence FROM g JOIN r ON g.source IS NOT DISTINCT FROM r.source AND g.rn = r.rn WHERE g.doc IS NOT NULL""".replace("{vector}", _vector("concept"))
+
+
 def oracle_sql() -> dict[str, str]:
     words = WORDS.format("text")
     concept_columns = "item_id, concept, category, predicate, target, evidence, synonyms"
@@ -208,7 +233,9 @@ def oracle_sql() -> dict[str, str]:
         "terminology_roots": "SELECT * FROM (" + rows([(c, d, i) for i, (c, d) in enumerate(TOP_LEVEL_CONCEPTS)]) + ") AS t(code, display, pos)",
         "group_result": "SELECT source, string_agg(doc_id || ':' || lang, ',' ORDER BY doc_id) AS members FROM documents GROUP BY source",
         "subjects_and_objects": "SELECT n_name AS term FROM nation JOIN region ON n_regionkey = r_regionkey UNION SELECT r_name FROM nation JOIN region ON n_regionkey = r_regionkey",
-        "embedded_terms": "SELECT p_partkey, 64::INTEGER AS size, 1.0::DOUBLE AS norm FROM part",
+        "embedded_terms": f"""WITH e AS (SELECT p_partkey, {_vector('p_name')} AS v FROM part)
+            SELECT p_partkey, len(v)::INTEGER AS size, round(list_dot_product(v, v), 6) AS norm, round(list_dot_product(v, range(1, 65)::DOUBLE[]), 6) + 0.0 AS moment FROM e""",
+        "text_track": TEXT_TRACK,
         "text_stream": f"SELECT doc_id, text, len({words}) AS n_words FROM documents",
         **{f"profile_{n}": profile(n, COLUMNS[n], o) for n, o in PROFILES.items()},
     }

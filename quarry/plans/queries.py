@@ -304,8 +304,11 @@ def projection(spark, sf_dir):
 
 
 def embedded_terms(spark, sf_dir):
+    """The length of each part name's vector, and its product with (1, 2, 3, ...)."""
     own = table(spark, sf_dir, "part").select("p_partkey", "p_name")
-    return dedup.embed(own, dedup.HashedEmbedder, "p_name").select("p_partkey", F.size("embedding").alias("size"), F.round(dedup.dot(F.col("embedding"), F.col("embedding")), 6).alias("norm"))
+    v = F.col("embedding")
+    moment = F.aggregate(F.transform(v, lambda x, i: x * (i + 1)), F.lit(0.0), lambda acc, x: acc + x)
+    return dedup.embed(own, dedup.HashedEmbedder, "p_name").select("p_partkey", F.size(v).alias("size"), F.round(dedup.dot(v, v), 6).alias("norm"), (F.round(moment, 6) + 0.0).alias("moment"))
 
 
 def text_track(spark, sf_dir):
