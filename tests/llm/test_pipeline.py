@@ -2,6 +2,7 @@ import corpus_pipeline
 from quarry.llm import quality_rules
 from quarry.llm.mixing import mix
 from tests.llm import test_decontaminate, test_simhash, test_tokens
+from tests.llm.fixtures import documents, empty
 
 
 def test_stages(spark, sf_dir, tmp_path):
@@ -44,3 +45,22 @@ def test_run_applies_the_stages_in_order(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(corpus_pipeline, "STAGES", stages)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     assert sorted(map(tuple, corpus_pipeline.run(spark, sf_dir).collect())) == sorted((r.doc_id,) for r in docs.filter("doc_id % 6 = 0").collect())
+
+
+def test_stages_on_odd_rows(spark, sf_dir):
+    """Nulls, empty and long texts, ties, repeated rows and clashing names; every carried column keeps its values and type."""
+    docs = documents(spark).withColumnRenamed("_row_key", "_q_words").selectExpr("*", "cast(doc_id AS decimal(20,2)) AS `a.b`")
+    rows = {tuple(r) for r in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf_dir)
+        assert out.dtypes == docs.dtypes, name
+        assert {tuple(r) for r in out.collect()} <= rows, name
+    kept = corpus_pipeline.STAGES[0][1](spark, docs, sf_dir).collect()
+    assert kept and all(r.text and r.text.strip() for r in kept)
+    tokens = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).collect()
+    assert sorted(str(r.doc_id) for r in tokens) == sorted(str(r.doc_id) for r in docs.collect())
+
+
+def test_stages_on_an_empty_table(spark, sf_dir):
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty(spark), sf_dir).count() == 0
