@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.fixed import SIMILARITY
+from quarry.scale import checkpoint
 
 
 def exact_first(df: DataFrame, keys: list[str], order: list[str], group: str | None = None) -> DataFrame:
@@ -28,28 +29,87 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda acc, x: acc + x)
 
 
-def greedy_keep(df: DataFrame, group: str, order: str | list[str], embedding: str, threshold: float = SIMILARITY) -> DataFrame:
-    """Rows that survive a scan of their group in order: a kept row removes later rows of similarity above ``threshold``.
+#: Rows of a group that one task scans; a larger group is taken in rounds of so many.
+GROUP_ROWS = 20_000
 
-    Removed rows remove nothing. A group's scan is sequential, so a group is
-    one task's; groups are the concepts of one text. Vectors are compared with the
-    kept ones only.
-    """
 
+def _matrix(rows: pd.Series):
+    """The vectors of some rows, and which rows have one; others are near nothing."""
+    import numpy as np
+
+    has = rows.notna().to_numpy()
+    vectors = np.stack([*rows[has]]).astype(np.float64) if has.any() else np.zeros((0, 0))
+    return vectors, has
+
+
+def _scanner(order, embedding: str, threshold: float):
     def scan(pdf: pd.DataFrame) -> pd.DataFrame:
         import numpy as np
 
         pdf = pdf.sort_values(order, kind="stable").reset_index(drop=True)
-        vectors = np.stack(pdf[embedding].to_numpy()).astype(np.float64)
-        kept: list[int] = []
+        vectors, has = _matrix(pdf[embedding])
+        stays, n = np.ones(len(pdf), bool), 0
         held = np.empty_like(vectors)
-        for i, v in enumerate(vectors):
-            if not (held[: len(kept)] @ v > threshold).any():
-                held[len(kept)] = v
-                kept.append(i)
-        return pdf.iloc[kept]
+        for i, v in zip(np.flatnonzero(has), vectors):
+            if (held[:n] @ v > threshold).any():
+                stays[i] = False
+            else:
+                held[n] = v
+                n += 1
+        return pdf[stays]
+
+    return scan
 
-    return df.groupBy(group).applyInPandas(scan, df.schema)
+
+def _beyond(embedding: str, threshold: float):
+    def beyond(tail: pd.DataFrame, kept: pd.DataFrame) -> pd.DataFrame:
+        import numpy as np
+
+        (vectors, has), (held, _) = _matrix(tail[embedding]), _matrix(kept[embedding])
+        stays = np.ones(len(tail), bool)
+        if len(held) and len(vectors):
+            near = [(vectors[i : i + 1000] @ held.T > threshold).any(axis=1) for i in range(0, len(vectors), 1000)]
+            stays[np.flatnonzero(has)] = ~np.concatenate(near)
+        return tail[stays]
+
+    return beyond
+
+
+def greedy_keep(df: DataFrame, group: str, order: str | list[str], embedding: str, threshold: float = SIMILARITY) -> DataFrame:
+    """Rows that survive a scan of their group in order: a kept row removes later rows of similarity above ``threshold``.
+
+    Removed rows remove nothing; a row without a vector stays and removes nothing. A
+    group of at most GROUP_ROWS is scanned by one task. Of a larger one the first
+    GROUP_ROWS in order are scanned, then all later rows are compared with what was
+    kept of them, spread over as many tasks as hold GROUP_ROWS each, and what
+    survives goes into the next round: the same rows as by one scan, and no task
+    holds more than two such parts.
+    """
+    orders = [order] if isinstance(order, str) else list(order)
+    scan = _scanner(orders, embedding, threshold)
+    own = F.col(f"`{group}`")
+    large = checkpoint(df.groupBy(own.alias("_g")).agg(F.count("*").alias("_n")).filter(F.col("_n") > GROUP_ROWS))
+    if large.isEmpty():
+        return df.groupBy(group).applyInPandas(scan, df.schema)
+    large = F.broadcast(large)
+    same = own.eqNullSafe(F.col("_g"))
+    out = df.join(large, same, "left_anti").groupBy(group).applyInPandas(scan, df.schema)
+    # Rows that are equal throughout may change places.
+    at = F.struct(*(F.col(f"`{c}`").alias(f"o{i}") for i, c in enumerate(orders)), F.xxhash64(*(F.col(f"`{f.name}`") for f in df.schema.fields)).alias("h"))
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    rest = checkpoint(df.join(large, same, "left_semi"))
+    while not rest.isEmpty():
+        first = rest.select(own.alias("_g"), at.alias("_at")).withColumn("_rn", F.row_number().over(Window.partitionBy("_g").orderBy("_at"))).filter(F.col("_rn") <= GROUP_ROWS)
+        cuts = F.broadcast(checkpoint(first.groupBy("_g").agg(F.max("_at").alias("_cut"))))
+        parts = F.broadcast(checkpoint(rest.groupBy(own.alias("_g")).agg(F.ceil(F.count("*") / GROUP_ROWS).alias("_parts"))))
+        kept = checkpoint(rest.join(cuts, same).filter(at <= F.col("_cut")).select(*columns).groupBy(group).applyInPandas(scan, df.schema))
+        out = out.unionByName(kept)
+        tail = rest.join(cuts, same).filter(at > F.col("_cut")).drop("_g", "_cut").join(parts, same)
+        tail = tail.withColumn("_part", F.pmod(F.xxhash64(at), F.col("_parts"))).drop("_g", "_parts")
+        spread = kept.join(parts, same).withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1))).drop("_g", "_parts")
+        survivors = tail.groupBy(group, "_part").cogroup(spread.groupBy(group, "_part")).applyInPandas(_beyond(embedding, threshold), tail.schema)
+        rest = checkpoint(survivors.select(*columns))
+    return out
 
 
 def greedy_keep_native(df: DataFrame, group: str, order: str, embedding: str, threshold: float = SIMILARITY) -> DataFrame:
@@ -108,7 +168,8 @@ def embed(df: DataFrame, make_embedder: Callable[[], Embedder], text: str, into:
 def dedup_concepts(concepts: DataFrame, group: str, order: str | list[str], threshold: float = SIMILARITY, make_embedder: Callable[[], Embedder] = HashedEmbedder) -> DataFrame:
     """Exact duplicates by (concept, category) and then near-duplicates by embedding, inside each group."""
     unique = exact_first(concepts, ["concept", "category"], [order] if isinstance(order, str) else order, group)
-    return greedy_keep(embed(unique, make_embedder, "concept", "_v"), group, order, "_v", threshold).drop("_v")
+    vectors = checkpoint(embed(unique, make_embedder, "concept", "_v"))  # read twice: groups are counted first
+    return greedy_keep(vectors, group, order, "_v", threshold).drop("_v")
 
 
 def numbered(df: DataFrame, group: str, order: list[str], into: str = "seq") -> DataFrame:
