@@ -85,3 +85,8 @@ def turtle(found: DataFrame) -> str | None:
     rows = turtle_blocks(found).orderBy("seq", "block").toLocalIterator()
     body = "\n\n".join(r.text for r in rows)
     return f"{TURTLE_HEADER}\n{body}\n" if body else None
+
+
+def triple_counts(found: DataFrame) -> DataFrame:
+    """(p, n): the number of triples by predicate."""
+    return found.groupBy("p").agg(F.count("*").alias("n"))

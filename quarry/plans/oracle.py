@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 
-from quarry.functions.fixed import DECLARED_VARIABLES, MANUAL_FIELDS, MAX_CATEGORIES, PROMPT_MARGIN, SIMILARITY, STOP_WORDS, TOP_LEVEL_CONCEPTS, VARIABLES_PROMPT
+from quarry.functions.fixed import DECLARED_VARIABLES, MANUAL_FIELDS, MAX_CATEGORIES, PROMPT_MARGIN, SIMILARITY, STOP_WORDS, TOP_LEVEL_CONCEPTS, TURTLE_HEADER, VARIABLES_PROMPT
 from quarry.plans.queries import GAZETTEER, MODEL, MOJIBAKE, NEAR, OPTIONS, PROFILES, SHAPES, SYSTEM
 
 
@@ -202,7 +202,7 @@ def oracle_sql() -> dict[str, str]:
         "word_counts": f"WITH {SPLIT} SELECT doc_id, len(w)::INTEGER AS n_words, len(list_filter(w, lambda x: lower(x) NOT IN {STOP}))::INTEGER AS n_content_words FROM p",
         "semantic_filter": f"WITH {TAGGED} SELECT doc_id, round(score, 9) AS score, round(density, 9) AS density, score >= 0.15 AND density >= 0.05 AS keep FROM f",
         "density_by_source": f"WITH {TAGGED} SELECT source, lang, count(*) AS n_texts, round(avg(density), 6) AS mean_density FROM f WHERE score >= 0.15 AND density >= 0.05 GROUP BY source, lang",
-        "limit_then_filter": "SELECT doc_id, lang FROM (SELECT * FROM documents ORDER BY doc_id LIMIT 500) WHERE lang = 'en'",
+        "limit_then_filter": f"SELECT text FROM (SELECT * FROM documents ORDER BY doc_id LIMIT 500) WHERE len({words}) > 100",
         "junk_flags": f"{JUNK} SELECT *, {IS_JUNK} AS junk FROM f",
         "truncate_words": f"WITH p AS (SELECT doc_id, text, {words} AS w FROM documents) SELECT doc_id, {_truncated('w', 25)} AS evidence, CASE WHEN len(w) <= 200 THEN text ELSE array_to_string(w[1:200], ' ') END AS fitted FROM p",
         "concept_parse": f"WITH {CONCEPTS} SELECT doc_id, place, {concept_columns} FROM c",
@@ -231,7 +231,14 @@ def oracle_sql() -> dict[str, str]:
         "enrich": _enrich(),
         "variables_prompt": _prompt(),
         "terminology_roots": "SELECT * FROM (" + rows([(c, d, i) for i, (c, d) in enumerate(TOP_LEVEL_CONCEPTS)]) + ") AS t(code, display, pos)",
-        "group_result": "SELECT source, string_agg(doc_id || ':' || lang, ',' ORDER BY doc_id) AS members FROM documents GROUP BY source",
+        "group_result": f"WITH {CONCEPTS} SELECT doc_id AS source, string_agg(concept, '|' ORDER BY place) AS members, string_agg(item_id, '|' ORDER BY place) AS items FROM c GROUP BY doc_id",
+        "text_files": "SELECT 'item-' || item_id || '.txt' AS source, text FROM benchmark",
+        "csv_file": "SELECT n_nationkey, n_name, n_regionkey FROM nation",
+        "turtle_file": f"WITH {TRIPLES}, b AS (SELECT string_agg(CASE WHEN k IN (0, 4, 5) THEN s || ' ' || p || ' ' || o ELSE '    ' || p || ' ' || o END, ' ;' || chr(10) ORDER BY k) || ' .' AS text FROM t GROUP BY seq, block UNION ALL SELECT {quoted(TURTLE_HEADER)})"
+        " SELECT * FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM b) WHERE line <> ''",
+        "results_file": f"WITH {ALIGNED} SELECT 'the prompt' AS prompt, seq, variable, relation, match FROM a",
+        "profile_file": f"SELECT 'nation.parquet' AS dataset, sha1((SELECT string_agg(column_name, ',') FROM (DESCRIBE nation)))[1:8] AS dataset_id, name, type, n_distinct FROM ({profile('nation', COLUMNS['nation'], PROFILES['nation'])})",
+        "triple_counts": f"WITH {TRIPLES} SELECT p, count(*) AS n FROM t GROUP BY p",
         "subjects_and_objects": "SELECT n_name AS term FROM nation JOIN region ON n_regionkey = r_regionkey UNION SELECT r_name FROM nation JOIN region ON n_regionkey = r_regionkey",
         "embedded_terms": f"""WITH e AS (SELECT p_partkey, {_vector('p_name')} AS v FROM part)
             SELECT p_partkey, len(v)::INTEGER AS size, round(list_dot_product(v, v), 6) AS norm, round(list_dot_product(v, range(1, 65)::DOUBLE[]), 6) + 0.0 AS moment FROM e""",

@@ -63,8 +63,9 @@ def density_by_source(spark, sf_dir):
 
 
 def limit_then_filter(spark, sf_dir):
-    taken = table(spark, sf_dir, "documents").orderBy("doc_id").limit(500)
-    return taken.filter(F.col("lang") == "en").select("doc_id", "lang")
+    """The long texts among the first rows of a stored corpus: rows are taken first, filtered then."""
+    taken = readers.read_corpus(spark, f"{sf_dir}/documents.parquet", "text", order_by="doc_id", most=500)
+    return taken.filter(semfilter.count_words(F.col("text")) > 100)
 
 
 def _terms(spark, sf_dir):
@@ -281,10 +282,60 @@ def terminology_roots(spark, sf_dir):
     return readers.terminology_roots(spark).select("code", "display", "pos")
 
 
+def _own_folder(spark) -> str:
+    import uuid
+
+    return f"{shared_dir(spark)}/query-{uuid.uuid4().hex}"
+
+
 def group_result(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    own = docs.groupBy("source").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "lang"))), lambda x: F.concat_ws(":", x["doc_id"].cast("string"), x["lang"])), ",").alias("members"))
-    return own
+    """Concepts by document, written as nested JSON and read back."""
+    folder = _own_folder(spark)
+    sinks.write_by_source(concepts.parse_concepts(_answers(spark, sf_dir)), folder, "doc_id", "place")
+    back = spark.read.schema(f"source long, concepts array<{readers.CONCEPT}>").json(folder)
+    return back.select("source", F.array_join("concepts.concept_proposed", "|").alias("members"), F.array_join("concepts.item_id", "|").alias("items"))
+
+
+def text_files(spark, sf_dir):
+    """Benchmark texts as files of their own, read back whole."""
+    folder = _own_folder(spark)
+    for r in table(spark, sf_dir, "benchmark").toLocalIterator():
+        sinks.put_text(spark, f"{folder}/item-{r.item_id}.txt", r.text)
+    return readers.read_texts(spark, f"{folder}/*.txt").select(F.substring_index("source", "/", -1).alias("source"), "text")
+
+
+def csv_file(spark, sf_dir):
+    """A table as CSV with a byte-order mark, read back with separator and encoding found from the file."""
+    folder = _own_folder(spark)
+    sinks.write_csv(table(spark, sf_dir, "nation").coalesce(1), folder)
+    part = spark.read.text(folder).select(F.col("_metadata.file_path")).first()[0]
+    return readers.read_csv(spark, part).select("n_nationkey", "n_name", "n_regionkey")
+
+
+def turtle_file(spark, sf_dir):
+    """The lines of the Turtle file of all triples."""
+    folder = _own_folder(spark)
+    sinks.write_turtle(ontology.triples(_alignments(spark, sf_dir)), folder)
+    return spark.read.text(folder).filter("value <> ''").select(F.col("value").alias("line"))
+
+
+def results_file(spark, sf_dir):
+    """Alignment rows with their prompt, written as results and read back."""
+    rows = _alignments(spark, sf_dir).select("seq", "variable", "relation", "match")
+    path = sinks.write_results(rows, "p1", _own_folder(spark), prompt="the prompt")
+    return spark.read.schema("prompt string, seq long, variable string, relation string, match string").json(path)
+
+
+def profile_file(spark, sf_dir):
+    """The profile document of a table, read back."""
+    nation = table(spark, sf_dir, "nation")
+    path = sinks.write_profile(profile.profile(nation, ["n_nationkey"]), "nation.parquet", profile.dataset_id(nation.columns), _own_folder(spark))
+    back = readers.read_json(spark, path, "dataset string, dataset_id string, variables array<struct<name:string,type:string,n_distinct:bigint>>")
+    return back.select("dataset", "dataset_id", F.explode("variables").alias("v")).select("dataset", "dataset_id", "v.name", "v.type", "v.n_distinct")
+
+
+def triple_counts(spark, sf_dir):
+    return ontology.triple_counts(ontology.triples(_alignments(spark, sf_dir)))
 
 
 def subjects_and_objects(spark, sf_dir):
@@ -338,7 +389,7 @@ ALL = [
     clean_text, nfc, mojibake, word_counts, semantic_filter, density_by_source, limit_then_filter, junk_flags, truncate_words, concept_parse, concept_csv, answers_without_concept,
     exact_dedup_first, greedy_near_dup, greedy_near_dup_native, nearest_root, hierarchical_descent, hierarchy_children, hierarchy_descendants, lexical_match, verify_tristate,
     verify_summary, dataset_ids, questionnaire_flatten, item_prompts, chat_prompts, verification_jobs, cache_hits, cache_misses, triples, turtle_blocks, status_histogram, enrich,
-    variables_prompt, terminology_roots, group_result, subjects_and_objects, projection, embedded_terms, text_track, questionnaire_track, text_stream,
+    variables_prompt, terminology_roots, group_result, text_files, csv_file, turtle_file, results_file, profile_file, triple_counts, subjects_and_objects, projection, embedded_terms, text_track, questionnaire_track, text_stream,
 ]
 
 

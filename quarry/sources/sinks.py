@@ -75,10 +75,11 @@ def write_profile(profiled: DataFrame, dataset: str, dataset_id: str, folder: st
     return path
 
 
-def write_results(rows: DataFrame, prompt_id: str, folder: str, day: date | None = None) -> str:
-    """Alignment rows as JSON lines in a folder named by day and prompt."""
+def write_results(rows: DataFrame, prompt_id: str, folder: str, day: date | None = None, prompt: str | None = None) -> str:
+    """Alignment rows as JSON lines in a folder named by day and prompt, each with its ``prompt`` if one is given."""
     path = f"{folder}/results_{(day or date.today()).isoformat()}_{prompt_id}"
-    rows.write.mode("overwrite").json(path)
+    own = rows if prompt is None else rows.select(F.lit(prompt).alias("prompt"), *(F.col(f"`{c}`") for c in rows.columns if c != "prompt"))
+    own.write.mode("overwrite").json(path)
     return path
 
 
