@@ -192,6 +192,16 @@ g AS (SELECT DISTINCT source, 0::BIGINT AS rn, []::DOUBLE[][] AS kept, NULL::BIG
 SELECT r.source, r.doc, r.place, r.concept, r.category, r.evidence FROM g JOIN r ON g.source IS NOT DISTINCT FROM r.source AND g.rn = r.rn WHERE g.doc IS NOT NULL""".replace("{vector}", _vector("concept"))
 
 
+# The two longest words of the prompts of items without a cached answer; the second goes if it equals or is near the first.
+QUESTIONNAIRE_TRACK = rf"""WITH {ITEMS},
+l AS (SELECT item_id, list_transform(list_sort(list_transform(list_distinct(regexp_extract_all(prompt, '\p{{L}}{{4,}}')), lambda x: struct_pack(n := -length(x), w := x)))[1:2], lambda x: x.w) AS longest
+  FROM i WHERE length(question) % 3 <> 2),
+c AS (SELECT item_id, place, lower(longest[place + 1]) AS concept FROM (SELECT *, unnest(range(0, len(longest))) AS place FROM l)),
+v AS (SELECT *, {{vector}} AS v FROM c WHERE NOT {_is_junk('concept')})
+SELECT item_id, concept, 'finding' AS category FROM v
+WHERE NOT EXISTS (SELECT 1 FROM v AS a WHERE a.item_id = v.item_id AND a.place < v.place AND (a.concept = v.concept OR list_dot_product(a.v, v.v) > {SIMILARITY}))""".replace("{vector}", _vector("concept"))
+
+
 def oracle_sql() -> dict[str, str]:
     words = WORDS.format("text")
     concept_columns = "item_id, concept, category, predicate, target, evidence, synonyms"
@@ -243,6 +253,7 @@ def oracle_sql() -> dict[str, str]:
         "embedded_terms": f"""WITH e AS (SELECT p_partkey, {_vector('p_name')} AS v FROM part)
             SELECT p_partkey, len(v)::INTEGER AS size, round(list_dot_product(v, v), 6) AS norm, round(list_dot_product(v, range(1, 65)::DOUBLE[]), 6) + 0.0 AS moment FROM e""",
         "text_track": TEXT_TRACK,
+        "questionnaire_track": QUESTIONNAIRE_TRACK,
         "text_stream": f"SELECT doc_id, text, len({words}) AS n_words FROM documents",
         **{f"profile_{n}": profile(n, COLUMNS[n], o) for n, o in PROFILES.items()},
     }
