@@ -74,20 +74,10 @@ def _words(text: Column) -> Column:
     return F.array_remove(F.split(F.concat(F.lit(" "), F.lower(text), F.lit(" ")), BETWEEN, -1), "")
 
 
-def known_words(docs: DataFrame, terms: list[str]) -> DataFrame:
-    """(row_key, known, others): the template words of each text, and a number that its different other words at least have.
-
-    The one pass that takes texts apart; what is kept of them is small.
-    """
-    words = docs.select("row_key", _words(F.coalesce("text", F.lit(""))).alias("words"), F.monotonically_increasing_id().alias("n"))
-    known = F.filter("words", lambda w: w.isin(terms))
-    rows = words.select("row_key", known.alias("known"), (F.size(F.array_distinct(F.slice("words", 1, FIRST))) + F.when(F.col("n") < 0, 1).otherwise(0)).alias("several"))
-    return checkpoint(rows.select("row_key", "known", (F.col("several") - F.size(F.array_distinct("known"))).alias("others")))
-
-
-def document_frequencies(known: DataFrame) -> tuple[int, dict[str, int]]:
+def document_frequencies(docs: DataFrame, terms: list[str]) -> tuple[int, dict[str, int]]:
     """The number of documents, and how many hold each term; the driver gets one row a term."""
-    rows = known.select(F.explode(F.array_append(F.array_distinct("known"), F.lit(""))).alias("term")).groupBy("term").count()
+    own = docs.select(F.array_distinct(F.filter(_words(F.coalesce("text", F.lit(""))), lambda w: w.isin(terms))).alias("own"))
+    rows = own.select(F.explode(F.array_append(F.col("own"), F.lit(""))).alias("term")).groupBy("term").count()
     counts = dict(rows.collect())
     return counts.pop("", 0), counts
 
@@ -125,23 +115,23 @@ def vocabulary(notices=NOTICES, whole=None) -> list[str]:
     return sorted({w for _, t in (*notices, *(texts() if whole is None else whole)) for w in template_words(t)})
 
 
-def _gates(known: DataFrame, weights: Weights) -> DataFrame:
-    """(key, n, may_be_file, may_have_header) of the rows that may have either.
+def _candidates(docs: DataFrame, weights: Weights) -> DataFrame:
+    """(row_key, path, lines, whole) of the rows that may have a header or be a file: the lines and the text to score.
 
-    False only where a text or its lines can't reach the score. With d known words
-    told apart of k in all, their squared weights are at most
-    d (1 + ln(k / d))^2 MOST^2 (the function is concave), and those of others MOST^2 each.
+    What is left out can't reach the score. With d known words told apart of k in all,
+    their squared weights are at most d (1 + ln(k / d))^2 MOST^2 (the function is
+    concave), and those of others, of which a text has at least as many as its
+    beginning, MOST^2 each. Texts are taken apart where they are read and not shuffled.
     """
-    share = FILE_SCORE**2 / (1 - FILE_SCORE**2)
-    own = known.select("row_key", "known", "others", F.size(F.array_distinct("known")).alias("d"), F.size("known").alias("k"))
-    needed = weights.needed()
-    flags = own.select(
-        F.col("row_key").alias("key"),
-        F.coalesce((F.col("d") > 0) & (F.col("d") * F.pow(1 + F.log(F.col("k") / F.col("d")), F.lit(2.0)) * (1 + 1e-9) >= share * F.col("others")), F.lit(False)).alias("may_be_file"),
-        F.exists("known", lambda w: w.isin(needed)).alias("may_have_header"),
-    )
-    either = flags.filter(F.col("may_be_file") | F.col("may_have_header"))
-    return either.groupBy("key").agg(F.count("*").alias("n"), F.bool_or("may_be_file").alias("may_be_file"), F.bool_or("may_have_header").alias("may_have_header"))
+    needed, share = weights.needed(), FILE_SCORE**2 / (1 - FILE_SCORE**2)
+    # The row number keeps later filters above this projection; below it they would take the words apart again.
+    rows = docs.filter(F.col("text").isNotNull()).select("row_key", "path", "text", _words(F.col("text")).alias("words"), F.monotonically_increasing_id().alias("n"))
+    rows = rows.select("row_key", "path", "text", "n", F.filter("words", lambda w: w.isin(weights.terms)).alias("known"), F.size(F.array_distinct(F.slice("words", 1, FIRST))).alias("several"))
+    rows = rows.select("row_key", "path", "text", "n", "several", F.size("known").alias("k"), F.size(F.array_distinct("known")).alias("d"), F.exists("known", lambda w: w.isin(needed)).alias("header"))
+    may_be_file = (F.col("n") >= 0) & (F.col("d") > 0) & (F.col("d") * F.pow(1 + F.log(F.col("k") / F.col("d")), F.lit(2.0)) * (1 + 1e-9) >= share * (F.col("several") - F.col("d")))
+    lines = F.filter(F.split("text", r"\n", -1), lambda x: F.exists(_words(x), lambda w: w.isin(needed)))
+    held = rows.filter((F.col("header") & (F.col("n") >= 0)) | may_be_file)
+    return held.select("row_key", "path", F.when(F.col("header"), lines).otherwise(F.array().cast("array<string>")).alias("lines"), F.when(may_be_file, F.col("text")).alias("whole"))
 
 
 def _scored(units: DataFrame, weights: Weights, least: float) -> DataFrame:
@@ -183,18 +173,12 @@ def _back(rows: DataFrame, best: DataFrame) -> DataFrame:
 def license_scan(docs: DataFrame, path: Column, notices=NOTICES, whole=None) -> DataFrame:
     """(doc_id, path, license, origin, score) for every row; origin is header, inherited or null."""
     docs = docs.select("doc_id", path.alias("path"), "text", row_key("doc_id", "text", path).alias("row_key"))
-    known = known_words(docs, vocabulary(notices, whole))
-    weights = Weights(*document_frequencies(known), notices, whole)
-
-    wanted = checkpoint(_gates(known, weights))
-    own = docs.select("row_key", "path", "text").withColumnRenamed("row_key", "key")
-    held = join_counted(own, wanted, "key").withColumnRenamed("key", "row_key")
-    held = checkpoint(held.filter(F.col("text").isNotNull()).dropDuplicates(["row_key"]))
-    needed = weights.needed()
-    every = held.filter("may_have_header").select("row_key", "path", F.explode(F.split("text", r"\n", -1)).alias("text"))
-    lines = every.filter(F.exists(_words(F.col("text")), lambda w: w.isin(needed)))
-    lines = checkpoint(lines.distinct().withColumn("k", row_key("text")))
-    files = held.filter("may_be_file").select("row_key", "path", "text", row_key("text").alias("k"))
+    weights = Weights(*document_frequencies(docs, vocabulary(notices, whole)), notices, whole)
+
+    held = checkpoint(_candidates(docs, weights))
+    lines = held.select("row_key", "path", F.explode("lines").alias("text")).distinct().withColumn("k", row_key("text"))
+    lines = checkpoint(lines)
+    files = held.filter(F.col("whole").isNotNull()).select("row_key", "path", F.col("whole").alias("text")).dropDuplicates(["row_key"]).withColumn("k", row_key("text"))
 
     line_best = _scored(_units(lines, _windows(weights.sizes)), weights, HEADER_SCORE)
     text_best = _scored(_units(files, lambda w: F.array(F.struct(F.lit(0).alias("size"), F.lit(0).alias("at"), w.alias("words")))), weights, FILE_SCORE)
