@@ -156,10 +156,13 @@ def _units(rows: DataFrame, words) -> DataFrame:
     return own.select("k", F.explode(words(_words(F.col("text")))).alias("u")).select("k", "u.size", "u.at", "u.words")
 
 
-def _windows(sizes: list[int]):
+def _windows(sizes: list[int], needed: list[str]):
+    """Windows that hold a needed word; no other can reach the score, so a long line has few."""
+
     def of(size: int, w: Column) -> Column:
         starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(w) - size))
-        return F.transform(starts, lambda i: F.struct(F.lit(size).alias("size"), i.alias("at"), F.slice(w, i + 1, size).alias("words")))
+        own = F.transform(starts, lambda i: F.struct(F.lit(size).alias("size"), i.alias("at"), F.slice(w, i + 1, size).alias("words")))
+        return F.filter(own, lambda x: F.exists(x["words"], lambda v: v.isin(needed)))
 
     return lambda words: let(words, lambda w: F.flatten(F.array(*(of(size, w) for size in sizes))))
 
@@ -180,7 +183,7 @@ def license_scan(docs: DataFrame, path: Column, notices=NOTICES, whole=None) ->
     lines = checkpoint(lines)
     files = held.filter(F.col("whole").isNotNull()).select("row_key", "path", F.col("whole").alias("text")).dropDuplicates(["row_key"]).withColumn("k", row_key("text"))
 
-    line_best = _scored(_units(lines, _windows(weights.sizes)), weights, HEADER_SCORE)
+    line_best = _scored(_units(lines, _windows(weights.sizes, weights.needed())), weights, HEADER_SCORE)
     text_best = _scored(_units(files, lambda w: F.array(F.struct(F.lit(0).alias("size"), F.lit(0).alias("at"), w.alias("words")))), weights, FILE_SCORE)
     by_line = _back(lines, line_best).groupBy("row_key").agg(F.max("best").alias("line"))
     whole_files = checkpoint(_back(files, text_best).select("row_key", "path", F.col("best").alias("file")))
