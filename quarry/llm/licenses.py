@@ -56,9 +56,6 @@ MOST = math.log(1001) + 1
 #: What lies between words; points and hyphens at a word's ends aren't part of it.
 BETWEEN = r"[.-]*[^\p{L}\p{N}.-]+[.-]*"
 
-#: Words of a text's beginning of which the different ones are counted to bound how many it has.
-FIRST = 256
-
 
 @functools.lru_cache(maxsize=1)
 def texts() -> tuple[tuple[str, str], ...]:
@@ -120,13 +117,13 @@ def _candidates(docs: DataFrame, weights: Weights) -> DataFrame:
 
     What is left out can't reach the score. With d known words told apart of k in all,
     their squared weights are at most d (1 + ln(k / d))^2 MOST^2 (the function is
-    concave), and those of others, of which a text has at least as many as its
-    beginning, MOST^2 each. Texts are taken apart where they are read and not shuffled.
+    concave), and those of each other word MOST^2. Texts are
+    taken apart where they are read and not shuffled.
     """
     needed, share = weights.needed(), FILE_SCORE**2 / (1 - FILE_SCORE**2)
     # The row number keeps later filters above this projection; below it they would take the words apart again.
     rows = docs.filter(F.col("text").isNotNull()).select("row_key", "path", "text", _words(F.col("text")).alias("words"), F.monotonically_increasing_id().alias("n"))
-    rows = rows.select("row_key", "path", "text", "n", F.filter("words", lambda w: w.isin(weights.terms)).alias("known"), F.size(F.array_distinct(F.slice("words", 1, FIRST))).alias("several"))
+    rows = rows.select("row_key", "path", "text", "n", F.filter("words", lambda w: w.isin(weights.terms)).alias("known"), F.size(F.array_distinct("words")).alias("several"))
     rows = rows.select("row_key", "path", "text", "n", "several", F.size("known").alias("k"), F.size(F.array_distinct("known")).alias("d"), F.exists("known", lambda w: w.isin(needed)).alias("header"))
     may_be_file = (F.col("n") >= 0) & (F.col("d") > 0) & (F.col("d") * F.pow(1 + F.log(F.col("k") / F.col("d")), F.lit(2.0)) * (1 + 1e-9) >= share * (F.col("several") - F.col("d")))
     lines = F.filter(F.split("text", r"\n", -1), lambda x: F.exists(_words(x), lambda w: w.isin(needed)))
