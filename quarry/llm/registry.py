@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import functions as F
 
-from quarry.llm import pii, secrets
+from quarry.llm import bpe, pii, secrets
 from quarry.llm.common import new_path, read
 from quarry.llm.decontaminate import SLOP, WINDOW, decontaminate
 from quarry.llm.importance import importance
@@ -12,6 +14,8 @@ from quarry.llm.licenses import license_scan
 from quarry.llm.line_dedup import MIN_SITES, line_dedup
 from quarry.llm.mixing import mix
 from quarry.llm.quality_rules import BASE_LEAST_WORDS, BASE_REPEAT_PERCENT, RULES, STOP_WORDS, quality_rules
+from quarry.llm.resampling import BUCKETS, LEAST_WORDS, PERCENT, SEED, resample
+from quarry.llm.runs import periodic_runs
 from quarry.llm.simhash import fingerprint_hex, near_duplicates
 from quarry.llm.tokens import read_tokens, write_tokens
 
@@ -173,12 +177,67 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
        (NOT base_failed AND failed_rules = '') AS kept, failed_rules FROM v"""
 
 
+def planted(doc_id, n: int):
+    """Where the words of a document begin to repeat and with which period, in the documents that get a repetition."""
+    h = zlib.crc32(str(doc_id).encode())
+    if doc_id is None or h % 10:
+        return None
+    g = h // 10
+    return g % n, 1 + (n - g % n) // (3 + g % 8)
+
+
+def op11_runs(spark, sf_dir):
+    rows = periodic_runs(read(spark, sf_dir, "documents"), rewrite=planted)
+    listed = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    best = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("less"), r["start"].alias("start"), r["period"].alias("period"))))
+    rows = rows.select("*", best.alias("best"), F.concat(listed, F.when(F.size("runs") > 0, "\n").otherwise("")).alias("listed"))
+    length = -F.col("best.less")
+    return rows.select(
+        "doc_id", "n_words", F.size("runs").cast("long").alias("n_runs"), "best.start", length.alias("length"), "best.period",
+        F.floor((1000 * length - F.pmod(1000 * length, "best.period")) / F.col("best.period")).alias("exponent_milli"),
+        F.sha2("listed", 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_bpe(spark, sf_dir):
+    path = tokenizer_path()
+    rows = bpe.decode(bpe.encode(read(spark, sf_dir, "documents"), path), path)
+    return rows.select(
+        "doc_id", F.floor(F.octet_length("ids") / 4).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
+def op13_resampling(spark, sf_dir):
+    rows = resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return rows.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+#: CRC-32 byte by byte with a table of 256 values, once for each different word.
+RESAMPLING_SQL = f"""
+WITH tab AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) AS c FROM range(256) r(i))),
+d AS (SELECT row_number() OVER () AS rid, doc_id, {_ascii_words('text')} AS w FROM documents),
+b AS (SELECT unnest({_ascii_words('text')}) AS word FROM benchmark),
+dw AS (SELECT rid, unnest(w) AS word FROM d),
+word AS (SELECT DISTINCT word FROM (SELECT word FROM dw UNION ALL SELECT word FROM b)),
+bytes AS (SELECT word, list_transform(range(0, length(hex(word)) // 2), lambda i: ('0x' || hex(word)[2 * i + 1:2 * i + 2])::BIGINT) AS l FROM word),
+crc AS (SELECT word, xor(list_reduce(l, lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]), 4294967295::BIGINT), 4294967295) % {BUCKETS} AS bucket FROM bytes, tab),
+s AS (SELECT bucket, count(*) AS n FROM dw JOIN crc USING (word) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS n FROM b JOIN crc USING (word) GROUP BY bucket),
+total AS (SELECT (SELECT coalesce(sum(n), 0) FROM s)::BIGINT AS s, (SELECT coalesce(sum(n), 0) FROM t)::BIGINT AS t),
+gain AS (SELECT bucket, floor(1000 * ln(((coalesce(t.n, 0) + 1) * (total.s + {BUCKETS}))::DOUBLE / ((s.n + 1) * (total.t + {BUCKETS}))::DOUBLE))::BIGINT AS g FROM s LEFT JOIN t USING (bucket), total),
+weighed AS (SELECT rid, sum(g)::BIGINT AS weight FROM dw JOIN crc USING (word) JOIN gain USING (bucket) GROUP BY rid),
+scored AS (SELECT rid, doc_id, len(w) AS n, coalesce(weight, 0)::BIGINT AS weight,
+           coalesce(weight, 0)::BIGINT + floor(-1000 * ln(-ln((('0x' || sha256('{SEED}:' || coalesce(doc_id::VARCHAR, ''))[1:8])::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM d LEFT JOIN weighed USING (rid)),
+able AS (SELECT rid, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST) AS place, count(*) OVER () AS n FROM scored WHERE n >= {LEAST_WORDS})
+SELECT doc_id, scored.n::BIGINT AS n_features, weight, score, CASE WHEN place <= {PERCENT} * able.n // 100 THEN place END::BIGINT AS rank FROM scored LEFT JOIN able USING (rid)"""
+
+
 def queries() -> dict:
     return {f.__name__: f for f in (
         op1_licenses, op2_mixing, op3_importance, op4_line_dedup, op5_decontamination,
-        op6_simhash, op7_quality_rules, op8_pii, op9_secrets, op10_tokens,
+        op6_simhash, op7_quality_rules, op8_pii, op9_secrets, op10_tokens, op11_runs, op12_bpe, op13_resampling,
     )}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": LINE_DEDUP_SQL, "op5_decontamination": DECONTAMINATION_SQL, "op7_quality_rules": quality_rules_sql(), "op9_secrets": _secrets_sql()}
+    return {"op4_line_dedup": LINE_DEDUP_SQL, "op5_decontamination": DECONTAMINATION_SQL, "op7_quality_rules": quality_rules_sql(), "op9_secrets": _secrets_sql(), "op13_resampling": RESAMPLING_SQL}
