@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.accumulators import Accumulator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.fixed import SIMILARITY
+from quarry.operators.cells import choose, deal, dimension, matrix_of, vector_rows
 from quarry.scale import checkpoint
 
 
@@ -29,17 +31,47 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda acc, x: acc + x)
 
 
-#: Rows of a group that one task scans; a larger group is taken in rounds of so many.
+#: Rows of a group that one task scans; a larger group is dealt out by cells, each scanned for so many rows at once.
 GROUP_ROWS = 20_000
 
+#: Rows that a cell of a large group has on average, where as many cells are worth it.
+CELL_ROWS = 64
 
-def _matrix(rows: pd.Series):
-    """The vectors of some rows, and which rows have one; others are near nothing."""
+#: Rows that are compared at once.
+BLOCK = 256
+
+GONE, KEPT, OPEN = 0, 1, 2
+
+
+def scan_in_order(vectors, own, threshold: float):
+    """(labels, comparisons) of rows in order, of which only those of ``own`` can be kept for certain.
+
+    A row is GONE if it is near an earlier KEPT one. It is OPEN if it is near an earlier
+    OPEN one, or isn't one's own: then something that isn't here may decide. Else it is KEPT.
+    """
     import numpy as np
 
-    has = rows.notna().to_numpy()
-    vectors = np.stack([*rows[has]]).astype(np.float64) if has.any() else np.zeros((0, 0))
-    return vectors, has
+    n, made = len(vectors), 0
+    labels = np.zeros(n, np.int8)
+    held = {KEPT: np.empty_like(vectors), OPEN: np.empty_like(vectors)}
+    size = {KEPT: 0, OPEN: 0}
+    for a in range(0, n, BLOCK):
+        part = vectors[a : a + BLOCK]
+        near = {k: (part @ held[k][: size[k]].T > threshold).any(axis=1) for k in held}
+        inside = part @ part.T > threshold
+        made += len(part) * (size[KEPT] + size[OPEN]) + len(part) * (len(part) - 1) // 2
+        found = np.zeros(len(part), np.int8)
+        for i in range(len(part)):
+            before = found[:i][inside[i, :i]]
+            if near[KEPT][i] or (before == KEPT).any():
+                continue
+            found[i] = KEPT if own[a + i] and not near[OPEN][i] and not (before == OPEN).any() else OPEN
+        for k in held:
+            rows = part[found == k]
+            held[k][size[k] : size[k] + len(rows)] = rows
+            size[k] += len(rows)
+        labels[a : a + len(part)] = found
+    return labels, made
 
 
 def _scanner(order, embedding: str, threshold: float):
@@ -47,69 +79,130 @@ def _scanner(order, embedding: str, threshold: float):
         import numpy as np
 
         pdf = pdf.sort_values(order, kind="stable").reset_index(drop=True)
-        vectors, has = _matrix(pdf[embedding])
-        stays, n = np.ones(len(pdf), bool), 0
-        held = np.empty_like(vectors)
-        for i, v in zip(np.flatnonzero(has), vectors):
-            if (held[:n] @ v > threshold).any():
-                stays[i] = False
-            else:
-                held[n] = v
-                n += 1
+        has = pdf[embedding].notna().to_numpy()
+        stays = np.ones(len(pdf), bool)
+        if has.any():
+            vectors = np.stack([*pdf[embedding][has]]).astype(np.float64)
+            stays[has] = scan_in_order(vectors, np.ones(len(vectors), bool), threshold)[0] == KEPT
         return pdf[stays]
 
     return scan
 
 
-def _beyond(embedding: str, threshold: float):
-    def beyond(tail: pd.DataFrame, kept: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
-        (vectors, has), (held, _) = _matrix(tail[embedding]), _matrix(kept[embedding])
-        stays = np.ones(len(tail), bool)
-        if len(held) and len(vectors):
-            near = [(vectors[i : i + 1000] @ held.T > threshold).any(axis=1) for i in range(0, len(vectors), 1000)]
-            stays[np.flatnonzero(has)] = ~np.concatenate(near)
-        return tail[stays]
-
-    return beyond
-
-
-def greedy_keep(df: DataFrame, group: str, order: str | list[str], embedding: str, threshold: float = SIMILARITY) -> DataFrame:
+def greedy_keep(df: DataFrame, group: str, order: str | list[str], embedding: str, threshold: float = SIMILARITY, comparisons: Accumulator | None = None) -> DataFrame:
     """Rows that survive a scan of their group in order: a kept row removes later rows of similarity above ``threshold``.
 
     Removed rows remove nothing; a row without a vector stays and removes nothing. A
-    group of at most GROUP_ROWS is scanned by one task. Of a larger one the first
-    GROUP_ROWS in order are scanned, then all later rows are compared with what was
-    kept of them, spread over as many tasks as hold GROUP_ROWS each, and what
-    survives goes into the next round: the same rows as by one scan, and no task
-    holds more than two such parts.
+    group of at most GROUP_ROWS is scanned by one task, larger ones are dealt out by
+    cells (:func:`_keep_in_cells`): the same rows as by one scan, and no task holds a
+    group. ``comparisons`` adds up the pairs of vectors that cells compare.
     """
     orders = [order] if isinstance(order, str) else list(order)
     scan = _scanner(orders, embedding, threshold)
     own = F.col(f"`{group}`")
-    large = checkpoint(df.groupBy(own.alias("_g")).agg(F.count("*").alias("_n")).filter(F.col("_n") > GROUP_ROWS))
+    large = df.groupBy(own.alias("_g")).agg(F.count("*").alias("_n")).filter(F.col("_n") > GROUP_ROWS).select("_g", F.monotonically_increasing_id().alias("_gid"))
+    large = checkpoint(large)
     if large.isEmpty():
         return df.groupBy(group).applyInPandas(scan, df.schema)
-    large = F.broadcast(large)
+    large = F.broadcast(large)  # a row for each GROUP_ROWS rows at most
     same = own.eqNullSafe(F.col("_g"))
-    out = df.join(large, same, "left_anti").groupBy(group).applyInPandas(scan, df.schema)
+    small = df.join(large, same, "left_anti").groupBy(group).applyInPandas(scan, df.schema)
+    rest = checkpoint(df.join(large, same).drop("_g").withColumn("_rid", F.monotonically_increasing_id()))
     # Rows that are equal throughout may change places.
-    at = F.struct(*(F.col(f"`{c}`").alias(f"o{i}") for i, c in enumerate(orders)), F.xxhash64(*(F.col(f"`{f.name}`") for f in df.schema.fields)).alias("h"))
-    columns = [F.col(f"`{c}`") for c in df.columns]
-    rest = checkpoint(df.join(large, same, "left_semi"))
-    while not rest.isEmpty():
-        first = rest.select(own.alias("_g"), at.alias("_at")).withColumn("_rn", F.row_number().over(Window.partitionBy("_g").orderBy("_at"))).filter(F.col("_rn") <= GROUP_ROWS)
-        cuts = F.broadcast(checkpoint(first.groupBy("_g").agg(F.max("_at").alias("_cut"))))
-        parts = F.broadcast(checkpoint(rest.groupBy(own.alias("_g")).agg(F.ceil(F.count("*") / GROUP_ROWS).alias("_parts"))))
-        kept = checkpoint(rest.join(cuts, same).filter(at <= F.col("_cut")).select(*columns).groupBy(group).applyInPandas(scan, df.schema))
-        out = out.unionByName(kept)
-        tail = rest.join(cuts, same).filter(at > F.col("_cut")).drop("_g", "_cut").join(parts, same)
-        tail = tail.withColumn("_part", F.pmod(F.xxhash64(at), F.col("_parts"))).drop("_g", "_parts")
-        spread = kept.join(parts, same).withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1))).drop("_g", "_parts")
-        survivors = tail.groupBy(group, "_part").cogroup(spread.groupBy(group, "_part")).applyInPandas(_beyond(embedding, threshold), tail.schema)
-        rest = checkpoint(survivors.select(*columns))
-    return out
+    at = F.struct(*(F.col(f"`{c}`").alias(f"o{i}") for i, c in enumerate(orders)), F.xxhash64(*(F.col(f"`{f.name}`") for f in df.schema.fields)).alias("h"), F.col("_rid").alias("rid"))
+    slim = rest.select(F.col("_gid").alias("g"), at.alias("at"), F.col("_rid").alias("rid"), F.col(f"`{embedding}`").cast("array<double>").alias("v"))
+    kept = _keep_in_cells(slim, threshold, comparisons).select(F.col("rid").alias("_rid"))
+    return small.unionByName(rest.join(kept, "_rid", "left_semi").select(*(F.col(f"`{c}`") for c in df.columns)))
+
+
+def _reaching(rows: DataFrame) -> DataFrame:
+    """``rows`` once for each cell that they are in or reach, with ``own`` for the cell that they are in."""
+    others = [c for c in rows.columns if c not in ("cell", "reach")]
+    return rows.select(*others, F.col("cell").alias("_home"), F.explode(F.concat(F.array("cell"), "reach")).alias("cell")).withColumn("own", F.col("cell") == F.col("_home")).drop("_home")
+
+
+def _keep_in_cells(rows: DataFrame, threshold: float, comparisons: Accumulator | None = None) -> DataFrame:
+    """(rid) of the rows (g, at, rid, v) that a scan of each g in the order of ``at`` keeps.
+
+    First the heads of the groups are scanned, and what is near a row kept goes: kept rows
+    are copied to the cells of pivots that they reach, and all others of a cell, in parts,
+    meet these only. That is done again for as long as it removes half of the rows.
+
+    Then all cells are scanned at once. Rows are in the cells of their nearest pivots,
+    and in each other cell that they reach, where they may decide but aren't decided. A
+    cell scans the first of its rows: one is kept for certain if no earlier row in reach is
+    open. What is near a row kept goes, all others stay open for the next round. The
+    earliest open row of a group is always decided. These rounds follow chains of near
+    rows from cell to cell, not the number of rows. Where the bounds leave out nothing,
+    a group is one cell, and takes a round for each GROUP_ROWS rows that stay.
+    """
+    add = comparisons.add if comparisons is not None else lambda n: None
+    rows = checkpoint(rows.withColumn("n2", F.aggregate("v", F.lit(0.0), lambda acc, x: acc + x * x)))
+    greatest = checkpoint(rows.groupBy("g").agg(F.coalesce(F.max("n2"), F.lit(0.0)).alias("longest")))  # a row a large group
+    longest = {g: x**0.5 for g, x in greatest.collect()}
+    rows = rows.join(F.broadcast(greatest), "g")
+    # A vector too short to be near any, or none at all, is kept and removes nothing.
+    alone = F.col("v").isNull() | (F.size("v") == 0) | (F.sqrt(F.col("n2") * F.col("longest")) * (1 + 1e-9) <= threshold)
+    kept = rows.filter(alone).select("rid")
+    # Of equal vectors that are near themselves only the first can be kept, so the others go at once.
+    near_itself = F.col("n2") * (1 - 1e-9) > threshold
+    single = rows.filter(~alone & ~near_itself).select("g", "at", "rid", "v")
+    first = rows.filter(~alone & near_itself).groupBy("g", "v").agg(F.min("at").alias("at")).select("g", "at", F.col("at.rid").alias("rid"), "v")
+    rows = checkpoint(single.unionByName(first))
+    dim = dimension(rows, "v")
+    if not dim:
+        return kept
+    most = vector_rows(dim, GROUP_ROWS)
+
+    def scan(pdf: pd.DataFrame) -> pd.DataFrame:
+        import numpy as np
+
+        pdf = pdf.sort_values("rn").reset_index(drop=True)
+        labels, made = scan_in_order(np.stack([*pdf["v"]]), pdf["own"].to_numpy(), threshold)
+        add(made)
+        return pdf[labels == KEPT][["rid", "v", "cell", "reach"]]
+
+    def beyond(part: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
+        import numpy as np
+
+        part = part[~part["rid"].isin(new["rid"])].drop(columns="part")
+        if part.empty or new.empty:
+            return part
+        vectors, held = np.stack([*part["v"]]), np.stack([*new["v"]])
+        add(len(vectors) * len(held))
+        near = [(vectors[i : i + 1000] @ held.T > threshold).any(axis=1) for i in range(0, len(vectors), 1000)]
+        return part[~np.concatenate(near)]
+
+    def scanned(heads: DataFrame, by: str) -> DataFrame:
+        """The rows kept for certain of the first ``most`` of each ``by`` in order."""
+        place = F.row_number().over(Window.partitionBy(by).orderBy("at"))
+        heads = heads.withColumn("rn", place).filter(F.col("rn") <= most).drop("at")
+        return checkpoint(heads.groupBy(by).applyInPandas(scan, "rid long, v array<double>, cell long, reach array<bigint>"))
+
+    def without(rows: DataFrame, new: DataFrame) -> DataFrame:
+        """``rows`` less those kept and those near them; a part of a cell has about ``most`` rows, and there is a row a cell of their numbers."""
+        parts = F.broadcast(checkpoint(rows.groupBy("cell").agg(F.ceil(F.count("*") / most).alias("parts"))))
+        dealt = rows.join(parts, "cell").withColumn("part", F.pmod(F.xxhash64("rid"), F.col("parts"))).drop("parts")
+        spread = _reaching(new).join(parts, "cell").select("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "rid", "v")
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema.fields if f.name != "part")
+        return checkpoint(dealt.groupBy("cell", "part").cogroup(spread.groupBy("cell", "part")).applyInPandas(beyond, schema))
+
+    rows = deal(rows, choose(rows, CELL_ROWS, dim, threshold, longest, most), threshold, longest, comparisons)
+    left = rows.count()
+    while left:
+        new = scanned(rows.withColumn("own", F.lit(True)), "g")
+        kept, rows, before = kept.unionByName(new.select("rid")), without(rows, new), left
+        left = rows.count()
+        if left > before / 2:
+            break
+    if not left:
+        return kept
+    rows = rows.drop("cell", "reach")
+    rows = deal(rows, choose(rows, CELL_ROWS, dim, threshold, longest), threshold, longest, comparisons)
+    while not rows.isEmpty():
+        new = scanned(_reaching(rows.withColumn("r", F.col("reach"))).withColumnRenamed("r", "reach"), "cell")
+        kept, rows = kept.unionByName(new.select("rid")), without(rows, new)
+    return kept
 
 
 def greedy_keep_native(df: DataFrame, group: str, order: str, embedding: str, threshold: float = SIMILARITY) -> DataFrame:
