@@ -9,15 +9,18 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import pandas as pd
+from pyspark.accumulators import Accumulator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.fixed import CHILD_LIMIT, DESCENT_THRESHOLD
 from quarry.functions.junk import normalize
+from quarry.operators.cells import Pivots, dimension, matrix_of, sample, vector_rows
 from quarry.operators.dedup import dot
-from quarry.scale import BROADCAST_ROWS, checkpoint, count_bounded, look_up
+from quarry.scale import BROADCAST_ROWS, checkpoint, count_bounded, gathered, look_up
 
-#: Candidates that are sent to the workers at once; more of them are taken in blocks.
+#: Candidates up to which they are sent to the workers whole.
 CANDIDATES = 20_000
 
 #: Concepts up to which a hierarchy is sent to the workers whole.
@@ -48,26 +51,51 @@ def children(terminology: DataFrame, limit: int = CHILD_LIMIT) -> DataFrame:
 def descendants(terminology: DataFrame, limit: int | None = CHILD_LIMIT) -> DataFrame:
     """(ancestor, code, pos, depth) for all that lie below each concept, nearest first, at most ``limit`` each.
 
-    One join a level on (parent, child) pairs, whose lineage is cut; stops when a
-    level is empty, at whatever depth. A concept below itself is an error.
+    Levels are joined one by one, at whatever depth, and their lineage is cut. With a
+    limit k an ancestor goes down with the at most k concepts of its last level, each
+    of which brings its first k children, and is done once it has k: a level has at
+    most k rows an ancestor, however deep the hierarchy. A concept that is met below itself is an error.
     """
     edges = checkpoint(terminology.filter(F.col("parent_code").isNotNull()).select("parent_code", "code", "pos"))
+    return _every_level(edges) if limit is None else _nearest_levels(edges, limit)
+
+
+def _every_level(edges: DataFrame) -> DataFrame:
     down = F.broadcast(edges) if count_bounded(edges, BROADCAST_ROWS) else edges
     level = every = edges.select(F.col("parent_code").alias("ancestor"), "code", "pos", F.lit(1).alias("depth"))
     depth = 1
-    while True:
-        n, cycles = level.agg(F.count("*"), F.count_if(F.col("ancestor") == F.col("code"))).first()
-        if cycles:
-            raise ValueError("a concept is below itself")
-        if not n:
-            break
+    while _filled(level):
         depth += 1
         level = checkpoint(level.select("ancestor", F.col("code").alias("parent_code")).join(down, "parent_code").select("ancestor", "code", "pos", F.lit(depth).alias("depth")))
         every = every.union(level)
-    if limit is None:
-        return every
-    place = F.row_number().over(Window.partitionBy("ancestor").orderBy("depth", "pos", "code"))
-    return every.withColumn("_place", place).filter(F.col("_place") <= limit).drop("_place")
+    return every
+
+
+def _filled(level: DataFrame) -> bool:
+    """Whether a level has rows; an error if a concept is below itself."""
+    n, cycles = level.agg(F.count("*"), F.count_if(F.col("ancestor") == F.col("code"))).first()
+    if cycles:
+        raise ValueError("a concept is below itself")
+    return n > 0
+
+
+def _nearest_levels(edges: DataFrame, limit: int) -> DataFrame:
+    place = F.row_number().over(Window.partitionBy("parent_code").orderBy("pos", "code"))
+    first = edges.withColumn("_place", place).filter(F.col("_place") <= limit)
+    kids = checkpoint(first.groupBy(F.col("parent_code").alias("code")).agg(F.collect_list(F.struct("pos", F.col("code").alias("child"))).alias("kids")))
+    front = kids.select(F.col("code").alias("ancestor"), "code", F.lit(limit).alias("left"))
+    every, depth = None, 0
+    while True:
+        depth += 1
+        met = look_up(front, kids, "code", max(1, BROADCAST_ROWS // limit)).filter("kids IS NOT NULL")
+        own = met.groupBy("ancestor").agg(F.min("left").alias("left"), F.array_sort(F.flatten(F.collect_list("kids"))).alias("found"))
+        own = own.select("ancestor", F.explode(F.slice("found", F.lit(1), F.col("left"))).alias("x"), (F.col("left") - F.size("found")).alias("left"))
+        level = checkpoint(own.select("ancestor", F.col("x.child").alias("code"), F.col("x.pos").alias("pos"), F.lit(depth).alias("depth"), "left"))
+        rows = level.drop("left")
+        every = rows if every is None else every.union(rows)
+        if not _filled(rows):
+            return every
+        front = level.filter("left > 0").select("ancestor", "code", "left")
 
 
 def _exact(a, b) -> float:
@@ -79,7 +107,7 @@ def _exact(a, b) -> float:
 
 
 def best_of(queries, codes, places, vectors, block: int = 2048):
-    """(code, score) of the greatest dot product for each row of ``queries``; ties to the smaller place, then the greater code.
+    """(code, score, -place) of the greatest dot product for each row of ``queries``; ties to the smaller place, then the greater code.
 
     Products come from one matrix product a block; what is within rounding of the
     greatest is worked out anew in order, so equal vectors tie.
@@ -128,41 +156,189 @@ def _scan(df: DataFrame, embedding: str, columns: str, answer) -> DataFrame:
     return out.select(*(F.col("row").getField(c).alias(c) for c in df.columns if c not in names), *(F.col("found").getField(c).alias(c) for c in names))
 
 
-def nearest(df: DataFrame, candidates: DataFrame, embedding: str = "embedding") -> DataFrame:
+def nearest(df: DataFrame, candidates: DataFrame, embedding: str = "embedding", comparisons: Accumulator | None = None) -> DataFrame:
     """``df`` with ``code`` and ``score`` of the candidate (code, pos, embedding) of the greatest dot product.
 
-    A block of candidates is a matrix that is sent to the workers, and batches of
-    rows are multiplied with it; the best of all blocks wins. There is no join.
+    Up to CANDIDATES of them are a matrix that is sent to the workers, with which
+    batches of rows are multiplied; more are searched by balls (:func:`_nearest_in_balls`).
+    ``comparisons`` adds up the pairs of a row and a candidate that balls compare.
     """
     import numpy as np
 
     spark = df.sparkSession
     kind = candidates.schema["code"].dataType.simpleString()
-    own = candidates.filter(F.col("embedding").isNotNull() & (F.size("embedding") > 0)).select("code", "pos", F.col("embedding").cast("array<double>").alias("v"))
-    state, block = None, []
-
-    def add(state, block):
-        sent = spark.sparkContext.broadcast(([r.code for r in block], [r.pos for r in block], np.array([r.v for r in block], np.float64)))
-
-        def answer(vectors):
-            codes, places, matrix = sent.value
-            return [{"code": c, "score": s, "_place": p} for c, s, p in best_of(vectors, codes, places, matrix)]
-
-        if state is None:
-            return _scan(df, embedding, f"code:{kind},score:double,_place:bigint", answer)
-        both = checkpoint(_scan(state.withColumnsRenamed({"code": "_c", "score": "_s", "_place": "_p"}), embedding, f"code:{kind},score:double,_place:bigint", answer))
-        best = F.greatest(F.struct(F.col("_s").alias("score"), F.col("_p").alias("_place"), F.col("_c").alias("code")), F.struct("score", "_place", "code"))
-        return both.withColumn("_best", best).select(*(F.col(f"`{c}`") for c in df.columns if c not in ("code", "score")), "_best.code", "_best.score", "_best._place")
-
-    for row in own.toLocalIterator():
-        block.append(row)
-        if len(block) >= CANDIDATES:
-            state, block = add(state, block), []
-    if block:
-        state = add(state, block)
-    if state is None:
+    own = candidates.select("code", "pos", F.col("embedding").cast("array<double>").alias("v")).filter(_whole("v"))
+    dim = dimension(own, "v")
+    if not dim:
         return df.withColumns({"code": F.lit(None).cast(kind), "score": F.lit(None).cast("double")})
-    return state.drop("_place")
+    if not count_bounded(own, vector_rows(dim, CANDIDATES)):
+        return _nearest_in_balls(df, own, embedding, dim, comparisons)
+    block = own.collect()  # at most CANDIDATES, of bounded size
+    sent = spark.sparkContext.broadcast(([r.code for r in block], [r.pos for r in block], np.array([r.v for r in block], np.float64)))
+
+    def answer(vectors):
+        return [{"code": c, "score": s} for c, s, _ in best_of(vectors, *sent.value)]
+
+    return _scan(df, embedding, f"code:{kind},score:double", answer)
+
+
+def _whole(vector: str) -> Column:
+    """Whether a vector can be compared: neither null nor empty, and without nulls."""
+    return F.col(vector).isNotNull() & (F.size(vector) > 0) & F.forall(vector, lambda x: x.isNotNull())
+
+
+#: Candidates that a ball has on average, and rows that a task compares with a ball.
+BALL_ROWS, ASKED_ROWS = 2_000, 20_000
+
+#: Candidates of a ball up to which it isn't parted further.
+LEAF_ROWS = 256
+
+
+def upper_bounds(queries, centres, radii, norms):
+    """Upper bounds on the dot product of each query with what is in each ball: a vector is its centre and at most a radius."""
+    import numpy as np
+
+    length = np.sqrt(np.einsum("ij,ij->i", queries, queries))[:, None]
+    return np.minimum(queries @ centres.T + length * radii, length * norms) + 1e-9 * (1 + length * norms)
+
+
+def best_in_ball(queries, least, codes, places, vectors, block: int = 2048):
+    """([(score, -place, code) or None of each query], comparisons): the best candidate where one reaches ``least``.
+
+    A large ball is parted into smaller ones around some of its vectors. A query goes to
+    the one with the greatest bound first, and then to those whose bounds reach what it has found.
+    """
+    import numpy as np
+
+    n, made = len(vectors), 0
+    step = max(1, int(n**0.5)) if n > LEAF_ROWS else n
+    centres = vectors[::step]
+    square = np.einsum("ij,ij->i", centres, centres)
+    home, far = np.zeros(n, np.int64), np.zeros(n)
+    for a in range(0, n, block):
+        part = vectors[a : a + block]
+        apart = np.einsum("ij,ij->i", part, part)[:, None] + square - 2 * (part @ centres.T)
+        home[a : a + block] = apart.argmin(axis=1)
+        far[a : a + block] = np.sqrt(np.maximum(apart.min(axis=1), 0.0)) + 1e-7
+    order = np.argsort(home, kind="stable")
+    cuts = np.searchsorted(home[order], np.arange(len(centres) + 1)).tolist()
+    leaves = [order[a:b] for a, b in zip(cuts, cuts[1:])]
+    length = np.sqrt(np.einsum("ij,ij->i", vectors, vectors))
+    radii, norms = (np.array([x[leaf].max(initial=0.0) for leaf in leaves]) for x in (far, length))
+    found: list = [None] * len(queries)
+    for a in range(0, len(queries), block):
+        q = queries[a : a + block]
+        bounds, best = upper_bounds(q, centres, radii, norms), np.array(least[a : a + block], np.float64)
+        bounds[:, [not len(leaf) for leaf in leaves]] = -np.inf
+        first = bounds.argmax(axis=1)
+
+        def ask(rows, leaf):
+            nonlocal made
+            own = leaves[leaf]
+            made += len(rows) * len(own)
+            for i, (code, score, place) in zip(rows.tolist(), best_of(q[rows], [codes[j] for j in own], [places[j] for j in own], vectors[own])):
+                if score >= best[i]:
+                    best[i] = score
+                    found[a + i] = max(found[a + i] or (score, place, code), (score, place, code))
+
+        for leaf in np.unique(first).tolist():
+            ask(np.flatnonzero((first == leaf) & (bounds[:, leaf] >= best)), leaf)
+        for leaf in range(len(leaves)):
+            rows = np.flatnonzero((first != leaf) & (bounds[:, leaf] >= best))
+            if len(rows):
+                ask(rows, leaf)
+    return found, made
+
+
+def _nearest_in_balls(df: DataFrame, own: DataFrame, embedding: str, dim: int, comparisons: Accumulator | None) -> DataFrame:
+    """:func:`nearest` of any number of candidates, exact.
+
+    Candidates are dealt to balls around a sample of them. Each row asks the ball of the
+    nearest centre, and then every ball whose bound reaches the score found there. A
+    ball that is too large for a task is several, and the rows that ask it are dealt
+    out as well. Only the centres, and three numbers for each, come to the driver.
+    """
+    import numpy as np
+
+    spark = df.sparkSession
+    kind = own.schema["code"].dataType.simpleString()
+    add = comparisons.add if comparisons is not None else lambda n: None
+    # Of equal vectors one is the best for every row.
+    own = checkpoint(own.groupBy("v").agg(F.max(F.struct((-F.col("pos")).alias("place"), F.col("code"))).alias("x")).select(F.lit(0).cast("long").alias("g"), "v", (-F.col("x.place")).alias("pos"), "x.code"))
+    pivots = Pivots(sample(own, BALL_ROWS, dim))
+    _, centres, _, _ = pivots.groups[0]
+    sent = spark.sparkContext.broadcast(pivots)
+
+    def place(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            vectors = matrix_of(batch.column("v"))
+            cell, far = sent.value.cells(0, vectors)
+            norm = np.sqrt(np.einsum("ij,ij->i", vectors, vectors))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("v", "pos", "code")), pa.array(cell), pa.array(far), pa.array(norm)], ["v", "pos", "code", "cell", "far", "norm"])
+
+    balls = checkpoint(own.mapInArrow(place, f"v array<double>, pos {own.schema['pos'].dataType.simpleString()}, code {kind}, cell long, far double, norm double"))
+    most = vector_rows(dim, ASKED_ROWS)
+    sizes = checkpoint(balls.groupBy("cell").agg(F.max("far").alias("far"), F.max("norm").alias("norm"), F.ceil(F.count("*") / most).alias("slices")))
+    radii, norms = np.full(pivots.size, 0.0), np.full(pivots.size, -np.inf)  # a cell without candidates has no bound that reaches anything
+    for r in sizes.collect():
+        radii[r.cell], norms[r.cell] = r.far + 1e-7, r.norm
+    bounds = spark.sparkContext.broadcast((centres, radii, norms))
+    slices = F.broadcast(sizes.select("cell", "slices"))
+    balls = balls.join(slices, "cell").select("cell", F.pmod(F.xxhash64("code", "pos", "v"), F.col("slices")).alias("slice"), "v", "pos", "code")
+
+    def ask(batches):
+        """(rid, v, least, cell) for each ball that a row asks: the one of the nearest centre, or all others that may be better."""
+        import numpy as np
+        import pyarrow as pa
+
+        centres, radii, norms = bounds.value
+        for whole in batches:
+            for at in range(0, len(whole), 500):
+                batch = whole.slice(at, 500)
+                vectors = matrix_of(batch.column("v"))
+                reach = upper_bounds(vectors, centres, radii, np.maximum(norms, 0.0))
+                reach[:, np.isinf(norms)] = -np.inf
+                first = np.where(np.isinf(norms), -np.inf, vectors @ centres.T).argmax(axis=1)
+                if "least" in batch.schema.names:
+                    least = batch.column("least").to_numpy()
+                    row, cell = np.nonzero((reach >= least[:, None]) & (np.arange(len(norms)) != first[:, None]))
+                else:
+                    row, cell, least = np.arange(len(batch)), first, np.full(len(batch), -np.inf)
+                taken = batch.take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([taken.column("rid"), taken.column("v"), pa.array(least[row]), pa.array(cell)], ["rid", "v", "least", "cell"])
+
+    def best(asked: pd.DataFrame, ball: pd.DataFrame) -> pd.DataFrame:
+        import numpy as np
+
+        if asked.empty or ball.empty:
+            return pd.DataFrame({"rid": [], "score": [], "place": [], "code": []})
+        found, made = best_in_ball(np.stack([*asked["v"]]), asked["least"].to_numpy(), ball["code"].tolist(), ball["pos"].tolist(), np.stack([*ball["v"]]))
+        add(made)
+        rows = [(r, *x) for r, x in zip(asked["rid"], found) if x]
+        return pd.DataFrame(rows, columns=["rid", "score", "place", "code"])
+
+    def answers(asks: DataFrame) -> DataFrame:
+        asks = checkpoint(asks)
+        parts = F.broadcast(checkpoint(asks.groupBy("cell").agg(F.ceil(F.count("*") / most).alias("parts"))))
+        dealt = asks.join(parts, "cell").join(slices, "cell").select(
+            "cell", F.pmod(F.xxhash64("rid"), F.col("parts")).alias("part"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).alias("slice"), "rid", "v", "least"
+        )
+        spread = balls.join(parts, "cell").select("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "slice", "v", "pos", "code")
+        keys = ("cell", "part", "slice")
+        return checkpoint(dealt.groupBy(*keys).cogroup(spread.groupBy(*keys)).applyInPandas(best, f"rid long, score double, place long, code {kind}"))
+
+    rows = checkpoint(df.withColumn("_rid", F.monotonically_increasing_id()))
+    queries = checkpoint(rows.select(F.col("_rid").alias("rid"), F.col(f"`{embedding}`").cast("array<double>").alias("v")).filter(_whole("v")))
+    schema = "rid long, v array<double>, least double, cell long"
+    first = answers(queries.mapInArrow(ask, schema))
+    more = queries.join(first.groupBy("rid").agg(F.max("score").alias("least")), "rid").select("rid", "v", "least")
+    second = answers(more.mapInArrow(ask, schema))
+    found = first.union(second).groupBy(F.col("rid").alias("_rid")).agg(F.max(F.struct("score", "place", "code")).alias("_best"))
+    columns = [F.col(f"`{c}`") for c in df.columns if c not in ("code", "score")]
+    return rows.join(found, "_rid", "left").select(*columns, F.col("_best.code").alias("code"), F.col("_best.score").alias("score"))
 
 
 def descend(df: DataFrame, terminology: DataFrame, key: str, embedding: str = "embedding", limit: int = CHILD_LIMIT, threshold: float = DESCENT_THRESHOLD) -> DataFrame:
@@ -176,7 +352,7 @@ def descend(df: DataFrame, terminology: DataFrame, key: str, embedding: str = "e
     below = children(terminology, limit).filter(F.col("embedding").isNotNull())
     roots = terminology.filter(F.col("parent_code").isNull())
     state = nearest(df.select(F.col(key), F.col(embedding).alias("_e")), roots, "_e").withColumn("steps", F.lit(0))
-    if count_bounded(below, HIERARCHY_ROWS):
+    if count_bounded(below, vector_rows(dimension(below, "embedding"), HIERARCHY_ROWS)):
         out = _walk(state, below, key)
     else:
         out = _levels(state, below, key)
@@ -227,7 +403,7 @@ def _levels(state: DataFrame, below: DataFrame, key: str) -> DataFrame:
     while not state.isEmpty():
         met = look_up(state, kids, "code", HIERARCHY_ROWS // CHILD_LIMIT)
         best = F.array_max(F.transform(F.coalesce("kids", F.array().cast(kids.schema["kids"].dataType)), lambda x: F.struct(dot(F.col("_e"), x["v"]).alias("score"), x["place"].alias("place"), x["child"].alias("code"))))
-        moved = checkpoint(met.select(key, "_e", "code", "score", "steps", best.alias("_best")).withColumn("_go", F.coalesce(F.col("_best.score") > F.col("score"), F.lit(False))))
+        moved = checkpoint(gathered(met).select(key, "_e", "code", "score", "steps", best.alias("_best")).withColumn("_go", F.coalesce(F.col("_best.score") > F.col("score"), F.lit(False))))
         part = moved.filter("not _go").select(key, "code", "score", "steps")
         done = part if done is None else done.union(part)
         state = moved.filter("_go").select(key, "_e", F.col("_best.code").alias("code"), F.col("_best.score").alias("score"), (F.col("steps") + 1).alias("steps"))

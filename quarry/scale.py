@@ -52,3 +52,8 @@ def look_up(rows: DataFrame, table: DataFrame, key: str, bound: int = BROADCAST_
     heavy = counts.filter(F.col("n") > often).select(key)
     own = F.broadcast(checkpoint(heavy.join(table, key, "left")))
     return rows.join(own, key).unionByName(rows.join(F.broadcast(heavy), key, "left_anti").join(table, key, "left"))
+
+
+def gathered(df: DataFrame) -> DataFrame:
+    """``df`` in no more partitions than shuffles have. Unions add up those of their sides, so loops that look up must not keep them."""
+    return df.coalesce(max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
