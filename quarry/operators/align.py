@@ -160,19 +160,19 @@ def nearest(df: DataFrame, candidates: DataFrame, embedding: str = "embedding",
     """``df`` with ``code`` and ``score`` of the candidate (code, pos, embedding) of the greatest dot product.
 
     Up to CANDIDATES of them are a matrix that is sent to the workers, with which
-    batches of rows are multiplied; more are searched by balls (:func:`_nearest_in_balls`).
+    batches of rows are multiplied; more are searched by balls (:func:`nearest_in_balls`).
     ``comparisons`` adds up the pairs of a row and a candidate that balls compare.
     """
     import numpy as np
 
     spark = df.sparkSession
     kind = candidates.schema["code"].dataType.simpleString()
-    own = candidates.select("code", "pos", F.col("embedding").cast("array<double>").alias("v")).filter(_whole("v"))
+    own = _candidates(candidates)
     dim = dimension(own, "v")
     if not dim:
         return df.withColumns({"code": F.lit(None).cast(kind), "score": F.lit(None).cast("double")})
     if not count_bounded(own, vector_rows(dim, CANDIDATES)):
-        return _nearest_in_balls(df, own, embedding, dim, comparisons)
+        return nearest_in_balls(df, candidates, embedding, comparisons)
     block = own.collect()  # at most CANDIDATES, of bounded size
     sent = spark.sparkContext.broadcast(([r.code for r in block], [r.pos for r in block], np.array([r.v for r in block], np.float64)))
 
@@ -182,13 +182,17 @@ def nearest(df: DataFrame, candidates: DataFrame, embedding: str = "embedding",
     return _scan(df, embedding, f"code:{kind},score:double", answer)
 
 
+def _candidates(candidates: DataFrame) -> DataFrame:
+    return candidates.select("code", "pos", F.col("embedding").cast("array<double>").alias("v")).filter(_whole("v"))
+
+
 def _whole(vector: str) -> Column:
     """Whether a vector can be compared: neither null nor empty, and without nulls."""
     return F.col(vector).isNotNull() & (F.size(vector) > 0) & F.forall(vector, lambda x: x.isNotNull())
 
 
 #: Candidates that a ball has on average, and rows that a task compares with a ball.
-BALL_ROWS, ASKED_ROWS = 2_000, 20_000
+BALL_ROWS, ASKED_ROWS = 500, 20_000
 
 #: Candidates of a ball up to which it isn't parted further.
 LEAF_ROWS = 256
@@ -250,8 +254,8 @@ def best_in_ball(queries, least, codes, places, vectors, block: int = 2048):
     return found, made
 
 
-def _nearest_in_balls(df: DataFrame, own: DataFrame, embedding: str, dim: int, comparisons: Accumulator | None) -> DataFrame:
-    """:func:`nearest` of any number of candidates, exact.
+def nearest_in_balls(df: DataFrame, candidates: DataFrame, embedding: str = "embedding", comparisons: Accumulator | None = None) -> DataFrame:
+    """:func:`nearest` of any number of candidates, one at least, exact.
 
     Candidates are dealt to balls around a sample of them. Each row asks the ball of the
     nearest centre, and then every ball whose bound reaches the score found there. A
@@ -261,7 +265,9 @@ def _nearest_in_balls(df: DataFrame, own: DataFrame, embedding: str, dim: int, c
     import numpy as np
 
     spark = df.sparkSession
-    kind = own.schema["code"].dataType.simpleString()
+    kind = candidates.schema["code"].dataType.simpleString()
+    own = _candidates(candidates)
+    dim = dimension(own, "v")
     add = comparisons.add if comparisons is not None else lambda n: None
     # Of equal vectors one is the best for every row.
     own = checkpoint(own.groupBy("v").agg(F.max(F.struct((-F.col("pos")).alias("place"), F.col("code"))).alias("x")).select(F.lit(0).cast("long").alias("g"), "v", (-F.col("x.place")).alias("pos"), "x.code"))

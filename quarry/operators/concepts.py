@@ -11,7 +11,7 @@ import json
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -76,11 +76,11 @@ def evidence_words(text: Column) -> Column:
     return truncate_words(text, MAX_EVIDENCE_WORDS)
 
 
-def parse_concepts(df: DataFrame, raw: str = "raw", item_id: str | None = None, stop_words=STOP_WORDS, blacklist=()) -> DataFrame:
-    """One row a concept: the other columns of ``df`` and ``place`` (its order in the answer), then the concept's fields.
+def answers_with_terms(df: DataFrame, raw: str = "raw", item_id: str | None = None, stop_words=STOP_WORDS, blacklist=()) -> DataFrame:
+    """One row an answer: the other columns of ``df``, the fields that its concepts share, and ``terms``, the valid concepts as (place, concept).
 
-    An answer without item id, known category and evidence gives no row. With
-    ``item_id`` that column replaces the answer's own id. A null answer gives none.
+    An answer without item id, known category and evidence has no terms. With
+    ``item_id`` that column replaces the answer's own id. A null answer has none.
     """
     others = [F.col(f"`{c}`") for c in df.columns if c not in (raw, "item_id", "_r")]
     junk = lambda x: is_junk(x, stop_words, blacklist)
@@ -91,17 +91,55 @@ def parse_concepts(df: DataFrame, raw: str = "raw", item_id: str | None = None,
         normalize(F.col("predicate")).alias("_p"), _term(F.col("target")).alias("_t"), F.col("concept").alias("_whole"),
         F.filter(F.transform("synonyms", _term), lambda s: (s != "") & (s != _term(F.col("concept"))) & ~junk(s)).alias("_synonyms"),
     )
-    rows = rows.filter((F.col("item_id") != "") & F.col("category").isin(list(CATEGORIES)) & (F.col("evidence") != ""))
+    good = (F.col("item_id") != "") & F.col("category").isin(list(CATEGORIES)) & (F.col("evidence") != "")
     related = F.col("_p").isin(list(PREDICATES)) & ~junk(F.col("_t"))
-    rows = rows.withColumns({"_p": F.when(related, F.col("_p")), "_t": F.when(related, F.col("_t")), "synonyms": F.array_distinct("_synonyms")})
-    rows = rows.select("*", F.posexplode(F.transform(F.split("_whole", ",", -1), _term)).alias("place", "concept"))
-    rows = rows.filter((F.col("concept") != "") & ~junk(F.col("concept")))
+    placed = F.transform(F.split("_whole", ",", -1), lambda x, i: F.struct(i.alias("place"), _term(x).alias("concept")))
+    terms = F.filter(placed, lambda x: (x["concept"] != "") & ~junk(x["concept"]))
+    none = F.array().cast("array<struct<place:int,concept:string>>")
+    return rows.select(
+        *others, "item_id", "category", "evidence", F.when(related, F.col("_p")).alias("_p"), F.when(related, F.col("_t")).alias("_t"),
+        F.array_distinct("_synonyms").alias("synonyms"), F.coalesce(F.when(good, terms), none).alias("terms"),
+    )
+
+
+def concept_rows(answers: DataFrame) -> DataFrame:
+    """One row a concept of :func:`answers_with_terms`: the other columns, ``place`` (its order in the answer) and the concept's fields."""
+    own = ("item_id", "category", "evidence", "_p", "_t", "synonyms", "terms")
+    others = [F.col(f"`{c}`") for c in answers.columns if c not in own]
+    rows = answers.select(*others, *own[:-1], F.inline("terms"))
     other = ~F.col("_t").eqNullSafe(F.col("concept"))
     return rows.select(
         *others, "place", "item_id", "concept", "category", F.when(other, F.col("_p")).alias("predicate"), F.when(other, F.col("_t")).alias("target"), "evidence", "synonyms"
     )
 
 
+def parse_concepts(df: DataFrame, raw: str = "raw", item_id: str | None = None, stop_words=STOP_WORDS, blacklist=()) -> DataFrame:
+    """One row a concept: the other columns of ``df`` and ``place`` (its order in the answer), then the concept's fields.
+
+    An answer without item id, known category and evidence gives no row. With
+    ``item_id`` that column replaces the answer's own id. A null answer gives none.
+    """
+    return concept_rows(answers_with_terms(df, raw, item_id, stop_words, blacklist))
+
+
+def counted_concepts(df: DataFrame, raw: str = "raw", item_id: str | None = None, name: str = "answers") -> tuple[DataFrame, Observation]:
+    """(concepts, counts): :func:`parse_concepts`, and how many answers there were and how many were rejected for having no valid concept.
+
+    The counts are observed while the concepts are made, without a second pass, and are
+    there once an action on the concepts has ended.
+    """
+    counts = Observation(name)
+    rejected = F.size("terms") == 0
+    answers = answers_with_terms(df, raw, item_id).observe(counts, F.count("*").alias("n_answers"), F.count_if(rejected).alias("n_rejected"))
+    return concept_rows(answers), counts
+
+
+def counts_table(spark: SparkSession, counts: Observation, step: str) -> DataFrame:
+    """(step, n_answers, n_rejected) of an action that has ended, as a table to keep."""
+    found = counts.get
+    return spark.createDataFrame([(step, found["n_answers"], found["n_rejected"])], "step string, n_answers long, n_rejected long")
+
+
 def valid_answers(df: DataFrame, key: str, raw: str = "raw") -> DataFrame:
     """The rows of ``df`` whose answer gives at least one concept; ``key`` tells the rows apart."""
     good = parse_concepts(df.select(key, raw), raw).select(key).distinct()

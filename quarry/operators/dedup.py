@@ -89,18 +89,19 @@ def _scanner(order, embedding: str, threshold: float):
     return scan
 
 
-def greedy_keep(df: DataFrame, group: str, order: str | list[str], embedding: str, threshold: float = SIMILARITY, comparisons: Accumulator | None = None) -> DataFrame:
+def greedy_keep(df: DataFrame, group: str, order: str | list[str], embedding: str, threshold: float = SIMILARITY, comparisons: Accumulator | None = None, group_rows: int | None = None) -> DataFrame:
     """Rows that survive a scan of their group in order: a kept row removes later rows of similarity above ``threshold``.
 
     Removed rows remove nothing; a row without a vector stays and removes nothing. A
-    group of at most GROUP_ROWS is scanned by one task, larger ones are dealt out by
-    cells (:func:`_keep_in_cells`): the same rows as by one scan, and no task holds a
-    group. ``comparisons`` adds up the pairs of vectors that cells compare.
+    group of at most ``group_rows`` (GROUP_ROWS) is scanned by one task, larger ones are
+    dealt out by cells (:func:`_keep_in_cells`): the same rows as by one scan, and no task
+    holds a group. ``comparisons`` adds up the pairs of vectors that cells compare.
     """
     orders = [order] if isinstance(order, str) else list(order)
+    group_rows = group_rows or GROUP_ROWS
     scan = _scanner(orders, embedding, threshold)
     own = F.col(f"`{group}`")
-    large = df.groupBy(own.alias("_g")).agg(F.count("*").alias("_n")).filter(F.col("_n") > GROUP_ROWS).select("_g", F.monotonically_increasing_id().alias("_gid"))
+    large = df.groupBy(own.alias("_g")).agg(F.count("*").alias("_n")).filter(F.col("_n") > group_rows).select("_g", F.monotonically_increasing_id().alias("_gid"))
     large = checkpoint(large)
     if large.isEmpty():
         return df.groupBy(group).applyInPandas(scan, df.schema)
@@ -111,7 +112,7 @@ def greedy_keep(df: DataFrame, group: str, order: str | list[str], embedding: st
     # Rows that are equal throughout may change places.
     at = F.struct(*(F.col(f"`{c}`").alias(f"o{i}") for i, c in enumerate(orders)), F.xxhash64(*(F.col(f"`{f.name}`") for f in df.schema.fields)).alias("h"), F.col("_rid").alias("rid"))
     slim = rest.select(F.col("_gid").alias("g"), at.alias("at"), F.col("_rid").alias("rid"), F.col(f"`{embedding}`").cast("array<double>").alias("v"))
-    kept = _keep_in_cells(slim, threshold, comparisons).select(F.col("rid").alias("_rid"))
+    kept = _keep_in_cells(slim, threshold, group_rows, comparisons).select(F.col("rid").alias("_rid"))
     return small.unionByName(rest.join(kept, "_rid", "left_semi").select(*(F.col(f"`{c}`") for c in df.columns)))
 
 
@@ -121,7 +122,7 @@ def _reaching(rows: DataFrame) -> DataFrame:
     return rows.select(*others, F.col("cell").alias("_home"), F.explode(F.concat(F.array("cell"), "reach")).alias("cell")).withColumn("own", F.col("cell") == F.col("_home")).drop("_home")
 
 
-def _keep_in_cells(rows: DataFrame, threshold: float, comparisons: Accumulator | None = None) -> DataFrame:
+def _keep_in_cells(rows: DataFrame, threshold: float, group_rows: int, comparisons: Accumulator | None = None) -> DataFrame:
     """(rid) of the rows (g, at, rid, v) that a scan of each g in the order of ``at`` keeps.
 
     First the heads of the groups are scanned, and what is near a row kept goes: kept rows
@@ -134,7 +135,7 @@ def _keep_in_cells(rows: DataFrame, threshold: float, comparisons: Accumulator |
     open. What is near a row kept goes, all others stay open for the next round. The
     earliest open row of a group is always decided. These rounds follow chains of near
     rows from cell to cell, not the number of rows. Where the bounds leave out nothing,
-    a group is one cell, and takes a round for each GROUP_ROWS rows that stay.
+    a group is one cell, and takes a round for each ``group_rows`` rows that stay.
     """
     add = comparisons.add if comparisons is not None else lambda n: None
     rows = checkpoint(rows.withColumn("n2", F.aggregate("v", F.lit(0.0), lambda acc, x: acc + x * x)))
@@ -152,7 +153,7 @@ def _keep_in_cells(rows: DataFrame, threshold: float, comparisons: Accumulator |
     dim = dimension(rows, "v")
     if not dim:
         return kept
-    most = vector_rows(dim, GROUP_ROWS)
+    most = vector_rows(dim, group_rows)
 
     def scan(pdf: pd.DataFrame) -> pd.DataFrame:
         import numpy as np

@@ -202,6 +202,20 @@ SELECT item_id, concept, 'finding' AS category FROM v
 WHERE NOT EXISTS (SELECT 1 FROM v AS a WHERE a.item_id = v.item_id AND a.place < v.place AND (a.concept = v.concept OR list_dot_product(a.v, v.v) > {SIMILARITY}))""".replace("{vector}", _vector("concept"))
 
 
+# One scan of all vectors in order; a row goes if it is near an earlier one that stays.
+GREEDY_ALL = f"""WITH RECURSIVE n AS (SELECT vec_id, embedding::DOUBLE[] AS v, row_number() OVER (ORDER BY vec_id) AS i FROM embeddings),
+near AS (SELECT b.i, list(a.i) AS earlier FROM n a JOIN n b ON a.i < b.i AND list_dot_product(a.v, b.v) > {NEAR} GROUP BY b.i),
+s AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS kept
+  UNION ALL SELECT s.i + 1, CASE WHEN list_has_any(coalesce(near.earlier, []), s.kept) THEN s.kept ELSE list_append(s.kept, s.i + 1) END FROM s LEFT JOIN near ON near.i = s.i + 1 WHERE s.i < (SELECT count(*) FROM n))
+SELECT vec_id FROM n WHERE list_contains((SELECT arg_max(kept, i) FROM s), i)"""
+
+BALLS = """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS v, list_concat(embedding[2:64], embedding[1:1])::DOUBLE[] AS t FROM embeddings),
+d AS (SELECT q.vec_id, c.vec_id AS code, list_dot_product(q.t, c.v) AS score FROM v q, v c)
+SELECT vec_id, arg_max(code, struct_pack(s := score, p := -(code % 10), c := code)) AS code, round(max(score), 6) AS score FROM d GROUP BY vec_id"""
+
+LOOKUPS = "SELECT p_partkey, (length(p_name) % 8 >= 6)::INTEGER AS found, ['throttled', 'refused', 'unreachable', 'unreadable', 'absent', 'absent', 'found', 'found'][length(p_name) % 8 + 1] AS lookup_status FROM part"
+
+
 def oracle_sql() -> dict[str, str]:
     words = WORDS.format("text")
     concept_columns = "item_id, concept, category, predicate, target, evidence, synonyms"
@@ -225,6 +239,14 @@ def oracle_sql() -> dict[str, str]:
         "hierarchical_descent": DESCENT,
         "hierarchy_children": f"WITH {TREE} SELECT parent AS parent_code, min(code) AS code FROM tree WHERE parent IS NOT NULL GROUP BY parent",
         "hierarchy_descendants": f"WITH RECURSIVE {TREE}, d AS (SELECT parent AS ancestor, code, 1 AS depth FROM tree WHERE parent IS NOT NULL UNION ALL SELECT d.ancestor, t.code, d.depth + 1 FROM d JOIN tree t ON t.parent = d.code) SELECT * FROM d",
+        "nearest_descendants": f"""WITH RECURSIVE {TREE}, d AS (SELECT parent AS ancestor, code, 1 AS depth FROM tree WHERE parent IS NOT NULL UNION ALL SELECT d.ancestor, t.code, d.depth + 1 FROM d JOIN tree t ON t.parent = d.code)
+SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY ancestor ORDER BY depth, code) <= 5""",
+        "nearest_in_balls": BALLS,
+        "greedy_near_dup_cells": GREEDY_ALL,
+        "rejected_answers": f"WITH {CONCEPTS} SELECT 'documents' AS step, (SELECT count(*) FROM documents) AS n_answers, (SELECT count(*) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM c)) AS n_rejected",
+        "lookup_statuses": LOOKUPS,
+        "memo_answers": f"WITH {ITEMS} SELECT item_id AS key, CASE WHEN length(question) % 2 = 0 THEN 'first ' ELSE 'second ' END || length(question) AS answer FROM i",
+        "verification_csv": f"{VERIFIED} SELECT 'part' AS dataset, t.p_partkey::VARCHAR AS item_id, upper(replace(p_name, ' ', '_')) AS concept, found::VARCHAR AS found, semantic FROM t JOIN part USING (p_partkey)",
         "lexical_match": f"{VERIFIED} SELECT p_partkey, found::INTEGER AS found FROM t",
         "verify_tristate": f"{VERIFIED} SELECT p_partkey, found::INTEGER AS found, semantic FROM t",
         "verify_summary": f"{VERIFIED} SELECT count(*) AS total, count(*) FILTER (found = 1) AS found, count(*) FILTER (found = 1 OR semantic = '1') AS found_or_accepted FROM t",

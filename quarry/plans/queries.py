@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import junk, text
-from quarry.operators import align, concepts, dedup, generation, ontology, profile, semfilter
+from quarry.operators import align, concepts, dedup, encoding, generation, lookup, ontology, profile, semfilter
+from quarry.operators.memo import Memo
 from quarry.plans import pipelines
 from quarry.scale import shared_dir
 from quarry.sources import readers, sinks
@@ -117,6 +118,58 @@ def answers_without_concept(spark, sf_dir):
     return sinks.missing_items(docs, concepts.parse_concepts(_answers(spark, sf_dir)), "doc_id")
 
 
+def rejected_answers(spark, sf_dir):
+    """How many answers there are and how many have no valid concept, observed while the concepts are written."""
+    found, counts = concepts.counted_concepts(_answers(spark, sf_dir))
+    found.write.parquet(_own_folder(spark))
+    return concepts.counts_table(spark, counts, "documents")
+
+
+def _prompts(spark, sf_dir):
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return encoding.encode_prompts(docs, encoding.file_tokenizer(str(public_tokenizers.path("byte_bpe_50k.json"))), SYSTEM, "Read: {txt}.", 700)
+
+
+def token_budget(spark, sf_dir):
+    """Texts cut by a tokenizer so that their prompts have 700 tokens at most."""
+    return _prompts(spark, sf_dir).select("doc_id", "n_tokens", F.sha2("fitted", 256).alias("fitted_sha256"), F.size("input_ids").alias("n_ids"))
+
+
+def padded_batches(spark, sf_dir):
+    """Ids and padding of the prompts in batches of four rows of like lengths."""
+    return encoding.padding_share(encoding.pad_batches(_prompts(spark, sf_dir).select("doc_id", "input_ids"))).select("n_rows", (F.col("n_padding") * 10 < F.col("n_ids")).alias("little_padding"))
+
+
+class PlannedClient:
+    """A terminology that answers by the length of a query, with failures of every kind."""
+
+    def __call__(self, query: str, limit: float):
+        kind = len(query) % 8
+        if kind in (0, 1):
+            raise lookup.LookupFailure((429, 404)[kind])
+        if kind in (2, 3):
+            raise (TimeoutError, ValueError)[kind - 2]
+        return {"collection": [{"@id": f"http://example.org/{x}"} for x in {4: [], 5: ["abc", ""]}.get(kind, ["abc", "123"])]}
+
+
+def lookup_statuses(spark, sf_dir):
+    """Part names looked up by a client with planned failures, each different name once."""
+    memo = Memo(spark, _own_folder(spark), "planned")
+    own = table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    return lookup.lookup(own, "p_name", PlannedClient, memo, lookup.LookupConfig(first_wait=0.0)).select("p_partkey", "found", "lookup_status")
+
+
+def memo_answers(spark, sf_dir):
+    """Answers to items from a store that a first run filled for a part of them; the second asks for the rest only."""
+    memo = Memo(spark, _own_folder(spark), "v1")
+    keys = _items(spark, sf_dir).select(F.col("item_id").alias("key"), "question")
+    marked = lambda by: lambda rows: rows.select("key", F.concat(F.lit(by), F.length("question").cast("string")).alias("answer"))
+    memo.answers(keys.filter(F.length("question") % 2 == 0), marked("first "))
+    return memo.answers(keys, marked("second ")).select("key", "answer")
+
+
 def exact_dedup_first(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return dedup.exact_first(docs, ["text", "lang"], ["doc_id"]).select("doc_id")
@@ -159,6 +212,25 @@ def hierarchy_descendants(spark, sf_dir):
     return align.descendants(_terminology(spark, sf_dir), limit=None).select("ancestor", "code", "depth")
 
 
+def nearest_descendants(spark, sf_dir):
+    """The first five concepts below each one, nearest first."""
+    return align.descendants(_terminology(spark, sf_dir), limit=5).select("ancestor", "code", "depth")
+
+
+def nearest_in_balls(spark, sf_dir):
+    """For each vector, turned by one place, the nearest one of all, searched by balls."""
+    own = table(spark, sf_dir, "embeddings")
+    turned = own.select("vec_id", F.transform(F.slice(F.concat("embedding", "embedding"), 2, 64), lambda x: x.cast("double")).alias("embedding"))
+    candidates = own.select(F.col("vec_id").alias("code"), (F.col("vec_id") % 10).alias("pos"), "embedding")
+    return align.nearest_in_balls(turned, candidates).select("vec_id", "code", F.round("score", 6).alias("score"))
+
+
+def greedy_near_dup_cells(spark, sf_dir):
+    """The scan of all vectors as one group, by cells where they are too many for a task."""
+    own = table(spark, sf_dir, "embeddings").withColumn("all", F.lit("all"))
+    return dedup.greedy_keep(own, "all", "vec_id", "embedding", NEAR, group_rows=100).select("vec_id")
+
+
 def _verified(spark, sf_dir):
     part = table(spark, sf_dir, "part")
     jobs = part.select("p_partkey", "p_size", F.upper(F.replace("p_name", F.lit(" "), F.lit("_"))).alias("concept"))
@@ -288,6 +360,16 @@ def _own_folder(spark) -> str:
     return f"{shared_dir(spark)}/query-{uuid.uuid4().hex}"
 
 
+def verification_csv(spark, sf_dir):
+    """The verification table of all parts, written as CSV with a byte-order mark and read back."""
+    folder = _own_folder(spark)
+    jobs = _labelled(spark, sf_dir).select(F.lit("part").alias("dataset"), F.col("p_partkey").cast("string").alias("item_id"), "concept", "found", "semantic")
+    sinks.write_csv(sinks.verification_csv_rows(jobs), folder)
+    back = spark.read.csv(folder, header=True, escape='"')
+    names = ["dataset", "item_id", "concept", "found", "semantic"]
+    return back.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(back.columns, names)))
+
+
 def group_result(spark, sf_dir):
     """Concepts by document, written as nested JSON and read back."""
     folder = _own_folder(spark)
@@ -387,7 +469,7 @@ def text_stream(spark, sf_dir):
 
 ALL = [
     clean_text, nfc, mojibake, word_counts, semantic_filter, density_by_source, limit_then_filter, junk_flags, truncate_words, concept_parse, concept_csv, answers_without_concept,
-    exact_dedup_first, greedy_near_dup, greedy_near_dup_native, nearest_root, hierarchical_descent, hierarchy_children, hierarchy_descendants, lexical_match, verify_tristate,
+    exact_dedup_first, greedy_near_dup, greedy_near_dup_cells, greedy_near_dup_native, nearest_in_balls, nearest_descendants, rejected_answers, token_budget, padded_batches, lookup_statuses, memo_answers, verification_csv, nearest_root, hierarchical_descent, hierarchy_children, hierarchy_descendants, lexical_match, verify_tristate,
     verify_summary, dataset_ids, questionnaire_flatten, item_prompts, chat_prompts, verification_jobs, cache_hits, cache_misses, triples, turtle_blocks, status_histogram, enrich,
     variables_prompt, terminology_roots, group_result, text_files, csv_file, turtle_file, results_file, profile_file, triple_counts, subjects_and_objects, projection, embedded_terms, text_track, questionnaire_track, text_stream,
 ]

@@ -159,4 +159,4 @@ def test_a_hundred_thousand_candidates_without_a_driver_copy(spark, monkeypatch,
     for i in range(300):
         near = np.flatnonzero(scores[i] >= scores[i].max() - 1e-9)
         assert got[i][0] == max(near.tolist(), key=lambda j: (-(j % 7), j)) and abs(got[i][1] - scores[i].max()) < 1e-9
-    assert 0 < count.value < 300 * n / 10
+    assert 0 < count.value < 300 * n / 10, count.value
