@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import decontaminate, mixing, quality_rules, simhash, tokens
+from quarry.llm import decontaminate, mixing, near_copies, quality_rules, tokens
 from quarry.llm.common import new_path, read
 from quarry.llm.registry import tokenizer_path
 
@@ -22,7 +22,7 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_one(docs)
+    return near_copies.keep_one(docs)
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

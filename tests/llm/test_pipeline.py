@@ -1,7 +1,7 @@
 import corpus_pipeline
 from quarry.llm import quality_rules
 from quarry.llm.mixing import mix
-from tests.llm import test_decontaminate, test_simhash, test_tokens
+from tests.llm import test_decontaminate, test_near_copies, test_tokens
 from tests.llm.fixtures import documents, empty
 
 
@@ -23,9 +23,11 @@ def test_stages(spark, sf_dir, tmp_path):
     assert rows(b) == [(d, t) for d, t in rows(a) if d in good]
 
     a, b = kept[1]
-    parts = test_simhash.slow_components([(d, test_simhash.slow_fingerprint(t)) for d, t in rows(a)])
-    first = {c for _, _, c in parts}
-    assert rows(b) == [(d, t) for d, t in rows(a) if str(d) in first]
+    groups, pairs = test_near_copies.slow_groups([t for _, t in rows(a)])
+    first = {min(g) for g in test_near_copies.partition([d for d, _ in rows(a)], groups)}
+    assert rows(b) == [(d, t) for d, t in rows(a) if d in first] and len(pairs) > 0
+    left = test_near_copies.slow_groups([t for _, t in rows(b)])[1]
+    assert not left  # no two texts of five-word similarity 0.8 or more stay
 
     a, b = kept[2]
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
