@@ -87,3 +87,16 @@ def test_rows_without_id_are_told_apart(spark):
         taken[s] += r.taken
         target[s] = r.target
     assert all(abs(taken[s] - target[s]) <= 6 for s in target)
+
+
+def test_repeated_rows_share_a_budget(spark):
+    """400 equal rows of a source whose target they alone would pass: so many of them are taken as come near it."""
+    docs = [(None, "ten words in a row that many rows have here", "a")] * 400 + [(i, f"other text {i} of some seven words only", "a") for i in range(600)] + [(10_000 + i, "one", "b") for i in range(5000)]
+    check(mix(documents(spark, docs).repartition(5)).collect(), docs)
+    rows = mix(documents(spark, docs).repartition(5)).collect()
+    again = mix(documents(spark, docs).repartition(3)).collect()
+    assert sorted(map(str, rows)) == sorted(map(str, again))
+    kept = take(documents(spark, docs)).groupBy("source").count().collect()
+    assert sorted((r.source, r["count"]) for r in kept) == sorted((s, sum(r.times for r in rows if (r.source_size > 5000) == (s == "a"))) for s in ("a", "b"))
+    only = [(7, "a b c d e f g h i j", "a")] * 90 + [(8, "a b", None)] * 3 + [(9, "x " * 50, "c")] * 40
+    check(mix(documents(spark, only)).collect(), only)
