@@ -68,6 +68,12 @@ def parsed(raw: pd.Series, item_id: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=names)
 
 
+@F.pandas_udf(T.BooleanType())
+def is_object(raw: pd.Series) -> pd.Series:
+    """Whether a model's answer holds a JSON object."""
+    return raw.map(lambda x: not pd.isna(x) and loads_object(x) is not None).astype(bool)
+
+
 def _term(x: Column) -> Column:
     return normalize(F.replace(x, F.lit("_"), F.lit(" ")))
 

@@ -243,6 +243,77 @@ class HashedEmbedder:
         return out.tolist()
 
 
+#: Gives, for each of some texts, the vectors of its tokens and which of them count.
+TokenEncoder = Callable[[list[str]], list[tuple[list[list[float]], list[int]]]]
+
+
+class WordEncoder:
+    """A deterministic stand-in for a neural token encoder: the hashed trigrams of each word."""
+
+    def __init__(self, size: int = 64):
+        self.words = HashedEmbedder(size)
+
+    def __call__(self, texts: list[str]) -> list[tuple[list[list[float]], list[int]]]:
+        return [(self.words(w), [1] * len(w)) for w in (t.replace("_", " ").split() for t in texts)]
+
+
+def encode_tokens(df: DataFrame, make_encoder: Callable[[], TokenEncoder], text: str) -> DataFrame:
+    """``df`` with ``vectors`` (a vector a token) and ``mask`` of ``text``; the encoder is made once a worker task."""
+    own = [f for f in df.schema.fields if f.name not in ("vectors", "mask")]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own) + ", vectors array<array<double>>, mask array<int>"
+
+    def run(batches: Iterator):
+        import pyarrow as pa
+
+        encoder = make_encoder()
+        for batch in batches:
+            found = encoder([x or "" for x in batch.column(text).to_pylist()])
+            added = [pa.array([v for v, _ in found], pa.list_(pa.list_(pa.float64()))), pa.array([m for _, m in found], pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in own), *added], [*(f.name for f in own), "vectors", "mask"])
+
+    return df.mapInArrow(run, schema)
+
+
+def pool_tokens(vectors, mask, pooling: str = "mean"):
+    """Unit vectors of Arrow columns of token vectors and masks: the mean of the tokens that count, or the first of them; null where none does."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    sizes = pc.fill_null(pc.list_value_length(vectors), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = matrix_of(vectors.flatten())
+    seen = mask.flatten().to_numpy(zero_copy_only=False).astype(bool)
+    if len(seen) != len(flat):
+        raise ValueError("vectors and masks have different numbers of tokens")
+    row = np.repeat(np.arange(len(sizes)), sizes)[seen]
+    own, first, counts = np.unique(row, return_index=True, return_counts=True)
+    if not len(own):
+        return pa.nulls(len(sizes), pa.list_(pa.float64()))
+    tokens = flat[seen]
+    out = tokens[first] if pooling == "first" else np.add.reduceat(tokens, first, axis=0) / counts[:, None]
+    out /= np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
+    cuts = np.zeros(len(sizes) + 1, np.int32)
+    cuts[own + 1] = out.shape[1]
+    lists = pa.ListArray.from_arrays(pa.array(np.cumsum(cuts, dtype=np.int32)), pa.array(out.ravel()))
+    return pc.if_else(pa.array(np.isin(np.arange(len(sizes)), own)), lists, pa.scalar(None, pa.list_(pa.float64())))
+
+
+def pooled(df: DataFrame, into: str = "embedding", pooling: str = "mean") -> DataFrame:
+    """``df`` (vectors, mask, ...) with a unit vector a row instead of its tokens': their "mean" or the "first"; a narrow pass."""
+    if pooling not in ("mean", "first"):
+        raise ValueError(f"no pooling {pooling!r}")
+    own = [f for f in df.schema.fields if f.name not in ("vectors", "mask", into)]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own) + f", `{into}` array<double>"
+
+    def run(batches: Iterator):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in own), pool_tokens(batch.column("vectors"), batch.column("mask"), pooling)], [*(f.name for f in own), into])
+
+    return df.mapInArrow(run, schema)
+
+
 def embed(df: DataFrame, make_embedder: Callable[[], Embedder], text: str, into: str = "embedding") -> DataFrame:
     """``df`` with the vectors of ``text``; the embedder is made once a worker task."""
     own = [f for f in df.schema.fields if f.name != into]

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.fixed import PROMPT_MARGIN, VARIABLE_LINE, VARIABLES_PROMPT
 from quarry.functions.text import tokens
+from quarry.operators.concepts import is_object
 
 PLACEHOLDER = "{txt}"
 
@@ -87,7 +88,7 @@ def cache_misses(items: DataFrame, cache: DataFrame) -> DataFrame:
 
 def cache_additions(answered: DataFrame) -> DataFrame:
     """The rows to append to the cache: answers that are JSON objects; failures aren't cached."""
-    return answered.filter(F.col("raw").isNotNull()).select("signature", "item_id", "user_prompt", "raw")
+    return answered.filter(is_object("raw")).select("signature", "item_id", "user_prompt", "raw")
 
 
 def variables_prompt(variables: DataFrame, order: str = "seq") -> DataFrame:

@@ -37,6 +37,12 @@ def enrich(rows: DataFrame, variables: DataFrame) -> DataFrame:
     return joined.withColumns({k: F.lit(v) for k, v in MANUAL_FIELDS.items() if k not in rows.columns})
 
 
+def related_terms(rows: DataFrame, subject: str = "concept", object: str = "target") -> DataFrame:
+    """(term): the different terms that are subject or object of a relation; rows without an object relate nothing."""
+    both = rows.filter(F.col(object).isNotNull() & (F.col(object) != "")).select(F.explode(F.array(subject, object)).alias("term"))
+    return both.filter("term <> ''").distinct()
+
+
 def status_histogram(rows: DataFrame) -> DataFrame:
     """(status, n): the known statuses, zero included, and any others that occur; null counts as Uncertain."""
     known = rows.sparkSession.createDataFrame([(s, 0) for s in VALIDATION_STATUSES], "status string, one int")

@@ -1,10 +1,11 @@
 """Column profiles: type, example, distinct count, values and range of each column.
 
-Two passes at most. The first is one aggregation without keys for what needs no
-shuffle (rows, least, greatest, example, whether there are decimals) beside exact
-distinct counts, for which only 128-bit hashes of (column, value) are shuffled, each
-task's once. The second reads just the columns of few values and lists those. A
-value that many rows share is one hash a task.
+Three passes at most, each over the columns that it needs. The first is one aggregation
+without keys: rows, least, greatest, example, whether there are decimals, and about how
+many values there are. The second has a set of 128-bit hashes a column for those of
+about SET_MOST values or fewer, whose sizes are exact counts, and lists the values of
+few. Only for columns of more values are hashes shuffled, each task's once. A value that many
+rows share is one hash a task; estimates decide where values are counted, not what is counted.
 """
 
 from __future__ import annotations
@@ -17,6 +18,9 @@ from pyspark.sql import types as T
 
 from quarry.functions.fixed import MAX_CATEGORIES
 
+#: Values up to which a column's are about counted by a set, and up to which they are listed at once.
+SET_MOST, LIST_MOST = 4096, 2 * MAX_CATEGORIES
+
 _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType, T.BooleanType)
 
 
@@ -48,6 +52,16 @@ def _sortable(field: T.StructField) -> Column:
     return F.when(own.isNotNull(), F.struct(d.alias("d"), own.cast("string").alias("s")))
 
 
+def _hash_of(field: T.StructField) -> Column:
+    """128 bits that tell a column's values apart; null where there is none."""
+    return F.when(_present(field).isNotNull(), F.struct(F.xxhash64(F.lit("a"), _hashed(field)).alias("a"), F.xxhash64(F.lit("another"), _hashed(field)).alias("b")))
+
+
+def _list_of(field: T.StructField) -> Column:
+    """All values of a column of few, as text in their order."""
+    return F.transform(F.array_sort(F.collect_set(_sortable(field))), lambda x: x["s"])
+
+
 def profile(df: DataFrame, order_by: list[str] | None = None) -> DataFrame:
     """(pos, name, type, example, n_distinct, values, range): one row a column.
 
@@ -64,16 +78,23 @@ def profile(df: DataFrame, order_by: list[str] | None = None) -> DataFrame:
         first = F.min(plain) if order is None else F.min_by(plain, F.when(own.isNotNull(), F.struct(order.alias("at"), plain.alias("v"))))
         whole = not isinstance(f.dataType, (T.FloatType, T.DoubleType, T.DecimalType))
         decimal = F.lit(0) if whole else F.coalesce(F.max(((own % 1 != 0) | (F.abs(own.cast("double")) == float("inf"))).cast("int")), F.lit(0))
-        facts.append(F.struct(F.lit(i).alias("pos"), first.cast("string").alias("example"), decimal.alias("decimal"), F.min(plain).cast("string").alias("low"), F.max(plain).cast("string").alias("high")))
+        facts.append(F.struct(F.lit(i).alias("pos"), first.cast("string").alias("example"), decimal.alias("decimal"), F.min(plain).cast("string").alias("low"), F.max(plain).cast("string").alias("high"), F.approx_count_distinct(F.when(own.isNotNull(), F.xxhash64(_hashed(f)))).alias("about")))
     one = df.agg(F.count("*").alias("total"), F.array(*facts).alias("facts")).first()  # one row
-    hashes = [F.when(_present(f).isNotNull(), F.struct(F.lit(i).alias("pos"), F.xxhash64(F.lit("a"), _hashed(f)).alias("a"), F.xxhash64(F.lit("another"), _hashed(f)).alias("b"))) for i, f in enumerate(fields)]
-    cells = df.select(F.explode(F.array(*hashes)).alias("c")).filter(F.col("c").isNotNull()).select("c.*") if fields else None
-    counted = dict(cells.distinct().groupBy("pos").count().collect()) if fields else {}  # a row a column
-    few = [i for i, n in counted.items() if n <= MAX_CATEGORIES]
-    listed = {}
+    about = [x.about for x in one.facts]
+    low, high = ([i for i in range(len(fields)) if (about[i] <= SET_MOST) == few] for few in (True, False))
+    counted, listed = {}, {}
+    if low:
+        sets = [F.size(F.collect_set(_hash_of(fields[i]))).alias(f"n{i}") for i in low]
+        found = df.agg(*sets, *(_list_of(fields[i]).alias(f"c{i}") for i in low if about[i] <= LIST_MOST)).first()
+        counted = {i: found[f"n{i}"] for i in low}
+        listed = {i: found[f"c{i}"] for i in low if about[i] <= LIST_MOST}
+    if high:
+        cells = df.select(F.explode(F.array(*(F.struct(F.lit(i).alias("pos"), _hash_of(fields[i]).alias("h")) for i in high))).alias("c"))
+        counted |= dict(cells.filter("c.h IS NOT NULL").select("c.pos", "c.h.a", "c.h.b").distinct().groupBy("pos").count().collect())  # a row a column
+    few = [i for i, n in counted.items() if n <= MAX_CATEGORIES and i not in listed]
     if few:
-        values = df.agg(*(F.transform(F.array_sort(F.collect_set(_sortable(fields[i]))), lambda x: x["s"]).alias(f"c{i}") for i in few)).first()
-        listed = {i: values[f"c{i}"] for i in few}
+        values = df.agg(*(_list_of(fields[i]).alias(f"c{i}") for i in few)).first()
+        listed |= {i: values[f"c{i}"] for i in few}
 
     spark = df.sparkSession
     table = [(i, f.name, is_numeric(f.dataType), one.total, counted.get(i, 0), x.example, x.decimal, x.low, x.high, listed.get(i)) for i, (f, x) in enumerate(zip(fields, one.facts))]

@@ -26,13 +26,18 @@ WORDS = r"list_filter(regexp_split_to_array({0}, '\s+'), lambda w: w <> '')"
 BARE = r"regexp_replace(regexp_replace({0}, '^[\s\v]+', ''), '[\s\v]+$', '')"
 NL, CR = "chr(10)", "chr(13)"
 
-CLEAN = rf"""
-WITH n AS (SELECT doc_id, replace(replace(replace(text, ' ', '  '), {NL}, ' ' || {CR} || {NL} || {CR} || {NL} || ' ' || {CR} || {NL}), 'ation', 'a-' || {NL} || 'tion') AS t FROM documents),
+def cleaned(noisy: str) -> str:
+    return rf"""
+WITH n AS (SELECT doc_id, {noisy} AS t FROM documents),
 h AS (SELECT doc_id, regexp_replace(replace(t, chr(173), ''), '-\n *([a-záéíóúüñ])', '\1', 'g') AS t FROM n),
 w AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '\r\n?', {NL}, 'g'), '[ \t]+', ' ', 'g'), ' ?\n ?', {NL}, 'g'), '\n\n\n+', {NL} || {NL}, 'g') AS t FROM h)
 SELECT doc_id, {BARE.format('t')} AS text FROM w"""
 
 
+CLEAN = cleaned(f"replace(replace(replace(text, ' ', '  '), {NL}, ' ' || {CR} || {NL} || {CR} || {NL} || ' ' || {CR} || {NL}), 'ation', 'a-' || {NL} || 'tion')")
+SOFT = cleaned("replace(replace(text, 'a', 'a' || chr(173)), ' ', ' ' || chr(9))")
+
+
 def mojibake() -> str:
     noisy = "text"
     for good, bad in MOJIBAKE.items():
@@ -202,6 +207,14 @@ SELECT item_id, concept, 'finding' AS category FROM v
 WHERE NOT EXISTS (SELECT 1 FROM v AS a WHERE a.item_id = v.item_id AND a.place < v.place AND (a.concept = v.concept OR list_dot_product(a.v, v.v) > {SIMILARITY}))""".replace("{vector}", _vector("concept"))
 
 
+# Token vectors of part names, pooled over the tokens that count.
+POOLED = """WITH t AS (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS w, generate_subscripts(string_split(p_name, ' '), 1) AS i FROM part),
+c AS (SELECT p_partkey, i, length(w)::DOUBLE AS x, ascii(w)::DOUBLE AS y, i::DOUBLE AS z FROM t WHERE (i - 1) % 3 <> 0),
+p AS (SELECT p_partkey, 'mean' AS pooling, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM c GROUP BY p_partkey UNION ALL SELECT p_partkey, 'first', arg_min(x, i), arg_min(y, i), arg_min(z, i) FROM c GROUP BY p_partkey),
+n AS (SELECT *, sqrt(x * x + y * y + z * z) AS n FROM p),
+k AS (SELECT p_partkey, pooling FROM part, (VALUES ('mean'), ('first')) AS v(pooling))
+SELECT p_partkey, pooling, round(x / n, 6) AS x, round(y / n, 6) AS y, round(z / n, 6) AS z FROM k LEFT JOIN n USING (p_partkey, pooling)"""
+
 # One scan of all vectors in order; a row goes if it is near an earlier one that stays.
 GREEDY_ALL = f"""WITH RECURSIVE n AS (SELECT vec_id, embedding::DOUBLE[] AS v, row_number() OVER (ORDER BY vec_id) AS i FROM embeddings),
 near AS (SELECT b.i, list(a.i) AS earlier FROM n a JOIN n b ON a.i < b.i AND list_dot_product(a.v, b.v) > {NEAR} GROUP BY b.i),
@@ -221,6 +234,11 @@ def oracle_sql() -> dict[str, str]:
     concept_columns = "item_id, concept, category, predicate, target, evidence, synonyms"
     return {
         "clean_text": CLEAN,
+        "clean_soft_hyphens": SOFT,
+        "corpus_stream": f"SELECT doc_id, text, len({words}) AS n_words FROM ({SOFT})",
+        "concept_terms": f"WITH {CONCEPTS} SELECT concept AS term FROM c WHERE target <> '' UNION SELECT target FROM c WHERE target <> ''",
+        "pooled_tokens": POOLED,
+        "input_report": " UNION ALL ".join(f"SELECT '{n}' AS name, true AS found, (SELECT count(*) FROM {n}) AS n_rows" for n in [*PROFILES, "documents", "benchmark"]) + " UNION ALL SELECT 'lost', false, NULL",
         "nfc": "SELECT doc_id, nfc_normalize(text) AS text FROM documents",
         "mojibake": mojibake(),
         "word_counts": f"WITH {SPLIT} SELECT doc_id, len(w)::INTEGER AS n_words, len(list_filter(w, lambda x: lower(x) NOT IN {STOP}))::INTEGER AS n_content_words FROM p",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +33,12 @@ def clean_text(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.clean_text(noisy, repair=False).alias("text"))
 
 
+def clean_soft_hyphens(spark, sf_dir):
+    """Texts with soft hyphens in their words, cleaned with all steps."""
+    noisy = F.replace(F.replace("text", F.lit("a"), F.lit("a\u00ad")), F.lit(" "), F.lit(" \t"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.clean_text(noisy).alias("text"))
+
+
 def nfc(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.compose(F.replace("text", F.lit("é"), F.lit("é"))).alias("text"))
 
@@ -423,7 +431,12 @@ def triple_counts(spark, sf_dir):
 def subjects_and_objects(spark, sf_dir):
     """The distinct terms that occur as subject or object of a relation."""
     o = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    return o.select(F.col("n_name").alias("term")).union(o.select("r_name")).distinct()
+    return ontology.related_terms(o, "n_name", "r_name")
+
+
+def concept_terms(spark, sf_dir):
+    """The different terms of the concepts' relations."""
+    return ontology.related_terms(concepts.parse_concepts(_answers(spark, sf_dir)))
 
 
 def projection(spark, sf_dir):
@@ -432,8 +445,12 @@ def projection(spark, sf_dir):
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
     own = table(spark, sf_dir, "embeddings").select("vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("v"))
-    xy = PCA(k=2, inputCol="v", outputCol="c").fit(own).transform(own).select("vec_id", vector_to_array("c").alias("c"))
-    return xy.select("vec_id", F.col("c")[0].alias("x"), F.col("c")[1].alias("y"))
+    model = PCA(k=2, inputCol="v", outputCol="c").fit(own)
+    xy = model.transform(own).select("vec_id", vector_to_array("c").alias("c"))
+    # A component's sign is free; its greatest part counts as positive.
+    parts = model.pc.toArray().T
+    x, y = (F.col("c")[i] * F.lit(float(1 if max(p, key=abs) > 0 else -1)) for i, p in enumerate(parts))
+    return xy.select("vec_id", x.alias("x"), y.alias("y"))
 
 
 def embedded_terms(spark, sf_dir):
@@ -444,6 +461,43 @@ def embedded_terms(spark, sf_dir):
     return dedup.embed(own, dedup.HashedEmbedder, "p_name").select("p_partkey", F.size(v).alias("size"), F.round(dedup.dot(v, v), 6).alias("norm"), (F.round(moment, 6) + 0.0).alias("moment"))
 
 
+def _token_vectors(spark, sf_dir):
+    """Part names as token vectors (length, first character, place), of which every third doesn't count."""
+    words = F.split("p_name", " ")
+    vector = lambda w, i: F.array(F.length(w).cast("double"), F.ascii(w).cast("double"), (i + 1).cast("double"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.transform(words, vector).alias("vectors"), F.transform(words, lambda w, i: (i % 3 != 0).cast("int")).alias("mask"))
+
+
+def pooled_tokens(spark, sf_dir):
+    """Unit vectors of part names by both kinds of pooling."""
+    own = _token_vectors(spark, sf_dir)
+    both = dedup.pooled(own.select("*", F.lit("mean").alias("pooling"))).unionByName(dedup.pooled(own.select("*", F.lit("first").alias("pooling")), pooling="first"))
+    return both.select("p_partkey", "pooling", *(F.round(F.get("embedding", F.lit(i)), 6).alias(n) for i, n in enumerate("xyz")))
+
+
+def input_report(spark, sf_dir):
+    """Which of the tables that are asked for are there, and the rows of those."""
+    names = [*PROFILES, "documents", "lost", "benchmark"]
+    report = readers.input_report(spark, [f"{sf_dir}/{n}.parquet" for n in names])
+    rows = [table(spark, sf_dir, n).agg(F.lit(n).alias("name"), F.count("*").alias("n_rows")) for n in names if n != "lost"]
+    named = report.select(F.regexp_extract("path", r"([^/]+)\.parquet$", 1).alias("name"), "found")
+    return named.join(functools.reduce(DataFrame.union, rows), "name", "left")
+
+
+def corpus_stream(spark, sf_dir):
+    """Dirty texts in a folder that grows, read as a stream in two runs; each row comes once."""
+    from quarry.sources.corpus_source import corpus_stream as stream_of
+    from quarry.streaming.text_stream import cleaned_stream, run_once
+
+    folder = _own_folder(spark)
+    dirty = F.replace(F.replace("text", F.lit("a"), F.lit("a\u00ad")), F.lit(" "), F.lit(" \t"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", dirty.alias("text"), "lang")
+    for even in (0, 1):
+        docs.filter(F.pmod("doc_id", F.lit(2)) == even).write.mode("append").parquet(f"{folder}/in")
+        out = run_once(spark, cleaned_stream(stream_of(spark, f"{folder}/in", "doc_id long, text string")), f"{folder}/out", f"{folder}/state")
+    return out.select("doc_id", "text", "n_words")
+
+
 def text_track(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("source", F.col("doc_id").alias("doc"), "text")
     found = pipelines.text_track(docs, lambda: semfilter.GazetteerTagger(GAZETTEER), pipelines.KeywordGenerator)
@@ -468,7 +522,7 @@ def text_stream(spark, sf_dir):
 
 
 ALL = [
-    clean_text, nfc, mojibake, word_counts, semantic_filter, density_by_source, limit_then_filter, junk_flags, truncate_words, concept_parse, concept_csv, answers_without_concept,
+    clean_text, clean_soft_hyphens, concept_terms, pooled_tokens, input_report, corpus_stream, nfc, mojibake, word_counts, semantic_filter, density_by_source, limit_then_filter, junk_flags, truncate_words, concept_parse, concept_csv, answers_without_concept,
     exact_dedup_first, greedy_near_dup, greedy_near_dup_cells, greedy_near_dup_native, nearest_in_balls, nearest_descendants, rejected_answers, token_budget, padded_batches, lookup_statuses, memo_answers, verification_csv, nearest_root, hierarchical_descent, hierarchy_children, hierarchy_descendants, lexical_match, verify_tristate,
     verify_summary, dataset_ids, questionnaire_flatten, item_prompts, chat_prompts, verification_jobs, cache_hits, cache_misses, triples, turtle_blocks, status_histogram, enrich,
     variables_prompt, terminology_roots, group_result, text_files, csv_file, turtle_file, results_file, profile_file, triple_counts, subjects_and_objects, projection, embedded_terms, text_track, questionnaire_track, text_stream,

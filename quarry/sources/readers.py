@@ -16,6 +16,10 @@ from pyspark.sql import types as T
 from quarry.functions.fixed import CSV_ENCODINGS, CSV_SAMPLE_CHARS, CSV_SEPARATORS, DECLARED_VARIABLES, STOP_WORDS, TOP_LEVEL_CONCEPTS
 
 
+def has_pdf_suffix(path: str) -> bool:
+    return path.lower().endswith(".pdf")
+
+
 def is_pdf(path: Column) -> Column:
     return F.lower(path).endswith(".pdf")
 
@@ -33,7 +37,7 @@ def pdf_text(content: pd.Series) -> pd.Series:
 def read_texts(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """(source, text): whole UTF-8 files; files with the suffix .pdf by their pages."""
     paths = [paths] if isinstance(paths, str) else list(paths)
-    pdf = [p for p in paths if p.lower().endswith(".pdf")]
+    pdf = [p for p in paths if has_pdf_suffix(p)]
     plain = [p for p in paths if p not in pdf]
     out = None
     if plain:
@@ -52,6 +56,29 @@ def existing(paths: list[str]) -> tuple[list[str], list[str]]:
     return found, [p for p in paths if p not in found]
 
 
+def present(spark: SparkSession, paths: list[str]) -> tuple[list[str], list[str]]:
+    """The paths that are there, in any store that Spark reaches, and those that are missing."""
+    found = []
+    for p in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(p)
+        if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+            found.append(p)
+    return found, [p for p in paths if p not in found]
+
+
+def input_report(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(path, found): a row for each input that was asked for, so that missing ones are reported and not just skipped."""
+    found, _ = present(spark, paths)
+    return spark.createDataFrame([(p, p in found) for p in paths], "path string, found boolean")
+
+
+def read_present(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(texts, report): :func:`read_texts` of the paths that are there, and :func:`input_report` of all."""
+    found, _ = present(spark, paths)
+    texts = read_texts(spark, found) if found else spark.createDataFrame([], "source string, text string")
+    return texts, input_report(spark, paths)
+
+
 def read_toml(path: str) -> dict:
     return tomllib.loads(Path(path).read_text(encoding="utf-8"))
 
