@@ -279,8 +279,13 @@ class _Part:
         self.out = {kind: self.fs.open_output_stream(path) for kind, path in self.draft.items()}
 
     def close(self) -> None:
+        from pyarrow import fs
+
         for kind, out in self.out.items():
             out.close()
+            # Some stores refuse to rename onto a file, as one that a lost executor has left.
+            if self.fs.get_file_info(self.final[kind]).type != fs.FileType.NotFound:
+                self.fs.delete_file(self.final[kind])
             self.fs.move(self.draft[kind], self.final[kind])
 
 
