@@ -34,10 +34,8 @@ def query_text(concept: Column) -> Column:
 def lexical_match(concepts: DataFrame, terms: DataFrame, concept: str = "concept", term: str = "term") -> DataFrame:
     """``concepts`` with ``found``: 1 if the concept's normal form is that of a term, else 0."""
     own = terms.select(normalize(F.col(term)).alias("_term")).filter("_term <> ''").distinct()
-    if count_bounded(own, BROADCAST_ROWS):
-        own = F.broadcast(own)
     keyed = concepts.withColumn("_term", normalize(query_text(F.col(concept))))
-    joined = keyed.join(own.withColumn("_hit", F.lit(1)), "_term", "left")
+    joined = look_up(keyed, own.withColumn("_hit", F.lit(1)), "_term")  # no frequent concept's rows meet in a task
     return joined.withColumn("found", F.coalesce("_hit", F.lit(0))).drop("_term", "_hit")
 
 

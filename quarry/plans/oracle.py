@@ -229,6 +229,26 @@ SELECT vec_id, arg_max(code, struct_pack(s := score, p := -(code % 10), c := cod
 LOOKUPS = "SELECT p_partkey, (length(p_name) % 8 >= 6)::INTEGER AS found, ['throttled', 'refused', 'unreachable', 'unreadable', 'absent', 'absent', 'found', 'found'][length(p_name) % 8 + 1] AS lookup_status FROM part"
 
 
+VARIABLES = f"v AS (SELECT pos, name, type, example, coalesce(range, replace(values, '|', ', '), 'any') AS description FROM ({profile('customer', COLUMNS['customer'], PROFILES['customer'])}))"
+
+
+def _table_prompt() -> str:
+    lines = "string_agg('- ' || name || ' | type: ' || type || ' | example: ' || example || ' | description: ' || description, chr(10) ORDER BY pos)"
+    prompt = f"(SELECT replace(replace({quoted(VARIABLES_PROMPT)}, '{{n}}', count(*)::VARCHAR), '{{variables}}', {lines}) FROM v)"
+    return f"WITH {VARIABLES}, p AS (SELECT {prompt} AS prompt) SELECT prompt, sha1(prompt)[1:8] AS prompt_id FROM p"
+
+
+# Part names that aren't those of small parts go down the hierarchy by the vector of their trigrams.
+VERIFICATION = f"""WITH RECURSIVE {TREE},
+q AS (SELECT p_partkey AS key, {_vector("upper(replace(p_name, ' ', '_'))")} AS v FROM part WHERE lower(p_name) NOT IN (SELECT lower(p_name) FROM part WHERE p_size <= 10)),
+d AS (SELECT q.key, t.parent, t.code, list_dot_product(q.v, t.v) AS score FROM q, tree t),
+best AS (SELECT key, parent, arg_max(code, struct_pack(s := score, p := -code)) AS code, max(score) AS score FROM d GROUP BY key, parent),
+walk AS (SELECT key, code, score, 0 AS steps FROM best WHERE parent IS NULL
+  UNION ALL SELECT w.key, b.code, b.score, w.steps + 1 FROM walk w JOIN best b ON b.key = w.key AND b.parent = w.code AND b.score > w.score),
+s AS (SELECT key, arg_max(score, steps) >= 0.3 AS accepted FROM walk GROUP BY key)
+SELECT p_partkey, (key IS NULL)::INTEGER AS found, CASE WHEN key IS NULL THEN 'n/a' WHEN accepted THEN '1' ELSE '0' END AS semantic FROM part LEFT JOIN s ON key = p_partkey"""
+
+
 def oracle_sql() -> dict[str, str]:
     words = WORDS.format("text")
     concept_columns = "item_id, concept, category, predicate, target, evidence, synonyms"
@@ -280,6 +300,10 @@ SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY ancestor ORDER BY depth,
         "status_histogram": f"WITH {ALIGNED} SELECT status, sum(n)::BIGINT AS n FROM (SELECT coalesce(validation_status, 'Uncertain') AS status, 1 AS n FROM a UNION ALL SELECT * FROM (VALUES ('Correct', 0), ('Incorrect', 0), ('Uncertain', 0))) GROUP BY status",
         "enrich": _enrich(),
         "variables_prompt": _prompt(),
+        "table_prompt": _table_prompt(),
+        "tabular_track": f"WITH {VARIABLES} SELECT name AS variable, lower(name) AS normalized_concept, 'Finding' AS semantic_category, 'is a' AS relation, "
+        "'type: ' || type || ' | example: ' || example || ' | description: ' || description AS evidence, 'Uncertain' AS validation_status FROM v",
+        "verification_track": VERIFICATION,
         "terminology_roots": "SELECT * FROM (" + rows([(c, d, i) for i, (c, d) in enumerate(TOP_LEVEL_CONCEPTS)]) + ") AS t(code, display, pos)",
         "group_result": f"WITH {CONCEPTS} SELECT doc_id AS source, string_agg(concept, '|' ORDER BY place) AS members, string_agg(item_id, '|' ORDER BY place) AS items FROM c GROUP BY doc_id",
         "text_files": "SELECT 'item-' || item_id || '.txt' AS source, text FROM benchmark",

@@ -56,18 +56,18 @@ def word_counts(spark, sf_dir):
     )
 
 
-def _scored(spark, sf_dir):
+def _scored(spark, sf_dir, config=semfilter.FilterConfig()):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
-    return semfilter.scored(semfilter.tag_entities(docs, lambda: semfilter.GazetteerTagger(GAZETTEER)))
+    return semfilter.scored(semfilter.tag_entities(docs, lambda: semfilter.GazetteerTagger(GAZETTEER)), config)
 
 
 def semantic_filter(spark, sf_dir):
     return _scored(spark, sf_dir).select("doc_id", F.round("score", 9).alias("score"), F.round("density", 9).alias("density"), "keep")
 
 
-def density_by_source(spark, sf_dir):
+def density_by_source(spark, sf_dir, config=semfilter.FilterConfig()):
     """Kept texts, and their mean density, by source and language."""
-    kept = _scored(spark, sf_dir).filter("keep")
+    kept = _scored(spark, sf_dir, config).filter("keep")
     return kept.groupBy("source", "lang").agg(F.count("*").alias("n_texts"), F.round(F.avg("density"), 6).alias("mean_density"))
 
 
@@ -358,6 +358,46 @@ def variables_prompt(spark, sf_dir):
     return generation.variables_prompt(readers.declared_variables(spark))
 
 
+def _variables(spark, sf_dir):
+    """The columns of a table as variables, described by what a profile finds in them."""
+    found = profile.profile(table(spark, sf_dir, "customer"), PROFILES["customer"])
+    described = F.coalesce("range", F.array_join("values", ", "), F.lit("any"))
+    return found.select(F.col("pos").alias("seq"), "name", "type", "example", described.alias("description"))
+
+
+def table_prompt(spark, sf_dir):
+    """The prompt for a table's columns."""
+    return generation.variables_prompt(_variables(spark, sf_dir))
+
+
+class VariableAnswers:
+    """A stand-in for a model that is asked for variables: each by its own name in lower case, in a fenced list."""
+
+    def __call__(self, prompts):
+        import json
+        import re
+
+        out = []
+        for prompt in prompts:
+            rows = [{"variable": v, "normalized_concept": v.lower(), "semantic_category": "Finding", "relation": "is a"} for v in re.findall(r"(?m)^- (\S+) \| type: ", prompt)]
+            out.append(f"```json\n{json.dumps(rows)}\n```")
+        return out
+
+
+def tabular_track(spark, sf_dir):
+    """Alignment rows for a table's columns: profile, prompt, answer, evidence."""
+    rows = pipelines.tabular_track(_variables(spark, sf_dir), VariableAnswers)
+    return rows.select("variable", "normalized_concept", "semantic_category", "relation", "evidence", "validation_status")
+
+
+def verification_track(spark, sf_dir):
+    """Part names looked up among those of small parts; what isn't found descends the vectors' hierarchy by its own embedding."""
+    part = table(spark, sf_dir, "part")
+    jobs = part.select("p_partkey", F.upper(F.replace("p_name", F.lit(" "), F.lit("_"))).alias("concept"))
+    rows = pipelines.verification_track(jobs, part.filter("p_size <= 10").select(F.col("p_name").alias("term")), _terminology(spark, sf_dir), "p_partkey", threshold=0.3)
+    return rows.select("p_partkey", "found", "semantic")
+
+
 def terminology_roots(spark, sf_dir):
     return readers.terminology_roots(spark).select("code", "display", "pos")
 
@@ -525,7 +565,7 @@ ALL = [
     clean_text, clean_soft_hyphens, concept_terms, pooled_tokens, input_report, corpus_stream, nfc, mojibake, word_counts, semantic_filter, density_by_source, limit_then_filter, junk_flags, truncate_words, concept_parse, concept_csv, answers_without_concept,
     exact_dedup_first, greedy_near_dup, greedy_near_dup_cells, greedy_near_dup_native, nearest_in_balls, nearest_descendants, rejected_answers, token_budget, padded_batches, lookup_statuses, memo_answers, verification_csv, nearest_root, hierarchical_descent, hierarchy_children, hierarchy_descendants, lexical_match, verify_tristate,
     verify_summary, dataset_ids, questionnaire_flatten, item_prompts, chat_prompts, verification_jobs, cache_hits, cache_misses, triples, turtle_blocks, status_histogram, enrich,
-    variables_prompt, terminology_roots, group_result, text_files, csv_file, turtle_file, results_file, profile_file, triple_counts, subjects_and_objects, projection, embedded_terms, text_track, questionnaire_track, text_stream,
+    variables_prompt, table_prompt, tabular_track, verification_track, terminology_roots, group_result, text_files, csv_file, turtle_file, results_file, profile_file, triple_counts, subjects_and_objects, projection, embedded_terms, text_track, questionnaire_track, text_stream,
 ]
 
 

@@ -45,7 +45,7 @@ def test_runs(spark, sf_dir, name):
 
 
 def test_entry(spark):
-    assert entry.entry(spark).columns == ["source", "lang", "n_texts", "mean_density"]
+    assert entry.entry(spark).columns == ["source", "lang", "n_texts", "mean_density"] and entry.entry(spark).count() > 0
     assert set(registry.queries()) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
 
 
