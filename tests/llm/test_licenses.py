@@ -27,7 +27,7 @@ class Slow:
                 if w not in self.idf:
                     self.idf[w] = min(self.most, math.log((n + 1) / (sum(w in x for x in own) + 1)) + 1)
         self.notices = [(name, len(words_of(t)), self.vector(words_of(t))) for name, t in L.NOTICES]
-        self.whole = [(name, self.vector(words_of(t))) for name, t in [*L.NOTICES, *whole]]
+        self.whole = [(name, self.vector(words_of(t))) for name, t in whole]
 
     def vector(self, words):
         v = {w: (1 + math.log(words.count(w))) * self.idf.get(w, self.most) for w in set(words)}
@@ -47,8 +47,11 @@ class Slow:
             found += [self.best(w[i : i + size], own, 0.9) for i in range(max(0, len(w) - size) + 1)]
         return max(filter(None, found), default=None)
 
-    def file(self, text):
-        return self.best(words_of(text), self.whole, 0.6)
+    def file(self, text, path):
+        """Whole licence texts make a file anywhere, notices one that is called a licence."""
+        name = (path or "").rsplit("/", 1)[-1].lower()
+        named = any(name == x or name.startswith((x + ".", x + "-")) for x in ("license", "licence", "copying", "notice"))
+        return self.best(words_of(text), self.whole + [(n, v) for n, _, v in self.notices] * named, 0.6)
 
 
 def slow(docs):
@@ -57,7 +60,7 @@ def slow(docs):
     for i, (_, path, text) in enumerate(docs):
         if text is None:
             continue
-        file = scores.file(text)
+        file = scores.file(text, path)
         lines = [x for x in map(scores.line, text.split("\n")) if x]
         if file or lines:
             own[i] = file or max(lines)
@@ -176,7 +179,7 @@ def test_what_is_left_out_before_scoring_cannot_reach_the_score():
     w = L.Weights(1000, {"the": 500, "license": 3})
     needed = set(w.needed())
     for size, _, v in w.templates:
-        if size:
+        if size > 0:
             assert math.sqrt(sum(x * x for t, x in v.items() if t not in needed)) < L.HEADER_SCORE
 
 
@@ -184,3 +187,24 @@ def test_a_line_that_many_rows_hold(spark):
     rows = [(i, f"d/{i}", f"own {i}\nReleased under the MIT License.\nmore") for i in range(3000)] + [(5000 + i, f"e/{i}", "plain") for i in range(3000)]
     got = L.license_scan(spark.createDataFrame(rows, "doc_id long, path string, text string"), F.col("path")).groupBy("license", "origin").count().collect()
     assert sorted(map(str, map(tuple, got))) == ["('MIT', 'header', 3000)", "(None, None, 3000)"]
+
+
+def test_short_prose_with_a_notice_licenses_itself_only(spark):
+    rows = [(1, "s/en/1", "A.\nAll rights reserved."), (2, "s/en/2", "Ie, des. Heitbe.\nLicensed under the Apache License, Version 2.0."), (3, "s/en/3", "plain words"), (4, "t/COPYING.txt", "Released under the MIT License."), (5, "t/x/a.py", "code")]
+    df = spark.createDataFrame(rows, "doc_id long, path string, text string")
+    got = {r.doc_id: (r.license, r.origin) for r in L.license_scan(df, F.col("path")).collect()}
+    assert got == {1: ("proprietary", "header"), 2: ("Apache-2.0", "header"), 3: (None, None), 4: ("MIT", "header"), 5: ("MIT", "inherited")}
+
+
+def test_real_prose_gives_few_windows(spark):
+    """Of licence prose and documentation beside it, only lines that may be notices are taken apart."""
+    prose = [f"This is the general documentation of version {i}: all of the license terms and any other files are described here." for i in range(400)]
+    texts = [t for _, t in L.texts()] + ["\n".join(prose[i : i + 40]) for i in range(0, 400, 40)]
+    df = spark.createDataFrame([(i, f"d/{i}", t) for i, t in enumerate(texts)], "doc_id long, path string, text string").withColumn("row_key", F.struct(F.col("doc_id").alias("a"), F.col("doc_id").alias("b")))
+    weights = L.Weights(*L.document_frequencies(df, L.vocabulary()))
+    held = L._candidates(df, weights)
+    lines = held.select("row_key", "path", "named", F.explode("lines").alias("text")).withColumn("k", F.col("text"))
+    n_windows, n_words = L._units(lines, L._windows(weights)).agg(F.count("*"), F.coalesce(F.sum(F.size("words")), F.lit(0))).first()
+    assert n_words * 20 < sum(len(words_of(t)) for t in texts) and n_windows < 200
+    whole = {r.path for r in held.filter("whole IS NOT NULL").collect()}
+    assert whole >= {f"d/{i}" for i in range(len(L.texts()))} and len(whole) <= len(L.texts()) + 2
