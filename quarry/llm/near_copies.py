@@ -6,9 +6,10 @@ from band keys of the shingles' minima, of which a pair at 0.8 shares one with p
 and each candidate is checked on its whole shingle sets. The links that hold are
 contracted to groups.
 
-Rows of equal shingle sets are one node. Nodes of a band key are all paired where there
-are at most PAIRED of them; of a larger key each is paired with CENTRES nodes, drawn for each key
-anew, so pairs grow in proportion to the rows.
+Rows of equal shingle sets are one node. First each node is paired with one node of each
+of its band keys, which joins most families. Then nodes of a band key that aren't in one
+group yet are all paired where there are at most PAIRED of them; of a larger key each is
+paired with CENTRES nodes. So pairs grow in proportion to the rows, and few shingle sets travel.
 
 Defined results: texts of fewer than five words have one shingle, the whole sequence;
 texts without words have none and are copies of each other; A-Z count as lower case;
@@ -35,6 +36,9 @@ BANDS, BAND_ROWS = 16, 5
 #: Nodes of a band key up to which all are paired; nodes that each one of a larger key is paired with.
 PAIRED, CENTRES = 64, 16
 
+#: A node in over so small a part of all pairs counts as common.
+COMMON = 200
+
 #: Words whose hashes a worker keeps.
 CACHED = 300_000
 
@@ -124,19 +128,30 @@ def _pair(x, y):
     return F.struct(x["node"].alias("a"), x["size"].alias("m"), y["node"].alias("b"), y["size"].alias("n"))
 
 
-def _band_pairs(nodes: DataFrame) -> DataFrame:
-    """(p): candidate pairs of nodes that share a band key."""
-    members = nodes.select(F.explode("bands").alias("key"), F.struct("node", "size").alias("x"))
-    sizes = checkpoint(members.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"))
+def _members(nodes: DataFrame) -> DataFrame:
+    return nodes.select(F.explode("bands").alias("key"), F.struct("node", "size", "root").alias("x"))
+
+
+def _star_pairs(nodes: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(p): each node with one node of each band key that it shares; the same one of a family for all its keys."""
+    members = _members(nodes)
+    heads = members.groupBy("key").agg(F.min_by("x", F.xxhash64("x.node")).alias("c"))
+    return join_counted(members, checkpoint(sizes.join(heads, "key")), "key").select(_pair(F.col("x"), F.col("c")).alias("p"))
+
+
+def _other_pairs(nodes: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(p): pairs of nodes of different groups (``root``) that share a band key."""
+    members, apart = _members(nodes), lambda x, y: x["root"] != y["root"]
     few = members.join(sizes.filter(F.col("n") <= PAIRED).select("key"), "key").groupBy("key").agg(F.collect_list("x").alias("l"))
-    small = few.select(F.explode(F.flatten(F.transform("l", lambda x, i: F.transform(F.slice("l", i + 2, F.size("l")), lambda y: _pair(x, y))))).alias("p"))
+    of = lambda x, i: F.transform(F.filter(F.slice("l", i + 2, F.size("l")), lambda y: apart(x, y)), lambda y: _pair(x, y))
+    small = few.select(F.explode(F.flatten(F.transform("l", of))).alias("p"))
     large = checkpoint(sizes.filter(F.col("n") > PAIRED))
     if large.isEmpty():
         return small
     own = join_counted(members, large, "key")
-    drawn = own.groupBy("key").agg(F.array_distinct(F.array(*(F.min_by("x", F.xxhash64("x.node", "key", F.lit(i))) for i in range(CENTRES)))).alias("centres"))
+    drawn = own.groupBy("key").agg(F.array_distinct(F.array(*(F.min_by("x", F.xxhash64("x.node", F.lit(i))) for i in range(CENTRES)))).alias("centres"))
     met = join_counted(members, checkpoint(drawn.join(large, "key")), "key").select("x", F.explode("centres").alias("c"))
-    return small.unionByName(met.select(_pair(F.col("x"), F.col("c")).alias("p")))
+    return small.unionByName(met.filter(apart(F.col("x"), F.col("c"))).select(_pair(F.col("x"), F.col("c")).alias("p")))
 
 
 def _fingerprint_pairs(nodes: DataFrame) -> DataFrame:
@@ -148,26 +163,46 @@ def _fingerprint_pairs(nodes: DataFrame) -> DataFrame:
     return equal.unionByName(look_up(look_up(found, a, "a"), b, "b").select(_pair(F.col("x"), F.col("y")).alias("p")))
 
 
-def near_copies(docs: DataFrame) -> DataFrame:
-    """(doc_id, row_key, node, root) for every row of ``docs`` (doc_id, text): rows of equal root are a group of near copies."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    keyed = docs.select("doc_id", row_key().alias("row_key"), "text")
-    rows = checkpoint(keyed.mapInArrow(_sketches, f"doc_id {kind}, row_key {ROW_KEY}, node long, size long, fp long, bands array<bigint>"))
-    nodes = checkpoint(rows.groupBy("node").agg(F.min("row_key").alias("first"), F.min("size").alias("size"), F.min("fp").alias("fp"), F.min("bands").alias("bands")))
-    pairs = _band_pairs(nodes).unionByName(_fingerprint_pairs(nodes)).select("p.*").filter("a <> b")
-    pairs = pairs.filter(F.least("m", "n") * OF >= F.greatest("m", "n") * PART)  # no pair of such sizes can be near
-    pairs = checkpoint(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+def _with_sets(pairs: DataFrame, sets: DataFrame, key: str, into: str) -> DataFrame:
+    """``pairs`` with the shingle set of node ``key``. Sets of nodes in over a part in COMMON of the pairs, fewer than that many, are broadcast; the others are shuffled."""
+    counts = checkpoint(pairs.groupBy(key).agg(F.count("*").alias("n")))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    often = F.broadcast(counts.filter(F.col("n") > total // COMMON).select(key))
+    own = sets.select(F.col("node").alias(key), F.col("shingles").alias(into))
+    rest = pairs.join(often, key, "left_anti").join(own.hint("merge"), key)
+    return pairs.join(F.broadcast(own.join(often, key)), key).unionByName(rest)
+
 
-    needed = checkpoint(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", F.col("first").alias("row_key")), "node"))
+def _near(pairs: DataFrame, nodes: DataFrame, keyed: DataFrame) -> DataFrame:
+    """(a, b): those of the candidate pairs (p) whose shingle sets are near, each once."""
+    pairs = pairs.select("p.*").filter("a <> b")
+    pairs = pairs.filter(F.least("m", "n") * OF >= F.greatest("m", "n") * PART)  # no pair of other sizes can be near
+    pairs = checkpoint(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", F.col("first").alias("row_key")), "node")
+    needed = checkpoint(needed)
     if count_bounded(needed, BROADCAST_ROWS):
         needed = F.broadcast(needed)
     texts = keyed.select("row_key", "text").join(needed, "row_key").select("node", "text")
     sets = checkpoint(texts.mapInArrow(_sets, "node long, shingles array<bigint>").groupBy("node").agg(F.min("shingles").alias("shingles")))
-    met = look_up(pairs, sets.select(F.col("node").alias("a"), F.col("shingles").alias("s")), "a")
-    met = look_up(met, sets.select(F.col("node").alias("b"), F.col("shingles").alias("t")), "b")
-    shared = F.size(F.array_intersect("s", "t"))
-    near = met.withColumn("_shared", shared).filter(F.col("_shared") * OF >= (F.size("s") + F.size("t") - F.col("_shared")) * PART)
-    roots = checkpoint(connected_components(near.select("a", "b")))
+    met = _with_sets(_with_sets(pairs, sets, "a", "s"), sets, "b", "t")
+    found = met.select("a", "b", F.size(F.array_intersect("s", "t")).alias("shared"), (F.size("s") + F.size("t")).alias("both"))
+    return checkpoint(found.filter(F.col("shared") * OF >= (F.col("both") - F.col("shared")) * PART).select("a", "b"))
+
+
+def near_copies(docs: DataFrame) -> DataFrame:
+    """(doc_id, row_key, node, root) for every row of ``docs`` (doc_id, text): rows of equal root are a group of near copies."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    keyed = docs.select("doc_id", row_key().alias("row_key"), "text")
+    rows = checkpoint(keyed.mapInArrow(_sketches, f"doc_id {kind}, row_key {ROW_KEY}, node long, size long, fp long, bands array<bigint>"))
+    nodes = rows.groupBy("node").agg(F.min("row_key").alias("first"), F.min("size").alias("size"), F.min("fp").alias("fp"), F.min("bands").alias("bands"))
+    nodes = checkpoint(nodes.withColumn("root", F.col("node")))
+    sizes = checkpoint(nodes.select(F.explode("bands").alias("key")).groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"))
+    first = _near(_star_pairs(nodes, sizes).unionByName(_fingerprint_pairs(nodes)), nodes, keyed)
+    roots = checkpoint(connected_components(first))
+    grouped = checkpoint(look_up(nodes.drop("root"), roots, "node").withColumn("root", F.coalesce("root", "node")))
+    second = _near(_other_pairs(grouped, sizes), nodes, keyed)
+    if not second.isEmpty():
+        roots = checkpoint(connected_components(first.union(second)))
     return look_up(rows.select("doc_id", "row_key", "node"), roots, "node").select("doc_id", "row_key", "node", F.coalesce("root", "node").alias("root"))
 
 
