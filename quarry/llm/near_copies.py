@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import BROADCAST_ROWS, ROW_KEY, checkpoint, count_bounded, join_counted, look_up, row_key, rows_in
 from quarry.llm.components import connected_components
-from quarry.llm.simhash import links, majority_bits, shingle_hashes
+from quarry.llm.simhash import HELD, links, majority_bits, shingle_hashes
 
 SHINGLE = 5
 
@@ -53,8 +53,9 @@ def shingle_set(words: list[bytes], known: dict):
 
     if len(known) > CACHED:
         known.clear()
-    for w in set(words) - known.keys():
-        known[w] = xxhash.xxh64_intdigest(w, 7)
+    for w in words:
+        if w not in known:
+            known[w] = xxhash.xxh64_intdigest(w, 7)
     codes = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
     if not len(codes):
         return codes
@@ -98,15 +99,20 @@ def _sketches(batches):
 
     factors, known = _factors(), {}
     for batch in batches:
-        nodes, sizes, fps, bands = [], [], [], []
+        nodes, sizes, fps, bands, hashes, runs = [], [], [], [], [], []
         for raw in batch.column("text").cast(pa.large_binary()):
             raw = raw.as_py()
             shingles = shingle_set(raw.lower().split() if raw else [], known)
-            hashes = np.array(shingle_hashes(raw), np.uint64)
+            own = shingle_hashes(raw)
             nodes.append(xxhash.xxh64_intdigest(shingles.tobytes(), 3))
             sizes.append(len(shingles))
-            fps.append(int(majority_bits(hashes, [len(hashes)])[0]))
             bands.append(band_keys(shingles, factors).view(np.int64) if len(shingles) else [])
+            hashes += own
+            runs.append(len(own))
+            if len(hashes) > HELD:
+                fps.append(majority_bits(np.array(hashes, np.uint64), runs))
+                hashes, runs = [], []
+        fps = np.concatenate([*fps, majority_bits(np.array(hashes, np.uint64), runs)])
         signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), batch.column("row_key"), signed(nodes), pa.array(sizes, pa.int64()), signed(fps), pa.array(bands, pa.list_(pa.int64()))],
