@@ -429,8 +429,8 @@ def group_result(spark, sf_dir):
 def text_files(spark, sf_dir):
     """Benchmark texts as files of their own, read back whole."""
     folder = _own_folder(spark)
-    for r in table(spark, sf_dir, "benchmark").toLocalIterator():
-        sinks.put_text(spark, f"{folder}/item-{r.item_id}.txt", r.text)
+    named = F.concat(F.lit("item-"), F.col("item_id").cast("string"), F.lit(".txt"))
+    sinks.write_texts(table(spark, sf_dir, "benchmark").select(named.alias("name"), "text"), folder)
     return readers.read_texts(spark, f"{folder}/*.txt").select(F.substring_index("source", "/", -1).alias("source"), "text")
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.functions.fixed import CSV_ENCODINGS, CSV_SAMPLE_CHARS, CSV_SEPARATORS, DECLARED_VARIABLES, STOP_WORDS, TOP_LEVEL_CONCEPTS
+from quarry.operators.generation import check_template
 
 
 def has_pdf_suffix(path: str) -> bool:
@@ -79,6 +80,12 @@ def read_present(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, Data
     return texts, input_report(spark, paths)
 
 
+def read_prompts(spark: SparkSession, folder: str) -> tuple[str, str]:
+    """The system prompt and the user template of a folder, without white space at their ends; a template without its placeholder is an error."""
+    texts = {r.source.rsplit("/", 1)[-1]: r.text.strip() for r in read_texts(spark, [f"{folder}/system_prompt.txt", f"{folder}/user_template.txt"]).collect()}  # two files
+    return texts["system_prompt.txt"], check_template(texts["user_template.txt"])
+
+
 def read_toml(path: str) -> dict:
     return tomllib.loads(Path(path).read_text(encoding="utf-8"))
 

@@ -26,6 +26,35 @@ def put_text(df_or_spark, path: str, text: str) -> None:
         out.close()
 
 
+def write_texts(df: DataFrame, folder: str, name: str = "name", text: str = "text") -> int:
+    """Each row as a UTF-8 file of its own, written by the tasks; gives their number. A null text is an empty file.
+
+    A file is written under another name and then gets its own, so tasks that run again leave
+    the same files. The folder is in a store that pyarrow opens.
+    """
+
+    def run(batches):
+        import uuid
+
+        import pyarrow as pa
+        from pyarrow import fs
+
+        local = "://" not in folder and not folder.startswith("file:")
+        where, path = (fs.LocalFileSystem(), folder) if local else fs.FileSystem.from_uri(folder)
+        where.create_dir(path, recursive=True)
+        for batch in batches:
+            for own, value in zip(batch.column(name).to_pylist(), batch.column(text).to_pylist()):
+                draft = f"{path}/.{own}.{uuid.uuid4().hex}"
+                with where.open_output_stream(draft) as out:
+                    out.write((value or "").encode())
+                if where.get_file_info(f"{path}/{own}").type != fs.FileType.NotFound:
+                    where.delete_file(f"{path}/{own}")
+                where.move(draft, f"{path}/{own}")
+            yield pa.RecordBatch.from_pydict({"n": [len(batch)]})
+
+    return df.select(name, text).mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 def write_json_document(spark, path: str, data) -> None:
     """One UTF-8 JSON document, indented, with characters as they are."""
     put_text(spark, path, json.dumps(data, ensure_ascii=False, indent=2))

@@ -5,7 +5,7 @@ import pytest
 
 from quarry.operators import dedup, ontology, profile
 from quarry.plans.queries import projection
-from quarry.sources import readers
+from quarry.sources import readers, sinks
 
 ROWS = "k long, vectors array<array<double>>, mask array<int>, embedding string"
 
@@ -81,3 +81,22 @@ def test_profiles_don_t_depend_on_where_values_are_counted(spark, monkeypatch, b
     got = {r.name: r for r in profile.profile(df, ["a"]).collect()}
     assert [got[c].n_distinct for c in "abcdefgh"] == [400, 20, 21, 0, 3, 2, 5, 1]
     assert got["b"]["values"] == [str(i) for i in range(20)] and got["c"]["values"] is None and got["f"]["values"] == ["x", "y"] and got["d"].type == "empty"
+
+
+def test_prompt_files(spark, tmp_path):
+    (tmp_path / "system_prompt.txt").write_text(" Answer é.\n\n")
+    (tmp_path / "user_template.txt").write_text("Read:\n{txt}\n")
+    assert readers.read_prompts(spark, str(tmp_path)) == ("Answer é.", "Read:\n{txt}")
+    (tmp_path / "user_template.txt").write_text("Read.")
+    with pytest.raises(ValueError):
+        readers.read_prompts(spark, str(tmp_path))
+
+
+def test_rows_as_files(spark, tmp_path):
+    df = spark.createDataFrame([(f"f{i}.txt", None if i == 3 else f"text é {i}\n") for i in range(20)], "name string, text string").repartition(4)
+    for folder in (f"{tmp_path}/a", f"file://{tmp_path}/b"):
+        assert [sinks.write_texts(df, folder) for _ in range(2)] == [20, 20]
+    for x in "ab":
+        files = sorted((tmp_path / x).iterdir())
+        assert len(files) == 20 and {f.name: f.read_text() for f in files} == {r.name: r.text or "" for r in df.collect()}
+    assert sinks.write_texts(df.limit(0), f"{tmp_path}/c") == 0
