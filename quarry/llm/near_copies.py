@@ -141,7 +141,7 @@ def _members(nodes: DataFrame) -> DataFrame:
 def _star_pairs(nodes: DataFrame, sizes: DataFrame) -> DataFrame:
     """(p): each node with one node of each band key that it shares; the same one of a family for all its keys."""
     members = _members(nodes)
-    heads = members.groupBy("key").agg(F.min_by("x", F.xxhash64("x.node")).alias("c"))
+    heads = members.groupBy("key").agg(F.min_by("x", F.xxhash64("x.node")).alias("c"))  # the order of _headed
     return join_counted(members, checkpoint(sizes.join(heads, "key")), "key").select(_pair(F.col("x"), F.col("c")).alias("p"))
 
 
@@ -195,6 +195,14 @@ def _near(pairs: DataFrame, nodes: DataFrame, keyed: DataFrame) -> DataFrame:
     return checkpoint(found.filter(F.col("shared") * OF >= (F.col("both") - F.col("shared")) * PART).select("a", "b"))
 
 
+def _headed(nodes: DataFrame, near: DataFrame) -> DataFrame:
+    """``nodes`` with ``root``: the head of the family that a node is near, which is the first of its neighbours and itself in the heads' order."""
+    both = near.select(F.col("a").alias("node"), F.col("b").alias("x")).union(near.select("b", "a"))
+    heads = both.groupBy("node").agg(F.min(F.struct(F.xxhash64("x").alias("h"), "x")).alias("least"))
+    joined = nodes.drop("root").join(heads, "node", "left")
+    return checkpoint(joined.withColumn("root", F.when(F.col("least.h") < F.xxhash64("node"), F.col("least.x")).otherwise(F.col("node"))).drop("least"))
+
+
 def near_copies(docs: DataFrame) -> DataFrame:
     """(doc_id, row_key, node, root) for every row of ``docs`` (doc_id, text): rows of equal root are a group of near copies."""
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -204,11 +212,8 @@ def near_copies(docs: DataFrame) -> DataFrame:
     nodes = checkpoint(nodes.withColumn("root", F.col("node")))
     sizes = checkpoint(nodes.select(F.explode("bands").alias("key")).groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"))
     first = _near(_star_pairs(nodes, sizes).unionByName(_fingerprint_pairs(nodes)), nodes, keyed)
-    roots = checkpoint(connected_components(first))
-    grouped = checkpoint(look_up(nodes.drop("root"), roots, "node").withColumn("root", F.coalesce("root", "node")))
-    second = _near(_other_pairs(grouped, sizes), nodes, keyed)
-    if not second.isEmpty():
-        roots = checkpoint(connected_components(first.union(second)))
+    second = _near(_other_pairs(_headed(nodes, first), sizes), nodes, keyed)
+    roots = checkpoint(connected_components(first.union(second)))
     return look_up(rows.select("doc_id", "row_key", "node"), roots, "node").select("doc_id", "row_key", "node", F.coalesce("root", "node").alias("root"))
 
 
