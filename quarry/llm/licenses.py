@@ -158,9 +158,12 @@ def _candidates(docs: DataFrame, weights: Weights) -> DataFrame:
     rows = rows.select("row_key", "path", "named", "text", "n", F.filter("words", lambda w: w.isin(weights.terms)).alias("known"), F.size(F.array_distinct("words")).alias("several"))
     within = lambda own: F.filter("known", lambda w: w.isin(own))
     parts = [within(own) for _, own in bands]
-    counts = F.array(*(F.struct(F.lit(bound**2).alias("bound"), F.size(p).alias("k"), F.size(F.array_distinct(p)).alias("d")) for (bound, _), p in zip(bands, parts)))
-    header = F.exists("known", lambda w: w.isin(needed)) & _reaches(F.col("known"), weights.notices(), HEADER_SCORE)
-    rows = rows.select("row_key", "path", "named", "text", "n", "several", counts.alias("counts"), header.alias("header"))
+    counted = F.array(*(F.struct(F.lit(bound**2).alias("bound"), F.size(p).alias("k"), F.size(F.array_distinct(p)).alias("d")) for (bound, _), p in zip(bands, parts)))
+    # Bands are counted where one band of the greatest bound doesn't rule the text out already.
+    rows = rows.select("*", F.size("known").alias("k"), F.size(F.array_distinct("known")).alias("d"), F.exists("known", lambda w: w.isin(needed)).alias("header"))
+    loose = (F.col("d") > 0) & (F.col("d") * F.pow(1 + F.log(F.col("k") / F.col("d")), F.lit(2.0)) * (1 + 1e-9) >= share * (F.col("several") - F.col("d")))
+    counts = F.when(loose, counted).otherwise(F.array().cast("array<struct<bound:double,k:int,d:int>>"))
+    rows = rows.select("row_key", "path", "named", "text", "n", "several", counts.alias("counts"), "header")
     known = F.aggregate("counts", F.lit(0.0), lambda acc, x: acc + F.when(x["d"] > 0, x["bound"] * x["d"] * F.pow(1 + F.log(x["k"] / x["d"]), F.lit(2.0))).otherwise(0.0))
     others = F.col("several") - F.aggregate("counts", F.lit(0), lambda acc, x: acc + x["d"])
     rows = rows.select("row_key", "path", "named", "text", "n", "header", known.alias("known"), others.alias("others"))
