@@ -197,9 +197,11 @@ def group_links(keys, codes):
 
     ``keys`` are sorted and ``codes`` distinct and in Gray order in each group. Queries
     are what has been reached, and where nothing is reached the next SEEDS codes
-    of a group; targets are what hasn't been. What is reached leaves the index and
-    is looked up next, so a dense group costs little more than its size, and a
-    code that isn't a seed gets one link only.
+    of a group; targets are what hasn't been, and the queries themselves where those of
+    a group aren't known to be connected. So every pair within DISTANCE is met
+    when the first of its codes is looked up, or is known to be connected by then.
+    What has been looked up leaves the index, so a dense group costs little more
+    than its size, and links that connect nothing new are left out.
     """
     import numpy as np
 
@@ -207,32 +209,54 @@ def group_links(keys, codes):
     group = np.cumsum(np.concatenate([[False], keys[1:] != keys[:-1]])) if n else np.zeros(0, np.int64)
     left, reached = np.arange(n), np.zeros(0, np.int64)
     a, b = [reached], [reached]
-    while len(left):
+    label, parent = np.full(n, -1), np.arange(n)  # the root of a code's label stands for all that it is known to be connected with
+    while len(left) or len(reached):
         busy = np.zeros(group[-1] + 1, bool)
         busy[group[reached]] = True
         g = group[left]
-        first = np.searchsorted(g, g)
-        seed = np.flatnonzero((np.arange(len(left)) - first < SEEDS) & ~busy[g])
-        is_seed = np.zeros(len(left), bool)
-        is_seed[seed] = True
-        queries = np.concatenate([reached, left[seed]])
-        index = Index(g, codes[left])
+        seeds = left[(np.arange(len(left)) - np.searchsorted(g, g) < SEEDS) & ~busy[g]]
+        label[seeds] = seeds
+        queries = np.sort(np.concatenate([reached, seeds]))
+        own = parent[label[reached]]
+        mixed = np.zeros(len(busy), bool)
+        mixed[group[reached[own != own[np.searchsorted(group[reached], group[reached])]]]] = True
+        targets = np.sort(np.concatenate([left, reached[mixed[group[reached]]]]))
+        if not len(targets):
+            break
+        asks = np.zeros(n, bool)
+        asks[queries] = True
+        g = group[targets]
+        index = Index(g, codes[targets])
         size = np.searchsorted(g, group[queries], "right") - np.searchsorted(g, group[queries])
         block = np.cumsum(size) // COMPARED
-        gone, fresh = is_seed.copy(), []
+        fresh = [reached[:0]]
         for k in np.unique(block):
             own = queries[block == k]
             q, t = index.search(group[own], codes[own])
-            keep = ~gone[t] | (is_seed[t] & (left[t] > own[q]))
-            q, t = own[q[keep]], t[keep]
-            plain = np.flatnonzero(~is_seed[t])
-            one = plain[np.unique(t[plain], return_index=True)[1]]
-            links = np.concatenate([np.flatnonzero(is_seed[t]), one])
-            a.append(q[links])
-            b.append(left[t[links]])
-            gone[t[one]] = True
-            fresh.append(left[t[one]])
-        left, reached = left[~gone], np.concatenate(fresh)
+            q, t = own[q], targets[t]
+            keep = ~asks[t] | (t > q)
+            q, t = q[keep], t[keep]
+            new = np.flatnonzero(label[t] < 0)
+            one = new[np.unique(t[new], return_index=True)[1]]
+            label[t[one]] = label[q[one]]
+            fresh.append(t[one])
+            a.append(q[one])
+            b.append(t[one])
+            while True:
+                x, y = parent[label[q]], parent[label[t]]
+                apart = np.flatnonzero(x != y)
+                if not len(apart):
+                    break
+                q, t, low, high = q[apart], t[apart], np.minimum(x, y)[apart], np.maximum(x, y)[apart]
+                order = np.lexsort((low, high))
+                one = order[np.concatenate([[True], np.diff(high[order]) > 0])]
+                a.append(q[one])
+                b.append(t[one])
+                parent[high[one]] = low[one]
+                while (parent != parent[parent]).any():
+                    parent = parent[parent]
+        reached = np.sort(np.concatenate(fresh))
+        left = left[label[left] < 0]
     return codes[np.concatenate(a)], codes[np.concatenate(b)]
 
 

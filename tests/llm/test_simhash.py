@@ -89,6 +89,19 @@ def test_search_connects_what_pairs_connect(seed):
     assert len(a) <= len(codes) + 64 * 63 // 2 * (len(codes) // 64 + 1)
 
 
+@pytest.mark.parametrize("bits", [18, 19, 20, 21, 22])
+def test_codes_that_several_seeds_reach_connect_them(bits):
+    """More codes than SEEDS in one group, whose components meet in codes that are no seeds."""
+    rng = np.random.default_rng(bits)
+    codes = np.unique(rng.integers(0, 1 << bits, 400).astype(np.uint64))
+    codes = codes[np.argsort(gray(codes))]
+    i, j = np.nonzero(np.triu(np.bitwise_count(codes[:, None] ^ codes) <= 4, 1))
+    a, b = group_links(np.zeros(len(codes), np.int64), codes)
+    assert (np.bitwise_count(a ^ b) <= 4).all()
+    assert components(codes, a, b) == components(codes, codes[i], codes[j])
+    assert len(a) == len(codes) - len(components(codes, a, b))
+
+
 def gray(codes):
     for shift in (1, 2, 4, 8, 16, 32):
         codes = codes ^ (codes >> np.uint64(shift))
