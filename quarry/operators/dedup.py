@@ -135,7 +135,8 @@ def _keep_in_cells(rows: DataFrame, threshold: float, group_rows: int, compariso
     open. What is near a row kept goes, all others stay open for the next round. The
     earliest open row of a group is always decided. These rounds follow chains of near
     rows from cell to cell, not the number of rows. Where the bounds leave out nothing,
-    a group is one cell, and takes a round for each ``group_rows`` rows that stay.
+    a group is one cell, and takes a round for each GROUP_ROWS rows that stay: a round
+    scans and parts twice as many rows as the one before, from ``group_rows`` up to GROUP_ROWS.
     """
     add = comparisons.add if comparisons is not None else lambda n: None
     rows = checkpoint(rows.withColumn("n2", F.aggregate("v", F.lit(0.0), lambda acc, x: acc + x * x)))
@@ -153,7 +154,7 @@ def _keep_in_cells(rows: DataFrame, threshold: float, group_rows: int, compariso
     dim = dimension(rows, "v")
     if not dim:
         return kept
-    most = vector_rows(dim, group_rows)
+    most, limit = vector_rows(dim, group_rows), vector_rows(dim, max(group_rows, GROUP_ROWS))
 
     def scan(pdf: pd.DataFrame) -> pd.DataFrame:
         import numpy as np
@@ -193,7 +194,7 @@ def _keep_in_cells(rows: DataFrame, threshold: float, group_rows: int, compariso
     while left:
         new = scanned(rows.withColumn("own", F.lit(True)), "g")
         kept, rows, before = kept.unionByName(new.select("rid")), without(rows, new), left
-        left = rows.count()
+        left, most = rows.count(), min(2 * most, limit)
         if left > before / 2:
             break
     if not left:
@@ -203,6 +204,7 @@ def _keep_in_cells(rows: DataFrame, threshold: float, group_rows: int, compariso
     while not rows.isEmpty():
         new = scanned(_reaching(rows.withColumn("r", F.col("reach"))).withColumnRenamed("r", "reach"), "cell")
         kept, rows = kept.unionByName(new.select("rid")), without(rows, new)
+        most = min(2 * most, limit)
     return kept
 
 

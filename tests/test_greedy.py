@@ -105,3 +105,13 @@ def test_two_hundred_thousand_rows_in_one_group(spark):
     print("comparisons", count.value, "of", n * (n - 1) // 2)
     assert 0 < count.value < n * (n - 1) / 2 / 10
     assert sorted(r.seq for r in got) == one_scan(v, 0.95)
+
+
+def test_rounds_of_a_small_head_grow(spark, monkeypatch):
+    """Unlike rows, of which nearly all stay: the rounds don't grow with the rows over ``group_rows``."""
+    v = unit(np.random.default_rng(5).normal(size=(1000, 24)))
+    rounds, reaching = [], dedup._reaching
+    monkeypatch.setattr(dedup, "_reaching", lambda rows: rounds.append(1) or reaching(rows))
+    got = dedup.greedy_keep(table(spark, v), "grp", "seq", "v", 0.75, group_rows=20).collect()
+    assert sorted(r.seq for r in got) == one_scan(v, 0.75)
+    assert len(rounds) <= 20
