@@ -7,9 +7,12 @@ and each candidate is checked on its whole shingle sets. The links that hold are
 contracted to groups.
 
 Rows of equal shingle sets are one node. First each node is paired with one node of each
-of its band keys, which joins most families. Then nodes of a band key that aren't in one
-group yet are all paired where there are at most PAIRED of them; of a larger key each is
-paired with CENTRES nodes. So pairs grow in proportion to the rows, and few shingle sets travel.
+of its band keys, which joins most families, and the links that hold are contracted. Then
+nodes of a band key that aren't in one group yet are all paired where there are at most
+PAIRED of them; in a larger key those outside its largest group are paired with CENTRES
+nodes of that group. After these links are contracted too, nodes of larger keys that still
+aren't in one group are compared in blocks, each with all blocks of sizes that can be near.
+So no pair of a key is left out, and a family that is joined by then has none.
 
 Defined results: texts of fewer than five words have one shingle, the whole sequence;
 texts without words have none and are copies of each other; A-Z count as lower case;
@@ -22,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import BROADCAST_ROWS, ROW_KEY, checkpoint, count_bounded, join_counted, look_up, row_key, rows_in
+from quarry.llm.common import BROADCAST_ROWS, ROW_KEY, checkpoint, count_bounded, join_counted, look_up, new_path, row_key, rows_in
 from quarry.llm.components import connected_components
 from quarry.llm.simhash import HELD, links, majority_bits, shingle_hashes
 
@@ -33,8 +36,11 @@ PART, OF = 4, 5
 
 BANDS, BAND_ROWS = 16, 5
 
-#: Nodes of a band key up to which all are paired; nodes that each one of a larger key is paired with.
-PAIRED, CENTRES = 64, 16
+#: Nodes of a band key up to which all are paired; nodes of a larger key's largest group that the others meet first.
+PAIRED, CENTRES = 64, 4
+
+#: Nodes of a block, two of which a task compares; nodes of a shingle up to which its pairs are counted one by one.
+BLOCK, RARE = 2000, 50
 
 #: A node in over so small a part of all pairs counts as common.
 COMMON = 200
@@ -141,23 +147,90 @@ def _members(nodes: DataFrame) -> DataFrame:
 def _star_pairs(nodes: DataFrame, sizes: DataFrame) -> DataFrame:
     """(p): each node with one node of each band key that it shares; the same one of a family for all its keys."""
     members = _members(nodes)
-    heads = members.groupBy("key").agg(F.min_by("x", F.xxhash64("x.node")).alias("c"))  # the order of _headed
+    heads = members.groupBy("key").agg(F.min_by("x", F.xxhash64("x.node")).alias("c"))
     return join_counted(members, checkpoint(sizes.join(heads, "key")), "key").select(_pair(F.col("x"), F.col("c")).alias("p"))
 
 
-def _other_pairs(nodes: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(p): pairs of nodes of different groups (``root``) that share a band key."""
-    members, apart = _members(nodes), lambda x, y: x["root"] != y["root"]
-    few = members.join(sizes.filter(F.col("n") <= PAIRED).select("key"), "key").groupBy("key").agg(F.collect_list("x").alias("l"))
-    of = lambda x, i: F.transform(F.filter(F.slice("l", i + 2, F.size("l")), lambda y: apart(x, y)), lambda y: _pair(x, y))
+def _apart(x, y):
+    """Whether nodes are in different groups and of sizes that can be near."""
+    return (x["root"] != y["root"]) & (F.least(x["size"], y["size"]) * OF >= F.greatest(x["size"], y["size"]) * PART)
+
+
+def _mixed_keys(members: DataFrame) -> DataFrame:
+    """(key, n, most): the band keys of nodes in different groups, with their nodes and most frequent ``root``."""
+    by_root = members.groupBy("key", F.col("x.root").alias("root")).agg(F.count("*").alias("n"))
+    found = by_root.groupBy("key").agg(F.sum("n").alias("n"), F.max_by("root", "n").alias("most"), F.count("*").alias("roots"))
+    return checkpoint(found.filter("roots > 1").drop("roots"))
+
+
+def _other_pairs(nodes: DataFrame) -> DataFrame:
+    """(p): pairs of nodes of different groups (``root``) that share a band key: all of a small key; of a large one those of CENTRES nodes."""
+    members = _members(nodes)
+    mixed = _mixed_keys(members)
+    few = join_counted(members, mixed.filter(F.col("n") <= PAIRED).drop("most"), "key").groupBy("key").agg(F.collect_list("x").alias("l"))
+    of = lambda x, i: F.transform(F.filter(F.slice("l", i + 2, F.size("l")), lambda y: _apart(x, y)), lambda y: _pair(x, y))
     small = few.select(F.explode(F.flatten(F.transform("l", of))).alias("p"))
-    large = checkpoint(sizes.filter(F.col("n") > PAIRED))
+    large = mixed.filter(F.col("n") > PAIRED)
     if large.isEmpty():
         return small
-    own = join_counted(members, large, "key")
-    drawn = own.groupBy("key").agg(F.array_distinct(F.array(*(F.min_by("x", F.xxhash64("x.node", F.lit(i))) for i in range(CENTRES)))).alias("centres"))
-    met = join_counted(members, checkpoint(drawn.join(large, "key")), "key").select("x", F.explode("centres").alias("c"))
-    return small.unionByName(met.filter(apart(F.col("x"), F.col("c"))).select(_pair(F.col("x"), F.col("c")).alias("p")))
+    own = checkpoint(join_counted(members, large.withColumn("rows", F.col("n")), "key"))
+    drawn = own.filter("x.root = most").groupBy("key").agg(F.max("rows").alias("n"), F.array(*(F.min_by("x", F.xxhash64("x.node", F.lit(i))) for i in range(CENTRES))).alias("centres"))
+    met = join_counted(own.filter("x.root <> most"), checkpoint(drawn), "key").select("x", F.explode("centres").alias("c"))
+    return small.unionByName(met.filter(_apart(F.col("x"), F.col("c"))).select(_pair(F.col("x"), F.col("c")).alias("p")))
+
+
+def _block_links(pdf):
+    """(a, b) of the near pairs of different groups among the nodes of two blocks (node, root, shingles)."""
+    import numpy as np
+    import pandas as pd
+
+    n = len(pdf)
+    sizes = pdf["shingles"].map(len).to_numpy()
+    _, code, often = np.unique(np.concatenate([*pdf["shingles"]]), return_inverse=True, return_counts=True)
+    order = np.argsort(code, kind="stable")
+    code, row = code[order], np.repeat(np.arange(n), sizes)[order]
+    shared = np.zeros((n, n), np.float32)
+    few = often[code] <= RARE
+    rare, at = code[few], row[few]
+    for d in range(1, RARE):
+        same = np.flatnonzero(rare[d:] == rare[:-d])
+        np.add.at(shared, (at[same], at[same + d]), 1)  # rows of a shingle are in order, so these are above the diagonal
+    _, common = np.unique(code[~few], return_inverse=True)
+    at = row[~few]
+    for c in range(0, int(common.max(initial=-1)) + 1, 1024):
+        own = slice(*np.searchsorted(common, (c, c + 1024)))
+        part = np.zeros((n, 1024), np.float32)
+        part[at[own], common[own] - c] = 1
+        shared += part @ part.T
+    roots, node = pdf["root"].to_numpy(), pdf["node"].to_numpy()
+    found = [[], []]
+    for i in range(n):
+        s = shared[i, i + 1 :]
+        j = i + 1 + np.flatnonzero((s * OF >= (sizes[i] + sizes[i + 1 :] - s) * PART) & (roots[i + 1 :] != roots[i]))
+        found[0].append(np.full(len(j), node[i]))
+        found[1].append(node[j])
+    return pd.DataFrame({"a": np.concatenate(found[0]), "b": np.concatenate(found[1])})
+
+
+def _last_links(nodes: DataFrame, keyed: DataFrame) -> DataFrame | None:
+    """(a, b): all near pairs of different groups among the nodes of large band keys; None where each key is one group.
+
+    Nodes of near sizes are in the same or the next bucket of sizes; a bucket is dealt to blocks of about BLOCK nodes.
+    """
+    members = _members(nodes)
+    large = _mixed_keys(members).filter(F.col("n") > PAIRED).drop("most")
+    if large.isEmpty():
+        return None
+    own = checkpoint(join_counted(members, large, "key").select("x.*").distinct())
+    sets = _shingle_sets(own.select("node"), nodes, keyed)
+    bucket = F.floor(F.log("size") / F.log(F.lit(OF / PART + 1e-4)))
+    parts = checkpoint(own.groupBy(bucket.alias("bucket")).agg(F.ceil(F.count("*") / BLOCK).alias("parts")))
+    rows = own.withColumn("bucket", bucket).join(F.broadcast(parts), "bucket").withColumn("block", F.struct("bucket", F.pmod(F.xxhash64("node"), F.col("parts")).alias("part")))
+    blocks = parts.select(F.col("bucket").alias("near"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    blocks = F.broadcast(blocks.select("near", F.struct(F.col("near").alias("bucket"), "part").alias("other")))  # a row a block
+    dealt = rows.join(sets, "node").join(blocks, F.abs(F.col("bucket") - F.col("near")) <= 1)
+    dealt = dealt.select("node", "root", "shingles", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
+    return checkpoint(dealt.groupBy("x", "y").applyInPandas(_block_links, "a long, b long"))
 
 
 def _fingerprint_pairs(nodes: DataFrame) -> DataFrame:
@@ -179,28 +252,33 @@ def _with_sets(pairs: DataFrame, sets: DataFrame, key: str, into: str) -> DataFr
     return pairs.join(F.broadcast(own.join(often, key)), key).unionByName(rest)
 
 
+def _shingle_sets(own: DataFrame, nodes: DataFrame, keyed: DataFrame) -> DataFrame:
+    """(node, shingles) of the nodes of ``own`` (node), each there once."""
+    needed = checkpoint(own.join(nodes.select("node", F.col("first").alias("row_key")), "node"))
+    if count_bounded(needed, BROADCAST_ROWS):
+        needed = F.broadcast(needed)
+    texts = keyed.select("row_key", "text").join(needed, "row_key").select("node", "text")
+    return checkpoint(texts.mapInArrow(_sets, "node long, shingles array<bigint>").groupBy("node").agg(F.min("shingles").alias("shingles")))
+
+
 def _near(pairs: DataFrame, nodes: DataFrame, keyed: DataFrame) -> DataFrame:
     """(a, b): those of the candidate pairs (p) whose shingle sets are near, each once."""
     pairs = pairs.select("p.*").filter("a <> b")
     pairs = pairs.filter(F.least("m", "n") * OF >= F.greatest("m", "n") * PART)  # no pair of other sizes can be near
     pairs = checkpoint(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", F.col("first").alias("row_key")), "node")
-    needed = checkpoint(needed)
-    if count_bounded(needed, BROADCAST_ROWS):
-        needed = F.broadcast(needed)
-    texts = keyed.select("row_key", "text").join(needed, "row_key").select("node", "text")
-    sets = checkpoint(texts.mapInArrow(_sets, "node long, shingles array<bigint>").groupBy("node").agg(F.min("shingles").alias("shingles")))
+    sets = _shingle_sets(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), nodes, keyed)
     met = _with_sets(_with_sets(pairs, sets, "a", "s"), sets, "b", "t")
     found = met.select("a", "b", F.size(F.array_intersect("s", "t")).alias("shared"), (F.size("s") + F.size("t")).alias("both"))
     return checkpoint(found.filter(F.col("shared") * OF >= (F.col("both") - F.col("shared")) * PART).select("a", "b"))
 
 
-def _headed(nodes: DataFrame, near: DataFrame) -> DataFrame:
-    """``nodes`` with ``root``: the head of the family that a node is near, which is the first of its neighbours and itself in the heads' order."""
-    both = near.select(F.col("a").alias("node"), F.col("b").alias("x")).union(near.select("b", "a"))
-    heads = both.groupBy("node").agg(F.min(F.struct(F.xxhash64("x").alias("h"), "x")).alias("least"))
-    joined = nodes.drop("root").join(heads, "node", "left")
-    return checkpoint(joined.withColumn("root", F.when(F.col("least.h") < F.xxhash64("node"), F.col("least.x")).otherwise(F.col("node"))).drop("least"))
+def _contracted(edges: DataFrame) -> DataFrame:
+    """(node, root) of the components of ``edges`` (a, b), as a stored table: what Spark infers of a checkpoint's columns grows with each contraction of another's."""
+    spark, path = edges.sparkSession, new_path(edges.sparkSession, "roots")
+    edges.write.parquet(f"{path}/edges")
+    roots = connected_components(spark.read.schema("a long, b long").parquet(f"{path}/edges"))
+    roots.write.parquet(f"{path}/found")
+    return spark.read.schema("node long, root long").parquet(f"{path}/found")
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
@@ -212,8 +290,12 @@ def near_copies(docs: DataFrame) -> DataFrame:
     nodes = checkpoint(nodes.withColumn("root", F.col("node")))
     sizes = checkpoint(nodes.select(F.explode("bands").alias("key")).groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"))
     first = _near(_star_pairs(nodes, sizes).unionByName(_fingerprint_pairs(nodes)), nodes, keyed)
-    second = _near(_other_pairs(_headed(nodes, first), sizes), nodes, keyed)
-    roots = checkpoint(connected_components(first.union(second)))
+    grouped = lambda: checkpoint(look_up(nodes.drop("root"), roots, "node").withColumn("root", F.coalesce("root", "node")))
+    roots = _contracted(first)
+    roots = _contracted(roots.toDF("a", "b").union(_near(_other_pairs(grouped()), nodes, keyed)))
+    last = _last_links(grouped(), keyed)
+    if last is not None:
+        roots = _contracted(roots.toDF("a", "b").union(last))
     return look_up(rows.select("doc_id", "row_key", "node"), roots, "node").select("doc_id", "row_key", "node", F.coalesce("root", "node").alias("root"))
 
 

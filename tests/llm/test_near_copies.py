@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 
 from quarry.llm import near_copies as N
@@ -84,6 +85,23 @@ def test_large_families_and_clean_texts(spark, monkeypatch, paired):
     assert partition(ids, [got[i] for i in ids]) == partition(ids, slow_groups(texts)[0])
 
 
+@pytest.mark.parametrize("rare", [50, 3])
+def test_blocks_leave_out_no_pair(monkeypatch, rare):
+    """Nodes of large keys that no centre is near: every near pair of different groups, by rare and by frequent shingles."""
+    monkeypatch.setattr(N, "RARE", rare)
+    rng = np.random.default_rng(1)
+    base, sets = rng.integers(0, 1 << 60, 100), []
+    for _ in range(300):
+        own = base.copy()
+        changed = rng.integers(0, 100, rng.integers(5, 25))
+        own[changed] = rng.integers(0, 400, len(changed))
+        sets.append(np.unique(own))
+    roots = rng.integers(0, 100, 300)
+    got = N._block_links(pd.DataFrame({"node": range(300), "root": roots, "shingles": sets}))
+    near = {(i, j) for i in range(300) for j in range(i + 1, 300) if roots[i] != roots[j] and 9 * len(np.intersect1d(sets[i], sets[j])) >= 4 * (len(sets[i]) + len(sets[j]))}
+    assert near and set(zip(got["a"], got["b"])) == near
+
+
 def test_odd_rows(spark):
     docs = documents(spark)
     rows, got = docs.collect(), N.near_copies(docs).collect()
