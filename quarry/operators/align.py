@@ -195,6 +195,12 @@ BALL_ROWS, ASKED_ROWS = 500, 20_000
 #: Candidates of a ball up to which it isn't parted further.
 LEAF_ROWS = 256
 
+#: Balls that a row is sent to at most, and the part of all balls. One that may find a better candidate in more of them is compared with all candidates, tile by tile.
+ASKED_BALLS, ASKED_PART = 32, 1 / 4
+
+#: Rows and candidates of a tile.
+TILE_ROWS = 50_000
+
 
 def upper_bounds(queries, centres, radii, norms):
     """Upper bounds on the dot product of each query with what is in each ball: a vector is its centre and at most a radius."""
@@ -204,16 +210,27 @@ def upper_bounds(queries, centres, radii, norms):
     return np.minimum(queries @ centres.T + length * radii, length * norms) + 1e-9 * (1 + length * norms)
 
 
-def best_in_ball(queries, least, codes, places, vectors, block: int = 2048):
-    """([(score, -place, code) or None of each query], comparisons): the best candidate where one reaches ``least``.
+def products(a, b):
+    """The dot products of the rows of two matrices, as plain sums in order like :func:`_exact`."""
+    import numpy as np
 
-    A large ball is parted into smaller ones around some of its vectors. A query goes to
-    the one with the greatest bound first, and then to those whose bounds reach what it has found.
+    total = np.zeros(len(a))
+    for x, y in zip(a.T, b.T):
+        total += x * y
+    return total
+
+
+def best_in_tile(queries, least, codes, places, vectors, block: int = 2048):
+    """(rows, scores, numbers of candidates, comparisons): the best candidate of each row that has one of a score of at least ``least``.
+
+    Many candidates are parted into leaves around some of them. A query goes to the one with the
+    greatest bound first, and then to those whose bounds reach what it has found. A leaf's
+    products are in single precision; what is within their rounding of the greatest is worked out anew in order.
     """
     import numpy as np
 
-    n, made = len(vectors), 0
-    step = max(1, int(n**0.5)) if n > LEAF_ROWS else n
+    (n, dim), made = vectors.shape, 0
+    step = max(1, min(int(n**0.5), LEAF_ROWS // 6)) if n > LEAF_ROWS else n
     centres = vectors[::step]
     square = np.einsum("ij,ij->i", centres, centres)
     home, far = np.zeros(n, np.int64), np.zeros(n)
@@ -224,31 +241,61 @@ def best_in_ball(queries, least, codes, places, vectors, block: int = 2048):
         far[a : a + block] = np.sqrt(np.maximum(apart.min(axis=1), 0.0)) + 1e-7
     order = np.argsort(home, kind="stable")
     cuts = np.searchsorted(home[order], np.arange(len(centres) + 1)).tolist()
-    leaves = [order[a:b] for a, b in zip(cuts, cuts[1:])]
+    leaves = [slice(a, b) for a, b in zip(cuts, cuts[1:])]
+    vectors, far = vectors[order], far[order]
     length = np.sqrt(np.einsum("ij,ij->i", vectors, vectors))
     radii, norms = (np.array([x[leaf].max(initial=0.0) for leaf in leaves]) for x in (far, length))
-    found: list = [None] * len(queries)
-    for a in range(0, len(queries), block):
-        q = queries[a : a + block]
-        bounds, best = upper_bounds(q, centres, radii, norms), np.array(least[a : a + block], np.float64)
-        bounds[:, [not len(leaf) for leaf in leaves]] = -np.inf
+    ranks = np.empty(n, np.int64)
+    ranks[sorted(range(n), key=lambda j: (-places[j], codes[j]))] = np.arange(n)
+    ranks = ranks[order]
+    longest = length.max(initial=0.0) or 1.0
+    small = (vectors / longest).astype(np.float32)
+    slack = (dim + 8) * 2.0**-22  # over twice the rounding of a sum of products of vectors of norm one
+    best, top, code = np.array(least, np.float64), np.full(len(queries), -1), np.full(len(queries), -1)
+    for at in range(0, len(queries), block):
+        q = queries[at : at + block]
+        norm = np.sqrt(np.einsum("ij,ij->i", q, q))
+        norm[norm == 0] = 1.0
+        own, unit, now = (q / norm[:, None]).astype(np.float32), norm * longest, best[at : at + block]
+        bounds = upper_bounds(q, centres, radii, norms)
+        bounds[:, [a == b for a, b in zip(cuts, cuts[1:])]] = -np.inf
         first = bounds.argmax(axis=1)
 
         def ask(rows, leaf):
             nonlocal made
-            own = leaves[leaf]
-            made += len(rows) * len(own)
-            for i, (code, score, place) in zip(rows.tolist(), best_of(q[rows], [codes[j] for j in own], [places[j] for j in own], vectors[own])):
-                if score >= best[i]:
-                    best[i] = score
-                    found[a + i] = max(found[a + i] or (score, place, code), (score, place, code))
+            scores = (own if len(rows) == len(own) else own[rows]) @ small[leaves[leaf]].T
+            made += scores.size
+            found = scores.max(axis=1)
+            bound = np.maximum(found, now[rows] / unit[rows]) - slack
+            may = np.flatnonzero(found >= bound)
+            if not len(may):
+                return
+            i, j = np.nonzero(scores[may] >= bound[may, None].astype(np.float32))
+            i, j = rows[may[i]], j + cuts[leaf]
+            exact = products(q[i], vectors[j])
+            last = np.lexsort((ranks[j], exact, i))
+            last = last[np.append(np.diff(i[last]) > 0, True)]  # the best pair of each row
+            i, j, exact = i[last], j[last], exact[last]
+            better = (exact > now[i]) | ((exact == now[i]) & (ranks[j] > top[at + i]))
+            i, j = i[better], j[better]
+            now[i], top[at + i], code[at + i] = exact[better], ranks[j], order[j]
 
         for leaf in np.unique(first).tolist():
-            ask(np.flatnonzero((first == leaf) & (bounds[:, leaf] >= best)), leaf)
+            ask(np.flatnonzero((first == leaf) & (bounds[:, leaf] >= now)), leaf)
         for leaf in range(len(leaves)):
-            rows = np.flatnonzero((first != leaf) & (bounds[:, leaf] >= best))
+            rows = np.flatnonzero((first != leaf) & (bounds[:, leaf] >= now))
             if len(rows):
                 ask(rows, leaf)
+    rows = np.flatnonzero(code >= 0)
+    return rows, best[rows], code[rows], made
+
+
+def best_in_ball(queries, least, codes, places, vectors):
+    """([(score, -place, code) or None of each query], comparisons): the best candidate where one reaches ``least``."""
+    found: list = [None] * len(queries)
+    rows, scores, best, made = best_in_tile(queries, least, codes, places, vectors)
+    for i, score, j in zip(rows.tolist(), scores.tolist(), best.tolist()):
+        found[i] = (score, -places[j], codes[j])
     return found, made
 
 
@@ -259,6 +306,11 @@ def nearest_in_balls(df: DataFrame, candidates: DataFrame, embedding: str = "emb
     nearest centre, and then every ball whose bound reaches the score found there. A
     ball that is too large for a task is several, and the rows that ask it are dealt
     out as well. Only the centres, and three numbers for each, come to the driver.
+
+    Rows for which the bounds leave over ASKED_BALLS balls, as where nothing is near
+    anything, are compared with all candidates: both are dealt to tiles, of which each
+    pair is a task's matrix products. So a row is copied for ASKED_BALLS balls or for each
+    tile of candidates at most, not for each ball.
     """
     import numpy as np
 
@@ -294,7 +346,7 @@ def nearest_in_balls(df: DataFrame, candidates: DataFrame, embedding: str = "emb
     balls = balls.join(slices, "cell").select("cell", F.pmod(F.xxhash64("code", "pos", "v"), F.col("slices")).alias("slice"), "v", "pos", "code")
 
     def ask(batches):
-        """(rid, v, least, cell) for each ball that a row asks: the one of the nearest centre, or all others that may be better."""
+        """(rid, v, least, cell) for each ball that a row asks: the one of the nearest centre, or all others that may be better; cell -1 for all of them where they are many."""
         import numpy as np
         import pyarrow as pa
 
@@ -308,7 +360,11 @@ def nearest_in_balls(df: DataFrame, candidates: DataFrame, embedding: str = "emb
                 first = np.where(np.isinf(norms), -np.inf, vectors @ centres.T).argmax(axis=1)
                 if "least" in batch.schema.names:
                     least = batch.column("least").to_numpy()
-                    row, cell = np.nonzero((reach >= least[:, None]) & (np.arange(len(norms)) != first[:, None]))
+                    asked = (reach >= least[:, None]) & (np.arange(len(norms)) != first[:, None])
+                    many = asked.sum(axis=1) > min(ASKED_BALLS, len(norms) * ASKED_PART)
+                    asked[many] = False
+                    row, cell = np.nonzero(asked)
+                    row, cell = np.append(row, np.flatnonzero(many)), np.append(cell, np.full(many.sum(), -1))
                 else:
                     row, cell, least = np.arange(len(batch)), first, np.full(len(batch), -np.inf)
                 taken = batch.take(pa.array(row))
@@ -334,13 +390,38 @@ def nearest_in_balls(df: DataFrame, candidates: DataFrame, embedding: str = "emb
         keys = ("cell", "part", "slice")
         return checkpoint(dealt.groupBy(*keys).cogroup(spread.groupBy(*keys)).applyInPandas(best, f"rid long, score double, place long, code {kind}"))
 
+    def tiled(asks: DataFrame) -> DataFrame:
+        """The answers of all candidates to ``asks``, a task for a tile of rows and a tile of candidates."""
+        tile = vector_rows(dim, TILE_ROWS)
+        parts, slices = (max(1, -(-x.count() // tile)) for x in (asks, own))
+        deal = lambda df, name, key, n, other, m: df.withColumn(name, F.pmod(F.xxhash64(*key), F.lit(n))).withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long"))))
+        rows = deal(asks.select("rid", "v", "least"), "part", ["rid"], parts, "slice", slices)
+        spread = deal(balls, "slice", ["cell", "slice"], slices, "part", parts).drop("cell")  # a ball's candidates are in one tile, so its leaves are small
+        keys = ("part", "slice")
+        return checkpoint(rows.groupBy(*keys).cogroup(spread.groupBy(*keys)).applyInArrow(best_of_all, f"rid long, score double, place long, code {kind}"))
+
+    def best_of_all(asked, tile):
+        import numpy as np
+        import pyarrow as pa
+
+        rid, found, score, place, codes = pa.array([], pa.int64()), [], [], [], tile.column("code").combine_chunks()
+        if len(asked) and len(tile):
+            rid, places = asked.column("rid").combine_chunks(), tile.column("pos").to_numpy()
+            rows, score, found, made = best_in_tile(matrix_of(asked.column("v").combine_chunks()), asked.column("least").to_numpy(), codes.to_pylist(), places.tolist(), matrix_of(tile.column("v").combine_chunks()))
+            add(made)
+            rid, place = rid.take(pa.array(rows)), -places[found]
+        return pa.table({"rid": rid, "score": pa.array(score, pa.float64()), "place": pa.array(place, pa.int64()), "code": codes.take(pa.array(found, pa.int64()))})
+
     rows = checkpoint(df.withColumn("_rid", F.monotonically_increasing_id()))
     queries = checkpoint(rows.select(F.col("_rid").alias("rid"), F.col(f"`{embedding}`").cast("array<double>").alias("v")).filter(_whole("v")))
     schema = "rid long, v array<double>, least double, cell long"
     first = answers(queries.mapInArrow(ask, schema))
     more = queries.join(first.groupBy("rid").agg(F.max("score").alias("least")), "rid").select("rid", "v", "least")
-    second = answers(more.mapInArrow(ask, schema))
-    found = first.union(second).groupBy(F.col("rid").alias("_rid")).agg(F.max(F.struct("score", "place", "code")).alias("_best"))
+    asks = checkpoint(more.mapInArrow(ask, schema))
+    second = answers(asks.filter("cell >= 0"))
+    many = asks.filter("cell < 0")
+    third = second.limit(0) if many.isEmpty() else tiled(many)
+    found = first.union(second).union(third).groupBy(F.col("rid").alias("_rid")).agg(F.max(F.struct("score", "place", "code")).alias("_best"))
     columns = [F.col(f"`{c}`") for c in df.columns if c not in ("code", "score")]
     return rows.join(found, "_rid", "left").select(*columns, F.col("_best.code").alias("code"), F.col("_best.score").alias("score"))
 

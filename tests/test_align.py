@@ -160,3 +160,42 @@ def test_a_hundred_thousand_candidates_without_a_driver_copy(spark, monkeypatch,
         near = np.flatnonzero(scores[i] >= scores[i].max() - 1e-9)
         assert got[i][0] == max(near.tolist(), key=lambda j: (-(j % 7), j)) and abs(got[i][1] - scores[i].max()) < 1e-9
     assert 0 < count.value < 300 * n / 10, count.value
+
+
+def test_tiles_find_the_exact_best_with_ties():
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(9000, 24)) * rng.choice([1e-3, 1.0, 50.0], 9000)[:, None]
+    v[4500:4600] = v[:100]
+    q = np.concatenate([rng.normal(size=(300, 24)), np.zeros((2, 24)), v[:40]])
+    places, codes = [j % 7 for j in range(9000)], [f"c{j}" for j in range(9000)]
+    rows, scores, found, _ = align.best_in_tile(q, np.full(len(q), -np.inf), codes, places, v)
+    assert rows.tolist() == list(range(len(q)))
+    for i, s, j in zip(rows, scores, found):
+        exact = align.products(np.repeat(q[i : i + 1], 9000, axis=0), v)
+        assert s == exact.max() == align._exact(q[i], v[j])
+        assert j == max(np.flatnonzero(exact == s).tolist(), key=lambda j: (-places[j], codes[j]))
+    rows, _, again, _ = align.best_in_tile(q, scores, codes, places, v)
+    assert rows.tolist() == list(range(len(q))) and (again == found).all()
+    assert not len(align.best_in_tile(q, scores + 1e-6 + abs(scores) * 1e-6, codes, places, v)[0])
+
+
+def test_rows_that_no_bound_helps_are_not_copied_for_each_ball(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(6)
+    v, q = (x / np.linalg.norm(x, axis=1)[:, None] for x in (rng.normal(size=(4000, 64)), rng.normal(size=(200, 64))))
+    lists = lambda m: pa.array(list(m), pa.list_(pa.float64()))
+    pq.write_table(pa.table({"code": np.arange(4000), "pos": np.arange(4000), "embedding": lists(v)}), f"{tmp_path}/c.parquet")
+    pq.write_table(pa.table({"k": np.arange(200), "embedding": lists(q)}), f"{tmp_path}/q.parquet")
+    most, kept = [0], align.checkpoint
+
+    def counted(df):
+        out = kept(df)
+        most[0] = max(most[0], out.count())
+        return out
+
+    monkeypatch.setattr(align, "checkpoint", counted)
+    monkeypatch.setattr(align, "BALL_ROWS", 40)
+    monkeypatch.setattr(align, "TILE_ROWS", 1500)
+    found = align.nearest_in_balls(spark.read.parquet(f"{tmp_path}/q.parquet"), spark.read.parquet(f"{tmp_path}/c.parquet"))
+    got = {r.k: r.code for r in found.collect()}
+    assert got == dict(enumerate((q @ v.T).argmax(axis=1).tolist()))
+    assert most[0] <= 4000, most[0]  # a row for each ball would be some 20,000
