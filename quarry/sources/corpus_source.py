@@ -12,8 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
-#: Rows that a reading task gives at once.
-ROWS = 4096
+#: Rows that a reading task gives at once, and bytes of a column that it reads at once.
+ROWS, BUFFERED = 512, 1 << 20
 
 
 def _fs(path: str):
@@ -67,7 +67,8 @@ class CorpusReader(DataSourceStreamReader):
 
         where, _ = _fs(self.folder)
         with where.open_input_file(partition.name) as f:
-            yield from pq.ParquetFile(f).iter_batches(ROWS, row_groups=range(partition.first, partition.last), columns=self.columns)
+            # Whole row groups in memory would make a task as large as the writer's files.
+            yield from pq.ParquetFile(f, pre_buffer=False, buffer_size=BUFFERED).iter_batches(ROWS, row_groups=range(partition.first, partition.last), columns=self.columns)
 
     def commit(self, end: dict) -> None:
         pass

@@ -58,3 +58,21 @@ def test_offsets_part_the_files(spark, tmp_path):
 
 def test_an_empty_folder(spark, tmp_path):
     assert run_once(spark, corpus_stream(spark, f"{tmp_path}/none", SCHEMA), f"{tmp_path}/out", f"{tmp_path}/state").count() == 0
+
+
+def test_a_row_group_is_not_held_whole(tmp_path):
+    import random
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from quarry.sources.corpus_source import RowGroups
+
+    draw = random.Random(7)
+    rows = pa.table({"doc_id": range(20_000), "text": [draw.randbytes(800).hex() for _ in range(20_000)]})
+    pq.write_table(rows, f"{tmp_path}/x.parquet", row_group_size=20_000)
+    held, most, ids = pa.total_allocated_bytes(), 0, []
+    for batch in CorpusReader({"path": str(tmp_path)}, ["doc_id", "text"]).read(RowGroups(f"{tmp_path}/x.parquet", 0, 1)):
+        most = max(most, pa.total_allocated_bytes() - held)
+        ids += batch.column("doc_id").to_pylist()
+    assert ids == list(range(20_000)) and most < rows.nbytes / 3, (most, rows.nbytes)
