@@ -146,3 +146,23 @@ def test_rejected_answers_are_observed_without_a_second_pass(spark):
     assert sorted(r.k for r in found.collect()) == [1, 6] and calls.value == 6
     assert concepts.counts_table(spark, counts, "a").collect() == [("a", 6, 4)]
     assert sorted(map(tuple, concepts.parse_concepts(df).select("k", "place", "concept").collect())) == [(1, 0, "low mood"), (6, 0, "low mood")]
+
+
+def test_places_are_asked_for_cut_texts_only():
+    from quarry.operators.encoding import fit_tokens
+
+    class Answer:
+        def __init__(self, text):
+            self.ids = list(range(len(text)))
+
+        @property
+        def offsets(self):
+            if len(self.ids) <= 4:
+                raise AssertionError("places of a text that fits")
+            return [(i, i + 1) for i in self.ids]
+
+    class Letters:
+        def encode_batch(self, texts, add_special_tokens):
+            return [Answer(t) for t in texts]
+
+    assert fit_tokens(Letters(), ["", "abcd", "abcdefg"], 4) == (["", "abcd", "abcd"], [0, 4, 7])
