@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import BROADCAST_ROWS, ROW_KEY, checkpoint, count_bounded, join_counted, look_up, new_path, row_key, rows_in
 from quarry.llm.components import connected_components
-from quarry.llm.simhash import HELD, links, majority_bits, shingle_hashes
+from quarry.llm.simhash import links, majority_bits, shingle_hashes
 
 SHINGLE = 5
 
@@ -45,8 +45,8 @@ BLOCK, RARE = 2000, 50
 #: A node in over so small a part of all pairs counts as common.
 COMMON = 200
 
-#: Words whose hashes a worker keeps.
-CACHED = 300_000
+#: Words whose hashes a worker keeps, hashes of a few texts that it holds, and texts of a batch that it has in Python at once.
+CACHED, HASHES, TEXTS = 100_000, 1 << 17, 256
 
 #: Shingles whose minima are taken at once.
 CHUNK = 4096
@@ -98,13 +98,20 @@ def band_keys(shingles, factors):
     return keys
 
 
+def _few(batches):
+    """Arrow batches in slices of TEXTS rows, so that what a task makes of them in Python doesn't grow with a batch."""
+    for batch in batches:
+        for at in range(0, len(batch), TEXTS):
+            yield batch.slice(at, TEXTS)
+
+
 def _sketches(batches):
     import numpy as np
     import pyarrow as pa
     import xxhash
 
     factors, known = _factors(), {}
-    for batch in batches:
+    for batch in _few(batches):
         nodes, sizes, fps, bands, hashes, runs = [], [], [], [], [], []
         for raw in batch.column("text").cast(pa.large_binary()):
             raw = raw.as_py()
@@ -115,7 +122,7 @@ def _sketches(batches):
             bands.append(band_keys(shingles, factors).view(np.int64) if len(shingles) else [])
             hashes += own
             runs.append(len(own))
-            if len(hashes) > HELD:
+            if len(hashes) > HASHES:
                 fps.append(majority_bits(np.array(hashes, np.uint64), runs))
                 hashes, runs = [], []
         fps = np.concatenate([*fps, majority_bits(np.array(hashes, np.uint64), runs)])
@@ -131,7 +138,7 @@ def _sets(batches):
     import pyarrow as pa
 
     known: dict = {}
-    for batch in batches:
+    for batch in _few(batches):
         found = [shingle_set((raw.as_py() or b"").lower().split(), known).view(np.int64) for raw in batch.column("text").cast(pa.large_binary())]
         yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(found, pa.list_(pa.int64()))], ["node", "shingles"])
 

@@ -128,3 +128,20 @@ def test_band_keys_find_pairs_at_the_bound():
             hits += bool(set(N.band_keys(own[0], factors).tolist()) & set(N.band_keys(own[1], factors).tolist()))
         share[similarity] = hits / 300
     assert share[0.8] > 0.98 and share[0.3] < 0.2
+
+
+def test_a_batch_is_sketched_in_parts():
+    """What a task holds in Python doesn't grow with an Arrow batch, and the rows are the same in whatever batches."""
+    import pyarrow as pa
+
+    from quarry.llm import near_copies
+
+    texts = [None, "", "a b", *(" ".join(f"w{(i * k) % 97}" for k in range(i % 40)) for i in range(1000))]
+    keys = pa.array([{"a": i, "b": i} for i in range(len(texts))])
+    whole = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), keys, pa.array(texts)], ["doc_id", "row_key", "text"])
+    parts = list(near_copies._sketches([whole]))
+    single = list(near_copies._sketches(whole.slice(i, 1) for i in range(len(whole))))
+    assert max(map(len, parts)) <= near_copies.TEXTS < len(whole)
+    assert pa.Table.from_batches(parts).to_pylist() == pa.Table.from_batches(single).to_pylist()
+    sets = [whole.select(["text"]).append_column("node", pa.array(range(len(texts))))]
+    assert max(map(len, near_copies._sets(sets))) <= near_copies.TEXTS
